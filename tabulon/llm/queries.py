@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixture, quality, sharding
+from . import linededup, mixture, quality, secrets, sharding
 from .common import scratch, table
 
 
@@ -12,6 +13,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.told("base").cast("binary"), 256).alias("base_sha256"), secrets.told("found").alias("spans"), "n_entropy")
+
+
 def op5_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), path=scratch(spark, "slot-map"))
 
@@ -21,8 +27,13 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures", "policy_version")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "text", "n_lines_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_sources, op5_slot_shards, op8_quality_ledger)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_secret_scan, op5_slot_shards, op8_quality_ledger, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
