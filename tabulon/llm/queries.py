@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixture, quality, secrets, sharding
+from . import bpe, huffman, linededup, mixture, quality, secrets, sharding, topk
 from .common import scratch, table
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors, 10)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -22,18 +33,28 @@ def op5_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), path=scratch(spark, "slot-map"))
 
 
+def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), scratch(spark, "ids"))
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures", "policy_version")
 
 
+def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "text", "n_lines_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_sources, op3_secret_scan, op5_slot_shards, op8_quality_ledger, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_maxscore_top_k, op2_mix_sources, op3_secret_scan, op5_slot_shards, op6_huffman_ids, op8_quality_ledger, op9_prefix_bpe, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
