@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman, linededup, mixture, quality, secrets, sharding, topk
+from . import bpe, huffman, jaccard, langid, linededup, mixture, quality, secrets, sharding, topk
 from .common import scratch, table
 
 
@@ -29,6 +29,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.told("base").cast("binary"), 256).alias("base_sha256"), secrets.told("found").alias("spans"), "n_entropy")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op5_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), path=scratch(spark, "slot-map"))
 
@@ -37,6 +41,12 @@ def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), scratch(spark, "ids"))
 
 
+def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures", "policy_version")
@@ -53,8 +63,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "text", "n_lines_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_maxscore_top_k, op2_mix_sources, op3_secret_scan, op5_slot_shards, op6_huffman_ids, op8_quality_ledger, op9_prefix_bpe, op10_line_dedup)}
+    every = (op1_maxscore_top_k, op2_mix_sources, op3_secret_scan, op4_ngram_jaccard, op5_slot_shards, op6_huffman_ids,
+             op7_ppm_language, op8_quality_ledger, op9_prefix_bpe, op10_line_dedup, pipeline)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
