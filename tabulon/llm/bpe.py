@@ -13,8 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries a worker's cache may hold before it starts anew; it bounds memory and changes no result.
-CACHE = 400_000
+#: Entries of a generation of a worker's caches; it bounds memory and changes no result.
+CACHE = 300_000
 
 
 @lru_cache(2)
@@ -43,13 +43,20 @@ class Prefixes:
 
     def _fill(self, end: int) -> None:
         data, last, bpe = self.data, self.last, self.bpe
-        ranks, sound, follows, longest = bpe.ranks, bpe.sound, bpe.follows, bpe.longest
+        ranks, fine, known, longest = bpe.ranks, bpe._fine, bpe._follows, bpe.longest
         for i in range(len(last), end + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(i - longest if i > longest else 0, i):
                 token = ranks.get(data[j:i])
-                if token is not None and sound(token) and (not j or follows(last[j], token)):
-                    last.append(token)
-                    break
+                if token is None or (token not in fine and not bpe.sound(token)):
+                    continue
+                if j:
+                    ok = known.get(last[j] << 32 | token)
+                    if ok is None:
+                        ok = bpe.follows(last[j], token)
+                    if not ok:
+                        continue
+                last.append(token)
+                break
             else:
                 raise ValueError(f"no token for byte {data[i - 1]}")
 
@@ -83,8 +90,10 @@ class PrefixBPE:
         for token, i in ranks.items():
             self.tokens[i] = token
         self.longest = max(map(len, ranks), default=0)
-        self._sound: dict[int, bool] = {}
+        self._fine: set[int] = set()
+        self._unsound: set[int] = set()
         self._follows: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merges by rank, for the short strings of one or two tokens."""
@@ -97,18 +106,49 @@ class PrefixBPE:
         return [self.ranks[p] for p in parts]
 
     def sound(self, token: int) -> bool:
-        got = self._sound.get(token)
-        if got is None:
-            got = self._sound[token] = self.merged(self.tokens[token]) == [token]
+        """Whether the merges of a token's bytes give that token."""
+        if token not in self._fine and token not in self._unsound:
+            (self._fine if self.merged(self.tokens[token]) == [token] else self._unsound).add(token)
+        return token in self._fine
+
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that a token's last merge joins; None for a byte."""
+        got = self._halves.get(token, 0)
+        if got == 0:
+            data = self.tokens[token]
+            parts = [data[i:i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                at = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            got = self._halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
         return got
 
     def follows(self, first: int, second: int) -> bool:
+        """Whether `second` may stand behind `first`: no merge of both bytes crosses the border between them.
+
+        Merges are undone from the last one back, on the side whose token has the higher rank; what then meets at the
+        border is what met there at that time. If these two join at a rank below all that was undone, that merge would have
+        come first. Of equal ranks the left merge comes first, so on the right side the bound is one higher.
+        """
         key = first << 32 | second
         got = self._follows.get(key)
         if got is None:
             if len(self._follows) > 4 * CACHE:
                 self._follows.clear()
-            got = self._follows[key] = self.merged(self.tokens[first] + self.tokens[second]) == [first, second]
+            a, b, bound, tokens, ranks = first, second, 1 << 60, self.tokens, self.ranks
+            while True:
+                if ranks.get(tokens[a] + tokens[b], bound) < bound:
+                    got = False
+                    break
+                ours, theirs = self.halves(a), self.halves(b)
+                if not ours and not theirs:
+                    got = True
+                    break
+                if ours and (a > b or not theirs):
+                    bound, a = a, ours[1]
+                else:
+                    bound, b = b + 1, theirs[0]
+            self._follows[key] = got
         return got
 
     def piece(self, data: bytes) -> list[int]:
@@ -117,34 +157,43 @@ class PrefixBPE:
         return [whole] if whole is not None else Prefixes(self, data).ids()
 
 
-class _Cache(dict):
-    """Encoded chunks as bytes of little-endian 32-bit ids; `lead` is put before each chunk."""
+class _Recent(dict):
+    """A bounded cache in two generations: a full one becomes the older, from which used entries are taken over."""
 
-    def __init__(self, codec: TextCodec, lead: str):
+    def __init__(self):
         super().__init__()
-        self.codec, self.lead = codec, lead
+        self.older: dict = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = b"".join(map(self.codec.pieces.__getitem__, self.codec.split.findall(self.lead + chunk)))
-        if len(chunk) <= 64:
+    def __missing__(self, key: str) -> bytes:
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= 64:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
-            self[chunk] = out
+            self[key] = out
         return out
 
 
-class _Pieces(dict):
+class _Chunks(_Recent):
+    """Encoded chunks as bytes of little-endian 32-bit ids; `lead` is put before each chunk."""
+
+    def __init__(self, codec: TextCodec, lead: str):
+        super().__init__()
+        self.codec, self.lead = codec, lead
+
+    def make(self, chunk: str) -> bytes:
+        return b"".join(map(self.codec.pieces.__getitem__, self.codec.split.findall(self.lead + chunk)))
+
+
+class _Pieces(_Recent):
     def __init__(self, bpe: PrefixBPE):
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, match: str) -> bytes:
-        out = np.asarray(self.bpe.piece(match.encode()), "<u4").tobytes()
-        if len(match) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[match] = out
-        return out
+    def make(self, match: str) -> bytes:
+        return np.asarray(self.bpe.piece(match.encode()), "<u4").tobytes()
 
 
 class TextCodec:
@@ -155,7 +204,7 @@ class TextCodec:
         self.bpe = PrefixBPE(vocabulary(path))
         self.split, self.near = regex.compile(pattern), regex.compile(r"\s\s|^\s|\s$")
         self.pieces = _Pieces(self.bpe)
-        self.first, self.spaced = _Cache(self, ""), _Cache(self, " ")
+        self.first, self.spaced = _Chunks(self, ""), _Chunks(self, " ")
 
     def encode(self, text: str) -> bytes:
         if not text:
