@@ -97,7 +97,12 @@ def _book(lengths: bytes) -> Codebook:
 
 
 class _Words(dict):
-    """Ids of white-space-free strings, as bytes. The tokenizer drops white space, so a text's ids are its strings'."""
+    """Ids of white-space-free strings, as bytes. The tokenizer drops white space, so a text's ids are its strings'.
+
+    It also splits letters from signs and lower-cases, so a word of Latin letters with at most one comma or full stop behind it
+    is put together from the word in lower case and the sign; only words unknown in that form go to the tokenizer.
+    Both caches have two generations: a full one becomes the older, from which used entries are taken over.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,17 +110,42 @@ class _Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.older_cores: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Encodes the unknown of `words` together. Long ones are returned and not kept; a full cache starts anew."""
+    def learn(self, words: set[str]) -> None:
+        """Makes all of `words` known."""
         new = words - self.keys()
         if len(self) + len(new) > CACHE:
+            self.older = dict(self)
             self.clear()
             new = words
-        each, long = list(new), {}
-        for w, got in zip(each, self.tokenizer.encode_batch(each, add_special_tokens=False), strict=True):
-            (self if len(w) <= 64 else long)[w] = np.asarray(got.ids, "<u2").tobytes()
-        return long
+        parts: dict[str, tuple[str, str]] = {}
+        for w in new:
+            got = self.older.get(w)
+            if got is not None:
+                self[w] = got
+                continue
+            core, sign = (w[:-1], w[-1]) if w[-1:] in (",", ".") else (w, "")
+            plain = core.isalpha() and (core.isascii() or max(core) <= "\u024f") and len(core.lower()) == len(core)
+            parts[w] = (core.lower(), sign) if plain else (w, "")
+        asked = {x for pair in parts.values() for x in pair}
+        if len(self.cores) + len(asked) > 2 * CACHE:
+            self.older_cores, self.cores = self.cores, {}
+        known = {x: self.older_cores[x] for x in asked - self.cores.keys() if x in self.older_cores}
+        each = list(asked - self.cores.keys() - known.keys())
+        self.cores |= known | {x: np.asarray(got.ids, "<u2").tobytes() for x, got in zip(each, self.tokenizer.encode_batch(each, add_special_tokens=False), strict=True)}
+        for w, (core, sign) in parts.items():
+            self[w] = self.cores[core] + self.cores[sign]
+        for w in [w for w in new if len(w) > 64]:
+            self.cores.pop(w, None)
+
+    def forget(self, words: set[str]) -> None:
+        """Strings too long to keep."""
+        for w in words:
+            if len(w) > 64:
+                del self[w]
 
 
 @lru_cache(1)
@@ -131,9 +161,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 texts = [(t or "").replace("\n", " ").split(" ") for t in part.column(1).to_pylist()]
-                long = known.learn(set().union(*texts))
-                look = (lambda w, long=long: known[w] if w in known else long[w]) if long else known.__getitem__
-                rows = [b"".join(map(look, words)) + end for words in texts]
+                every = set().union(*texts)
+                known.learn(every)
+                rows = [b"".join(map(known.__getitem__, words)) + end for words in texts]
+                known.forget(every)
                 packed = [len(r).to_bytes(8, "little") + codec.compress(r, asbytes=True) for r in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
