@@ -20,7 +20,9 @@ from .components import components
 COUNTERS, PIECES = 1 << 21, 32
 _GROUP = 16
 #: Parts of the hash space whose set sizes the suffix filter compares.
-PARTS = 16
+PARTS = 64
+#: Ids of up to so many documents (4 MB) may be broadcast to pick texts; more are joined by a shuffle.
+FEW_IDS = 1 << 18
 _FIRST_ID = -(2**63)
 
 
@@ -147,7 +149,7 @@ def _digest(x: np.ndarray) -> int:
 
 
 def _parts(x: np.ndarray) -> list[int]:
-    return np.bincount((x >> np.uint64(60)).astype(np.int64), minlength=PARTS).tolist()
+    return np.minimum(np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=PARTS), 32767).tolist()
 
 
 def prefixes(texts: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
@@ -168,10 +170,10 @@ def prefixes(texts: DataFrame, width: int, percent: int, common: np.ndarray) ->
                 first.append(s[np.lexsort((s, c))[:take]].view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([_parts(s) for s in sets], pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int64())),
+                pa.array([_parts(s) for s in sets], pa.list_(pa.int16())), pa.array(first, pa.list_(pa.int64())),
             ], ["id", "node", "n", "parts", "prefix"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, node long, n int, parts array<int>, prefix array<long>")
+    return texts.select("id", "text").mapInArrow(run, "id long, node long, n int, parts array<short>, prefix array<long>")
 
 
 def _least_overlap(n: Column, m: Column, percent: int) -> Column:
@@ -186,6 +188,13 @@ def _may(percent: int, n: str, at: str, m: str, bt: str) -> Column:
     return long_enough & (F.least(a - F.col(at), b - F.col(bt)) >= _least_overlap(a, b, percent))
 
 
+def _parts_fit(a_parts: str, b_parts: str, a: Column, b: Column, percent: int) -> Column:
+    """Suffix filter: the overlap is at most the sum of the smaller counts over the parts of the hash space."""
+    most = F.aggregate(F.zip_with(a_parts, b_parts, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+    full = F.exists(a_parts, lambda x: x == 32767) & F.exists(b_parts, lambda x: x == 32767)  # counts that were cut bound nothing
+    return (most >= _least_overlap(a, b, percent)) | full
+
+
 def near_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sets of all documents and the label of each set that links with another.
 
@@ -195,7 +204,7 @@ def near_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     rows = settle(prefixes(texts, width, percent, frequencies(texts, width)))
     # Copies: equal sets are one node from here on, whatever their number.
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min_by("parts", "id").alias("parts"), F.min_by("prefix", "id").alias("prefix"))
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("na"))
     # A shingle of one node makes no candidate; its smallest node is the pivot of the others.
     pivot = entries.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other")
     shared = settle(entries.join(pivot.select("token", "pivot"), "token"))
@@ -204,12 +213,14 @@ def near_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     labels = components(links)
     # What is left: pairs that share a shingle and aren't connected yet. A shingle's largest component is `main`;
     # the pairs have one side outside of it, so a group of near copies is never paired with itself.
-    placed = shared.select("token", "node", "n", "at").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = shared.select("token", "node", F.shiftright("na", 32).cast("int").alias("n"), F.col("na").cast("long").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"))
+    placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "main")
-    placed = settle(placed.join(main, "token"))
-    outer = placed.where("label != main").select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("label").alias("alabel"))
-    pairs = outer.join(placed, "token").where("label != alabel AND (label = main OR node < a)").where(_may(percent, "n", "at", "an", "aat"))
-    rest = pairs.select("a", F.col("node").alias("b"))
+    placed = settle(placed.join(main, "token").join(nodes.select("node", "parts"), "node"))
+    outer = placed.where("label != main").select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "at", "label", "parts")))
+    may = (F.col("label") != F.col("a_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("a_node"))) & _may(percent, "n", "at", "a_n", "a_at")
+    pairs = outer.alias("o").join(placed.alias("p"), (F.col("o.token") == F.col("p.token")) & may & _parts_fit("parts", "a_parts", F.col("n"), F.col("a_n"), percent))
+    rest = pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"))
     more, _ = verified(rest, texts, nodes, width, percent, tried)
     return rows.select("id", "node", "n"), components(links.union(more))
 
@@ -227,8 +238,7 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, p
     one, two = (small.toDF(c, f"{c}_id", f"{c}_n", f"{c}_parts") for c in "ab")
     a, b = F.col("a_n"), F.col("b_n")
     sized = F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    most = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    pairs = settle(pairs.join(one, "a").join(two, "b").select("a", "b", "a_id", "b_id", "a_n", "b_n", (sized & (most >= _least_overlap(a, b, percent))).alias("fit")))
+    pairs = settle(pairs.join(one, "a").join(two, "b").select("a", "b", "a_id", "b_id", "a_n", "b_n", (sized & _parts_fit("a_parts", "b_parts", a, b, percent)).alias("fit")))
     fit = pairs.where("fit")
     needed = fit.select(F.col("a").alias("node"), F.col("a_id").alias("id")).union(fit.select("b", "b_id")).distinct()
 
@@ -236,7 +246,10 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, p
         for _, sets in _slices(batches, width):
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "s"])
 
-    sets = texts.join(needed.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, "node long, s array<long>")
+    ids = settle(needed.select("id").distinct())
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)
+    sets = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "node long, s array<long>")
     sets = settle(sets.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     got = fit.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     overlap = F.size(F.array_intersect("sa", "sb"))
