@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Blocks whose characters count one by one and are indexed as pairs (fixed values).
 CJK = "\\x{2E80}-\\x{2FDF}\\x{3005}-\\x{3007}\\x{3040}-\\x{30FF}\\x{3100}-\\x{312F}\\x{3130}-\\x{318F}\\x{31A0}-\\x{31FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{A960}-\\x{A97F}\\x{AC00}-\\x{D7FF}\\x{F900}-\\x{FAFF}\\x{FF66}-\\x{FF9F}\\x{1100}-\\x{11FF}\\x{20000}-\\x{323AF}"
@@ -25,7 +26,7 @@ def fold_text(text: str) -> str:
     return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in t).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_any(s: pd.Series) -> pd.Series:
     """`fold_text` over Arrow batches; SQL has no Unicode normalization."""
     return s.map(lambda x: None if x is None else fold_text(x))

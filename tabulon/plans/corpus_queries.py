@@ -1 +1,391 @@
-"""Queries."""
+"""Queries of corpus upkeep and text work."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import corpus as co
+from ..operators import filters, generate, records
+from ..functions import sheet
+from ..registry import load, query
+
+
+@query("c02_fingerprint_groups", "SELECT doc_id, min(doc_id) OVER (PARTITION BY regexp_replace(strip_accents(lower(text)), '[^\\p{L}]+', '', 'g')) AS first FROM documents WHERE length(regexp_replace(text, '[^\\p{L}]+', '', 'g')) >= 8")
+def _(s, d):
+    f = load(s, d, "documents").select("doc_id", tx.fingerprint(F.col("text")).alias("f")).where("f IS NOT NULL")
+    return f.join(f.groupBy("f").agg(F.min("doc_id").alias("first")), "f").select("doc_id", "first")
+
+
+@query("c04_split_lines", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' AND length(line) <= 200 GROUP BY 1")
+def _(s, d):
+    short = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & (F.length(x) <= 200))
+    return load(s, d, "documents").select("doc_id", F.size(short).cast("long").alias("n")).where("n > 0")
+
+
+@query("c05_family_key", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS site FROM pages")
+def _(s, d):
+    return load(s, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("site"))
+
+
+@query("c06_copy_penalty", "SELECT p_partkey, regexp_matches(lower(p_name), '\\b(old|copy|final|draft)\\b')::INT AS penalty FROM part")
+def _(s, d):
+    return load(s, d, "part").select("p_partkey", co.copy_penalty(F.col("p_name")).alias("penalty"))
+
+
+@query("c07_boilerplate_lines", "SELECT source, line, count(*) AS documents FROM (SELECT DISTINCT doc_id, source, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY 1, 2 HAVING count(*) >= 3")
+def _(s, d):
+    return co.repeated_lines(load(s, d, "documents"), "text", "source")
+
+
+def _lines(s, d):
+    docs = load(s, d, "documents")
+    return co.line_priorities(docs, "doc_id", "text", "source", co.family_lines(docs, "doc_id", "text", "source"))
+
+
+@query("c08_line_priorities")
+def _(s, d):
+    return _lines(s, d).groupBy("doc_id").agg(*(F.count_if(F.col("priority") == p).alias(f"p{p}") for p in (0, 1, 2, 3, 4, 9)))
+
+
+@query("c08_boilerplate_ratio")
+def _(s, d):
+    return co.boilerplate_ratio(_lines(s, d), "doc_id").select("doc_id", "chars", "boiler_chars")
+
+
+@query("c09_skeleton")
+def _(s, d):
+    return co.skeleton(_lines(s, d), "doc_id")
+
+
+@query("c10_exact_copies", "SELECT doc_id, f AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents WHERE text IS NOT NULL) WHERE doc_id <> f")
+def _(s, d):
+    return co.exact_copies(load(s, d, "documents"), "doc_id", "text")
+
+
+@query("c11_marker_lines")
+def _(s, d):
+    each = load(s, d, "documents").select("doc_id", F.explode(tx.split_lines(F.col("text"))).alias("line"))
+    return each.groupBy("doc_id").agg(F.count_if(tx.is_marker(F.col("line"))).alias("markers"))
+
+
+@query("c12_headings")
+def _(s, d):
+    each = load(s, d, "documents").select("doc_id", F.explode(tx.split_lines(F.col("text"))).alias("line"))
+    return each.groupBy("doc_id").agg(F.count_if(tx.is_heading(F.col("line"))).alias("headings"))
+
+
+@query("c13_distinctive", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{4,}|[0-9]{1,3}([.,][0-9]{3})+|[A-Za-z]{1,8}[-/_]?[0-9]{3,}|[0-9]{3,}[-/_]?[A-Za-z]{1,8}|[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.][A-Za-z0-9_.]+')")
+def _(s, d):
+    return load(s, d, "documents").where(tx.is_distinctive(F.col("text"))).select("doc_id")
+
+
+@query("c14_importance", "SELECT p_partkey, CASE WHEN regexp_matches(p_name, '\\b(ring|bolt)\\b') THEN 'high' WHEN regexp_matches(p_name, '\\b(widget)\\b') THEN 'low' ELSE 'normal' END AS level FROM part")
+def _(s, d):
+    return load(s, d, "part").select("p_partkey", co.importance(tx.fold_ascii(F.col("p_name")), F.lit(""), {"high": ["ring", "bolt"], "low": ["widget"]}).alias("level"))
+
+
+@query("c15_effective_importance", "SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' END, CASE WHEN n_chars > 3000 THEN 'high' END, 'normal') AS level FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def _(s, d):
+    l = load(s, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("o"))
+    return load(s, d, "documents").join(l, "doc_id", "left").select("doc_id", co.effective_importance(F.col("o"), F.when(F.col("n_chars") > 3000, "high")).alias("level"))
+
+
+@query("c16_issue_classes", "SELECT event_type, CASE WHEN contains(event_type, 'click') THEN 'seen' WHEN contains(event_type, 'error') THEN 'bad' ELSE 'other' END AS class, count(*) AS n FROM events GROUP BY 1, 2")
+def _(s, d):
+    c = co.classify(F.col("event_type"), [("click", "seen"), ("error", "bad")], "other")
+    return load(s, d, "events").groupBy("event_type", c.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("c17_sensitive_names", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '\\b(red|old)\\b')")
+def _(s, d):
+    return load(s, d, "part").where(co.has_terms(tx.fold_ascii(F.col("p_name")), ["red", "old"])).select("p_partkey")
+
+
+@query("c18_junk_paths", "SELECT page_id, (len(list_intersect(string_split(lower(url), '/'), ['node_modules','windows','program files','appdata','cache','temp','tmp','.git','__pycache__','dist','build'])) > 0 OR regexp_matches(lower(url), '\\.(tmp|log|bak|dll|exe|sys|cache|lock)$')) AS junk FROM pages")
+def _(s, d):
+    return load(s, d, "pages").select("page_id", co.is_junk(F.col("url")).alias("junk"))
+
+
+@query("c20_media_admission", "SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax * 1000) >= 20 AS ok FROM lineitem")
+def _(s, d):
+    return load(s, d, "lineitem").select("l_orderkey", "l_linenumber", co.media_admitted(F.col("l_quantity"), F.col("l_tax") * 1000, F.lit("a/b.png"), 20).alias("ok"))
+
+
+@query("c21_retention", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'keep-running' WHEN o_totalprice <= 50000 THEN 'keep-unverified' WHEN date_diff('day', o_orderdate::DATE, DATE '1998-08-02') < 30 THEN 'keep-recent' ELSE 'delete' END AS decision FROM orders")
+def _(s, d):
+    days = F.datediff(F.lit("1998-08-02").cast("date"), F.col("o_orderdate").cast("date"))
+    return load(s, d, "orders").select("o_orderkey", co.retention(F.col("o_orderstatus"), F.col("o_totalprice") > 50000, days, F.col("o_orderstatus") == "P").alias("decision"))
+
+
+@query("c22_backup_retention", "SELECT o_orderkey, (o_orderdate > TIMESTAMP '1998-08-01' OR (o_orderstatus = 'F' AND row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey) <= 3)) AS kept FROM orders")
+def _(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey", "v").orderBy(F.desc("o_orderdate"), "o_orderkey")
+    o = load(s, d, "orders").withColumn("v", F.col("o_orderstatus") == "F")
+    return o.select("o_orderkey", ((F.col("o_orderdate") > F.lit("1998-08-01").cast("timestamp_ntz")) | (F.col("v") & (F.row_number().over(w) <= 3))).alias("kept"))
+
+
+@query("c23_redact", "SELECT doc_id, regexp_replace(text, '\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b', '[EMAIL]', 'gi') AS text FROM documents WHERE NOT regexp_matches(text, '[0-9][0-9 ()-]{7,}[0-9]')")
+def _(s, d):
+    return load(s, d, "documents").where(~F.col("text").rlike(r"[0-9][0-9 ()-]{7,}[0-9]")).select("doc_id", filters.redact(F.col("text")).alias("text"))
+
+
+@query("c24_placeholders", "SELECT c_custkey, ['name', 'city'] AS labels FROM customer")
+def _(s, d):
+    t = F.concat(F.lit("Dear {{ name }}, "), "c_name", F.lit(" in {{city}}"))
+    return load(s, d, "customer").select("c_custkey", co.placeholders(t).alias("labels"))
+
+
+@query("c25_redact_spans", "SELECT c_custkey, '[WITHHELD]' || substr(c_name, 6) AS name FROM customer")
+def _(s, d):
+    spans = F.array(F.struct(F.lit(0).alias("s"), F.lit(3).alias("e")), F.struct(F.lit(2).alias("s"), F.lit(5).alias("e")))
+    return load(s, d, "customer").select("c_custkey", co.redact_spans(F.col("c_name"), spans).alias("name"))
+
+
+@query("c26_profile", "SELECT 'c_name' AS \"column\", count(*) AS cells, count(*) FILTER (c_name IS NULL OR trim(c_name) = '') AS blanks, count(DISTINCT c_name) AS distinct_count, 0::BIGINT AS numeric FROM customer UNION ALL SELECT 'c_nationkey', count(*), 0, count(DISTINCT c_nationkey), count(*) FROM customer")
+def _(s, d):
+    return co.profile(load(s, d, "customer"), ["c_name", "c_nationkey"])
+
+
+@query("b42_chunks")
+def _(s, d):
+    return co.chunk_texts(load(s, d, "documents"), "doc_id", "text")
+
+
+_A = "[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]"
+
+
+@query("m12_text_stats", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9À-ɏ]+(?:[''-][A-Za-z0-9À-ɏ]+)*'))::BIGINT AS words, length(regexp_replace(text, '\\s', '', 'g'))::BIGINT AS no_space, length(replace(text, chr(10), ''))::BIGINT AS with_space, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS paragraphs FROM documents")
+def _(s, d):
+    t = tx.text_stats(F.col("text"))
+    return load(s, d, "documents").select("doc_id", t["words"].cast("long").alias("words"), t["chars_no_space"].cast("long").alias("no_space"), t["chars_with_space"].cast("long").alias("with_space"), t["paragraphs"].cast("long").alias("paragraphs"))
+
+
+@query("m02_record_condition", "SELECT c_custkey FROM customer WHERE lower(trim(c_mktsegment)) = 'building' AND NOT contains(lower(c_name), '7')")
+def _(s, d):
+    return load(s, d, "customer").where(records.test("c_mktsegment", "equals", " Building ") & records.test("c_name", "notContains", "7")).select("c_custkey")
+
+
+@query("m03_condition_chain", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building' OR (lower(c_mktsegment) = 'machinery' AND contains(lower(c_name), '12'))")
+def _(s, d):
+    return load(s, d, "customer").where(records.chain([("", "c_mktsegment", "equals", "BUILDING"), ("or", "c_mktsegment", "equals", "machinery"), ("and", "c_name", "contains", "12")])).select("c_custkey")
+
+
+@query("m05_exclude_filter_sort", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (1, 2, 3) AND lower(c_mktsegment) = 'building' ORDER BY c_name DESC, c_custkey LIMIT 50")
+def _(s, d):
+    from ..operators import ordering
+
+    c = load(s, d, "customer").where(~F.col("c_custkey").isin(1, 2, 3) & records.test("c_mktsegment", "equals", "building"))
+    return ordering.multi_sort(c.select("c_custkey", "c_name"), [("c_name", False)], ["c_name"], "c_custkey").limit(50)
+
+
+@query("m06_record_range", "SELECT c_custkey, place FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer) WHERE place BETWEEN 100 AND 300")
+def _(s, d):
+    return records.numbered(load(s, d, "customer").select("c_custkey"), ["c_custkey"], "place").where(records.in_range("place", "range", 300, 100))
+
+
+@query("m07_template", "SELECT c_custkey, 'Dear ' || c_name || ' (' || c_mktsegment || ')' AS line FROM customer")
+def _(s, d):
+    return load(s, d, "customer").select("c_custkey", records.template("Dear «c_name» («c_mktsegment»)").alias("line"))
+
+
+@query("m08_skip_number", "SELECT c_custkey, merge_rec, row_number() OVER (ORDER BY c_custkey) AS merge_seq FROM (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) AS merge_rec FROM customer) WHERE NOT c_acctbal < 1000")
+def _(s, d):
+    return records.skip_and_number(load(s, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", F.col("c_acctbal") < 1000).select("c_custkey", "merge_rec", "merge_seq")
+
+
+@query("m09_next_record", "SELECT (c_custkey // 3 + 1)::BIGINT AS output, list(c_name ORDER BY c_custkey) AS \"values\" FROM customer GROUP BY 1")
+def _(s, d):
+    c = load(s, d, "customer").select((F.col("c_custkey") + 1).alias("place"), "c_name")
+    return records.grouped_output(c, "place", 3, "c_name")
+
+
+@query("m10_typed_cells", "SELECT o_orderkey, floor(o_totalprice)::DOUBLE AS value, '\"$\"#,##0' AS format FROM orders")
+def _(s, d):
+    from ..functions.coerce import typed_cell
+
+    t = typed_cell(F.concat(F.lit("$"), F.format_number(F.floor("o_totalprice"), 0)))
+    return load(s, d, "orders").select("o_orderkey", t["value"].alias("value"), t["format"].alias("format"))
+
+
+@query("m11_bare_number", "SELECT o_orderkey, o_custkey::DOUBLE AS value FROM orders")
+def _(s, d):
+    from ..functions.coerce import bare_number
+
+    return load(s, d, "orders").select("o_orderkey", bare_number(F.col("o_custkey").cast("string")).alias("value"))
+
+
+@query("m13_normal_lines", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS n FROM documents")
+def _(s, d):
+    return load(s, d, "documents").select("doc_id", F.size(records.normal_lines(F.col("text"))).cast("long").alias("n"))
+
+
+@query("m15_page_compare", "SELECT doc_id AS page, CASE WHEN strpos(text, chr(10)) > 0 THEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) - 1 ELSE 0 END::BIGINT AS removed_count FROM documents WHERE len(list_distinct(string_split(text, chr(10)))) = len(string_split(text, chr(10)))")
+def _(s, d):
+    docs = load(s, d, "documents").where(F.size(F.array_distinct(F.split("text", "\n"))) == F.size(F.split("text", "\n")))
+    new = docs.withColumn("text", F.substring_index("text", "\n", 1))
+    return records.compare(docs, new, "doc_id", "text").select("page", "removed_count")
+
+
+@query("m19_pick_list", "SELECT min(p_type) AS value FROM part WHERE trim(p_type) <> '' GROUP BY lower(p_type)")
+def _(s, d):
+    return records.pick_list(load(s, d, "part"), "p_type")
+
+
+@query("m18_dependents", "SELECT l_orderkey AS cell FROM lineitem WHERE 5 BETWEEN l_linenumber AND l_quantity GROUP BY 1")
+def _(s, d):
+    e = load(s, d, "lineitem").select(F.col("l_orderkey").alias("cell"), F.col("l_linenumber").alias("r1"), F.col("l_quantity").alias("r2"), F.lit(1).alias("c1"), F.lit(2).alias("c2"))
+    return records.dependents(e, 5, 2)
+
+
+@query("f03_percentiles", "SELECT quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS q2, quantile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem")
+def _(s, d):
+    return load(s, d, "lineitem").agg(sheet.percentile_inc(F.col("l_quantity"), 0.25).alias("q1"), sheet.percentile_inc(F.col("l_extendedprice"), 0.5).alias("q2"), F.round(sheet.percentile_inc(F.col("l_extendedprice"), 0.9), 6).alias("p90"))
+
+
+@query("f04_rank_average", "SELECT p_partkey, (rank() OVER (ORDER BY p_size DESC) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::DOUBLE) AS rank_avg FROM part")
+def _(s, d):
+    return sheet.rank_avg(load(s, d, "part").select("p_partkey", "p_size"), "p_size").select("p_partkey", F.col("rank_avg").cast("double").alias("rank_avg"))
+
+
+@query("f05_statistics", "SELECT l_returnflag, round(covar_samp(l_quantity, l_extendedprice), 2) AS cs, round(covar_pop(l_quantity, l_extendedprice), 2) AS cp, round(corr(l_quantity, l_extendedprice), 8) AS c FROM lineitem GROUP BY 1")
+def _(s, d):
+    q, p = "l_quantity", "l_extendedprice"
+    return load(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.covar_samp(q, p), 2).alias("cs"), F.round(F.covar_pop(q, p), 2).alias("cp"), F.round(F.corr(q, p), 8).alias("c"))
+
+
+@query("f06_math", "SELECT p_partkey, ceil(p_retailprice / 5) * 5 AS up, floor(p_retailprice / 5) * 5 AS down, round(1 / cos(p_size), 6) AS sec, lower(to_base(p_partkey, 16)) AS hex FROM part")
+def _(s, d):
+    return load(s, d, "part").select("p_partkey", sheet.ceiling_math(F.col("p_retailprice"), 5.0).alias("up"), sheet.floor_math(F.col("p_retailprice"), 5.0).alias("down"), F.round(F.sec("p_size"), 6).alias("sec"), F.lower(sheet.base(F.col("p_partkey"), 16)).alias("hex"))
+
+
+@query("f07_bits", "SELECT o_orderkey, o_orderkey & 255 AS a, o_orderkey | 7 AS o, xor(o_orderkey, 85) AS x, o_orderkey << 2 AS l FROM orders")
+def _(s, d):
+    k = F.col("o_orderkey")
+    return load(s, d, "orders").select("o_orderkey", k.bitwiseAND(255).alias("a"), k.bitwiseOR(7).alias("o"), k.bitwiseXOR(85).alias("x"), F.shiftleft(k, 2).alias("l"))
+
+
+@query("f08_dates", "SELECT o_orderkey, (SELECT count(*) FROM (SELECT unnest(generate_series(o_orderdate::DATE, o_orderdate::DATE + 13, INTERVAL 1 DAY)) AS x) WHERE isodow(x) < 6) AS workdays, week(o_orderdate)::INT AS iso_week FROM orders")
+def _(s, d):
+    day = F.col("o_orderdate").cast("date")
+    return load(s, d, "orders").select("o_orderkey", sheet.network_days(day, F.date_add(day, 13)).alias("workdays"), F.weekofyear("o_orderdate").alias("iso_week"))
+
+
+@query("f09_logic", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'A' WHEN o_totalprice > 100000 THEN 'B' ELSE 'C' END AS ifs, (o_orderstatus = 'F') <> (o_totalprice > 100000) AS x FROM orders")
+def _(s, d):
+    t = F.col("o_totalprice")
+    return load(s, d, "orders").select("o_orderkey", F.when(t > 200000, "A").when(t > 100000, "B").otherwise("C").alias("ifs"), ((F.col("o_orderstatus") == "F") != (t > 100000)).alias("x"))
+
+
+@query("f10_text", "SELECT p_partkey, split_part(p_name, ' ', 1) AS before, substr(p_name, strpos(p_name, ' ') + 1) AS after, p_brand || '|' || p_type AS joined FROM part WHERE contains(p_name, ' ')")
+def _(s, d):
+    n = F.col("p_name")
+    return load(s, d, "part").where(F.contains(n, F.lit(" "))).select("p_partkey", sheet.text_before(n, " ").alias("before"), sheet.text_after(n, " ").alias("after"), F.concat_ws("|", "p_brand", "p_type").alias("joined"))
+
+
+@query("f12_dynamic_arrays", "SELECT DISTINCT p_brand, p_type FROM part ORDER BY ALL LIMIT 40")
+def _(s, d):
+    return load(s, d, "part").select("p_brand", "p_type").distinct().orderBy("p_brand", "p_type").limit(40)
+
+
+@query("f13_lambdas", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS ss FROM embeddings")
+def _(s, d):
+    return load(s, d, "embeddings").select("vec_id", F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x), 6).alias("ss"))
+
+
+@query("f15_forecast_linear", "SELECT n_regionkey, round(regr_intercept(n_nationkey, length(n_name)) + regr_slope(n_nationkey, length(n_name)) * 10, 6) AS v FROM nation GROUP BY 1")
+def _(s, d):
+    x = F.length("n_name")
+    return load(s, d, "nation").groupBy("n_regionkey").agg(F.round(F.regr_intercept(F.col("n_nationkey"), x) + F.regr_slope(F.col("n_nationkey"), x) * 10, 6).alias("v"))
+
+
+@query("f16_regex_test", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '(?i)brand#1[0-5]$')")
+def _(s, d):
+    return load(s, d, "part").where(sheet.regex_test(F.col("p_brand"), "BRAND#1[0-5]$", True)).select("p_partkey")
+
+
+@query("f17_regex_extract", "SELECT p_partkey, regexp_extract(p_brand, '[0-9]+') AS first, regexp_extract_all(p_name, '[a-z]+') AS every FROM part")
+def _(s, d):
+    return load(s, d, "part").select("p_partkey", sheet.regex_extract(F.col("p_brand"), "[0-9]+").alias("first"), sheet.regex_extract(F.col("p_name"), "[a-z]+", 1).alias("every"))
+
+
+@query("f18_regex_replace_nth", "SELECT p_partkey, regexp_replace(p_name, '^([a-z]+ )[a-z]+', '\\1X') AS second FROM part")
+def _(s, d):
+    return load(s, d, "part").select("p_partkey", sheet.regex_replace(F.col("p_name"), "[a-z]+", "X", 2).alias("second"))
+
+
+@query("f20_rate")
+def _(s, d):
+    c = load(s, d, "customer").where("c_acctbal > 100")
+    return c.select("c_custkey", F.round(sheet.rate(F.lit(24.0), -(F.col("c_acctbal") / 20), F.col("c_acctbal"), F.lit(0.0)), 8).alias("rate"))
+
+
+@query("f22_serial_dates", "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
+def _(s, d):
+    from ..functions.coerce import serial_date
+
+    n = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date"))
+    return load(s, d, "orders").select("o_orderkey", serial_date(n.cast("double")).alias("day"))
+
+
+@query("f24_add_months", "SELECT o_orderkey, (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE AS next FROM orders")
+def _(s, d):
+    return load(s, d, "orders").select("o_orderkey", sheet.add_months(F.col("o_orderdate").cast("date"), 1).alias("next"))
+
+
+@query("f27_json", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def _(s, d):
+    return load(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("g01_fill_series", "SELECT range AS i, (3 + range * 2.5)::DOUBLE AS value FROM range(200)")
+def _(s, d):
+    return generate.linear_series(s, 3, 2.5, 200)
+
+
+@query("g01_date_series", "SELECT range AS i, (DATE '2024-01-31' + to_months(range::INT))::DATE AS value FROM range(24)")
+def _(s, d):
+    return generate.date_series(s, "2024-01-31", "month", 1, 24)
+
+
+@query("g03_tile", "SELECT r_name, range::INT AS tile FROM region, range(3)")
+def _(s, d):
+    return generate.tile(load(s, d, "region").select("r_name"), "r_name", 3)
+
+
+@query("g04_flash_fill", "SELECT n_nationkey, n_name || ' / ' || r_name AS filled FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(s, d):
+    t = generate.learn_template([(["NATION_3", "ASIA"], "NATION_3 / ASIA"), (["X_1", "EU"], "X_1 / EU")])
+    n = load(s, d, "nation").join(load(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_nationkey", generate.flash_fill(t, ["n_name", "r_name"]).alias("filled"))
+
+
+@query("g05_goal_seek", "SELECT c_custkey, round(sqrt(c_acctbal), 4) AS input FROM customer WHERE c_acctbal > 0")
+def _(s, d):
+    return generate.seek_column(load(s, d, "customer").where("c_acctbal > 0"), lambda x: x * x, F.col("c_acctbal"), 0, 1000).select("c_custkey", F.round("input", 4).alias("input"))
+
+
+@query("g06_data_table", "SELECT r AS \"row\", c AS \"column\", round(r * power(1 + c, 5), 8) AS value FROM (SELECT unnest([100.0::DOUBLE, 200, 300]) AS r), (SELECT unnest([0.01::DOUBLE, 0.02]) AS c)")
+def _(s, d):
+    return generate.data_table(s, [100, 200, 300], [0.01, 0.02], lambda r, c: F.round(r * F.pow(1 + c, F.lit(5)), 8))
+
+
+@query("g07_chart_shape", "SELECT count(DISTINCT c_mktsegment) AS categories, 1 AS series, bool_or(c_acctbal < 0) AS negatives FROM customer")
+def _(s, d):
+    return generate.chart_shape(load(s, d, "customer"), "c_mktsegment", ["c_acctbal"])
+
+
+@query("g08_chart_rows", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 500")
+def _(s, d):
+    from ..operators import pivot
+
+    p = pivot.hierarchy(load(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], {"n": F.count("*")})
+    return generate.chart_rows(p, "depth", 2, "l_returnflag").drop("depth")
+
+
+@query("g09_sparklines")
+def _(s, d):
+    o = load(s, d, "orders").withColumn("t", F.unix_date(F.col("o_orderdate").cast("date")))
+    return generate.sparklines(o, "o_orderpriority", "t", "o_totalprice", 24)

@@ -1 +1,50 @@
-"""Queries."""
+"""Queries of sources and sinks, over text made from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.coerce import csv_number
+from ..registry import load, query
+from ..sources import files
+
+
+@query("d06_numeric_cells", "SELECT o_orderkey, o_orderkey::DOUBLE AS plain, NULL::DOUBLE AS padded, NULL::DOUBLE AS signed FROM orders")
+def _(s, d):
+    k = F.col("o_orderkey").cast("string")
+    return load(s, d, "orders").select("o_orderkey", csv_number(k).alias("plain"), csv_number(F.concat(F.lit("00"), k)).alias("padded"), csv_number(F.concat(F.lit("+"), k)).alias("signed"))
+
+
+@query("d08_csv_shape", "SELECT count(*) AS rows, 6::BIGINT AS columns FROM part")
+def _(s, d):
+    cells = F.from_csv(F.to_csv(F.struct("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")), "a string, b string, c string, d string, e string, f string")
+    line = load(s, d, "part").select(F.array(*(cells[c] for c in "abcdef")).alias("cells"))
+    return line.agg(F.count("*").alias("rows"), F.max(F.size("cells")).cast("long").alias("columns"))
+
+
+@query("d11_html_text", "SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')) > 0 AS has_text FROM pages")
+def _(s, d):
+    return load(s, d, "pages").select("page_id", (F.length(files.html_text_column(F.col("html"))) > 0).alias("has_text"))
+
+
+@query("d13_magic_bytes", "SELECT page_id, 'unknown' AS kind FROM pages")
+def _(s, d):
+    return load(s, d, "pages").select("page_id", files.magic(F.encode("html", "UTF-8")).alias("kind"))
+
+
+@query("d16_range_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey BETWEEN 100 AND 500")
+def _(s, d):
+    return load(s, d, "lineitem").where(F.col("l_orderkey").between(100, 500)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("d17_merge_tables", "SELECT 'customer' AS source_table, c_nationkey AS k, c_acctbal AS bal, NULL AS extra FROM customer UNION ALL SELECT 'supplier', s_nationkey, s_acctbal, s_name FROM supplier")
+def _(s, d):
+    return files.merge_tables({
+        "customer": load(s, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("bal")),
+        "supplier": load(s, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("bal"), F.col("s_name").alias("extra")),
+    })
+
+
+@query("d19_clipboard_lines", "SELECT n_nationkey || chr(9) || n_name || chr(9) || CASE WHEN n_regionkey = 1 THEN 'TRUE' ELSE 'FALSE' END AS line FROM nation")
+def _(s, d):
+    return files.tsv_line(load(s, d, "nation").select("n_nationkey", "n_name", (F.col("n_regionkey") == 1).alias("b")))

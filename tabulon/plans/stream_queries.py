@@ -1 +1,41 @@
-"""Queries."""
+"""Queries of incremental indexing and of the event-time extension."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..registry import load, query
+from ..streaming import incremental
+
+
+def _snapshots(s, d):
+    o = load(s, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"), F.col("o_custkey").alias("size"))
+    return o.where("path % 10 <> 0"), o.where("path % 7 <> 0").withColumn("size", F.when(F.col("path") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")))
+
+
+_CHANGE = "CASE WHEN o_orderkey % 10 = 0 AND o_orderkey % 7 <> 0 THEN 'added' WHEN o_orderkey % 10 <> 0 AND o_orderkey % 7 = 0 THEN 'removed' WHEN o_orderkey % 10 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 3 = 0 THEN 'changed' END"
+
+
+@query("t01_snapshot_changes", f"SELECT o_orderkey AS path, {_CHANGE} AS change FROM orders WHERE {_CHANGE} IS NOT NULL")
+def _(s, d):
+    return incremental.snapshot_changes(*_snapshots(s, d))
+
+
+@query("t02_incomplete_snapshot", f"SELECT o_orderkey AS path, {_CHANGE} AS change FROM orders WHERE {_CHANGE} IN ('added', 'changed')")
+def _(s, d):
+    return incremental.snapshot_changes(*_snapshots(s, d), complete=False)
+
+
+@query("t03_paged_intake", "SELECT o_orderkey FROM orders WHERE o_orderkey > 1000 ORDER BY 1 LIMIT 100")
+def _(s, d):
+    return incremental.page_after(load(s, d, "orders").select("o_orderkey"), "o_orderkey", 1000, 100)
+
+
+@query("t_ext_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(s, d):
+    return incremental.windowed(load(s, d, "events"), "ts", "1 hour").withColumn("total", F.round("total", 4))
+
+
+@query("t_ext_sessions", "WITH e AS (SELECT user_id, ts, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= INTERVAL 30 MINUTE AS cut FROM events), g AS (SELECT user_id, ts, sum(coalesce(cut, true)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM g GROUP BY user_id, k")
+def _(s, d):
+    return incremental.sessions(load(s, d, "events"), "ts", "user_id", "30 minutes")
