@@ -71,6 +71,8 @@ class ContextTrees:
         self.cost: dict[int, np.ndarray] = {}
         self.contexts: dict[int, _Table] = {}
         self.escape: dict[int, np.ndarray] = {}
+        if not self.langs:
+            return
         base = np.full((1, len(self.langs)), 8.0, np.float32)
         for k in range(order + 1):
             seen = [np.unique(_grams(joined[l], k + 1), return_counts=True) for l in self.langs]
