@@ -37,10 +37,10 @@ def upsert_stream(stream: DataFrame, target: str, key: str, order: str, checkpoi
     def write(batch: DataFrame, number: int) -> None:
         new = (prepare(batch) if prepare else batch).where(F.col(key).isNotNull())
         if number:
-            new = batch.sparkSession.read.parquet(f"{target}/v={number - 1}").select(new.columns).unionByName(new)
+            new = batch.sparkSession.read.parquet(f"{target}/batch_version={number - 1}").select(new.columns).unionByName(new)
         cols = [c for c in new.columns if c != key]
         latest = new.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_row")).select(key, "_row.*")
-        latest.select(new.columns).write.mode("overwrite").parquet(f"{target}/v={number}")
+        latest.select(new.columns).write.mode("overwrite").parquet(f"{target}/batch_version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -48,8 +48,8 @@ def upsert_stream(stream: DataFrame, target: str, key: str, order: str, checkpoi
 def current_version(spark: SparkSession, target: str) -> DataFrame:
     """Rows of the newest complete version."""
     rows = spark.read.option("basePath", target).parquet(target)
-    last = rows.agg(F.max("v")).first()[0]
-    return rows.where(F.col("v") == last).drop("v")
+    last = rows.agg(F.max("batch_version")).first()[0]
+    return rows.where(F.col("batch_version") == last).drop("batch_version")
 
 
 def in_lane(spark: SparkSession, pool: str) -> None:
