@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import display_key, month_key, to_number
@@ -145,8 +145,8 @@ def flag_top(df: DataFrame, column: str, n: int, percent: bool = False, name: st
     """Marks the n (or n percent, at least one) largest values with their ties, by a bound that one value each decides."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
     count = max(1, values.count() * n // 100) if percent else n
-    bound = values.orderBy(F.desc("_v")).limit(count).agg(F.min("_v").alias("_bound"))
-    return df.crossJoin(F.broadcast(bound)).withColumn(name, F.coalesce(F.col(column) >= F.col("_bound"), F.lit(False))).drop("_bound")  # one row
+    bound = values.orderBy(F.desc("_v")).limit(count).agg(F.min("_v")).first()[0]
+    return df.withColumn(name, F.coalesce(F.col(column) >= F.lit(bound), F.lit(False)))
 
 
 def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import natural_key
+from ..lineage import settle
 
 
 def named_fields(df: DataFrame) -> DataFrame:
@@ -49,10 +50,11 @@ def chain(conditions: Sequence[tuple[str, str, str, str]]) -> Column:
 def numbered(df: DataFrame, order: Sequence[Column | str], name: str, first: int = 1, buckets: int = 200) -> DataFrame:
     """Row numbers over a whole table: a range sort, numbers inside each part, and offsets from the parts' sizes.
 
-    One window over everything would put the table into one task.
+    One window over everything would put the table into one task. The numbered parts are written once, as sampling
+    could cut the ranges elsewhere the second time.
     """
     part = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    local = part.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    local = settle(part.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return local.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_at") + (first - 1)).cast("long")).drop("_part", "_at", "_n", "_before")

@@ -43,8 +43,8 @@ def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str
 
 def match_position(table: DataFrame, column: str, order: str, value: object) -> DataFrame:
     """XMATCH: 1-based place of the first row with a value, as a count of what lies before."""
-    first = table.where(F.col(column) == F.lit(value)).agg(F.min(order).alias("_at"))
-    return table.join(F.broadcast(first), F.col(order) <= F.col("_at")).agg(F.when(F.count(F.lit(1)) > 0, F.count(F.lit(1))).alias("position"))  # one row
+    first = table.where(F.col(column) == F.lit(value)).agg(F.min(order)).first()[0]
+    return table.where(F.col(order) <= F.lit(first)).agg(F.when(F.count(F.lit(1)) > 0, F.count(F.lit(1))).alias("position"))
 
 
 def _prefixes(path: Column, sep: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Sequence
@@ -65,15 +66,19 @@ def _near(array: Column, term: str) -> Column:
 def bm25(df: DataFrame, id_col: str, text: str, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score, matched): the published formula over whole-table statistics.
 
-    The texts are scanned once: counts of the few asked terms are taken inside each row, and only rows with a hit, next to
-    two totals, are moved.
+    Counts of the few asked terms are taken inside each row. One row of totals comes to the driver, and nothing is shuffled.
     """
     t = list(dict.fromkeys(terms))
     rows = df.select(F.col(id_col).alias("id"), words(F.col(text)).alias("w"))
     rows = rows.select("id", F.size("w").alias("len"), *(_count_of("w", q).alias(f"tf{i}") for i, q in enumerate(t)))
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(t))))
-    hit = rows.where(" OR ".join(f"tf{i} > 0" for i in range(len(t)))).crossJoin(F.broadcast(totals))  # one row
-    part = lambda i: F.when(F.col(f"tf{i}") > 0, F.ln(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.col("avg")))).otherwise(0.0)
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(t)))).first()
+    hit = rows.where(" OR ".join(f"tf{i} > 0" for i in range(len(t))))
+    idf = [math.log(1 + (total.n - total[f"df{i}"] + 0.5) / (total[f"df{i}"] + 0.5)) for i in range(len(t))]
+
+    def part(i: int) -> Column:
+        tf = F.col(f"tf{i}")
+        return F.when(tf > 0, F.lit(idf[i]) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(float(total.avg or 1))))).otherwise(0.0)
+
     return hit.select("id", sum((part(i) for i in range(len(t))), F.lit(0.0)).alias("score"), sum(((F.col(f"tf{i}") > 0).cast("int") for i in range(len(t))), F.lit(0)).alias("matched"))
 
 
@@ -158,9 +163,9 @@ def fuse(lexical: DataFrame, semantic: DataFrame, query: str | None = None, stro
     each = lexical.select("chunk_id", "document_id", (F.lit(a) / (60 + F.col("rank"))).alias("s"), F.when(F.col("strict"), F.col("rank")).alias("strict_rank")).unionByName(
         semantic.select("chunk_id", "document_id", (F.lit(b) / (60 + F.col("rank"))).alias("s"), F.lit(None).cast("int").alias("strict_rank")))
     out = each.groupBy("chunk_id").agg(F.min("document_id").alias("document_id"), F.sum("s").alias("score"), F.min("strict_rank").alias("_strict"))
-    n = lexical.where("strict").agg(F.count(F.lit(1)).alias("_n"))
-    pinned = F.when(F.lit(gate and query is not None and short) & F.col("_strict").isNotNull() & F.col("_n").between(1, 3), 1000.0 - (F.col("_strict") - 1)).otherwise(0.0)
-    return out.crossJoin(F.broadcast(n)).select("chunk_id", "document_id", "score", (F.col("score") + pinned).alias("order_score"))  # one row
+    gated = gate and query is not None and short and 1 <= lexical.where("strict").limit(4).count() <= 3
+    pinned = F.when(F.lit(gated) & F.col("_strict").isNotNull(), 1000.0 - (F.col("_strict") - 1)).otherwise(0.0)
+    return out.select("chunk_id", "document_id", "score", (F.col("score") + pinned).alias("order_score"))
 
 
 def diversify(df: DataFrame, most: int = 2, limit: int = 8) -> DataFrame:
