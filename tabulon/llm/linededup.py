@@ -1,16 +1,12 @@
-"""Line dedup by winnowing: window minima of line hashes are fingerprints, matches are extended, later runs go."""
+"""Line dedup: the least blocks of lines with enough words are hashed, and all but the first of each kind go."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
-
 #: A run of equal lines is removed from this many words on.
 LEAST_WORDS = 40
-#: Lines in a winnowing window: a run of so many lines always holds a fingerprint.
-WINDOW = 2
 _MARK = "\x01"
 
 
@@ -36,87 +32,68 @@ def hashed(docs: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(rows: DataFrame, window: int, least_words: int) -> DataFrame:
-    """(id, x, g, at): the fingerprints of `hashed` rows.
+def blocks(rows: DataFrame, least_words: int) -> DataFrame:
+    """(id, x, g, at, to): hash and first and last line of the least removable runs of `hashed` rows.
 
-    What is winnowed are hashes of blocks: at each line the smallest block of 1, 2, 4, 8 or 16 lines from there on with half
-    of `least_words` words, so that short common lines alone match nothing. A block is a fingerprint if its hash is the least
-    of a window of neighbouring blocks that holds it, or if it is a single line. So every run with `window` whole blocks or with a
-    line of half of `least_words` words holds one.
+    A block from line i on ends at the first line with which it has `least_words` words; blank lines before its first word
+    belong to it. From each line there are also the blocks that end later, and would have too few words without their first line.
+    Every run with enough words is the union of the blocks in it: a line with enough words before it in the run is the end of a
+    block, any other is in the block from the run's first line on. No two lines with words share a start and an end, so there
+    are at most twice as many blocks as lines.
     """
-    half, empty = least_words // 2, F.array().cast("array<bigint>")
-    d = rows.select("id", "x", F.col("h").alias("hk"), F.transform("w", lambda w: w.cast("long")).alias("wk"))
-    wide = lambda: F.zip_with("hk", "wk", lambda h, w: F.when(w >= half, h))
-    d = d.withColumn("one", wide()).withColumn("p", F.col("one"))
-    for gap in (1, 2, 4, 8):
-        two = lambda c, f, n=F.size("hk") - gap, gap=gap: F.when(n > 0, F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(gap + 1), n), f)).otherwise(empty)
-        d = d.withColumns({"hk": two("hk", lambda a, b: F.xxhash64(a, b)), "wk": two("wk", lambda a, b: a + b)})
-        d = d.withColumn("p", F.zip_with("p", wide(), lambda p, q: F.coalesce(p, q)))
-    count = F.size("p")
-    d = d.withColumn("low", F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count - window + 1, F.lit(1))), lambda i: F.array_min(F.slice("p", i, window)))))
-    # `low` is named twice on purpose: Catalyst then computes it once and doesn't put it into the lambda.
-    least = F.when(F.size("low") > 0, F.transform("p", lambda p, i: F.exists(F.slice("low", F.greatest(i - window + 2, F.lit(1)), F.least(i + 1, F.lit(window))), lambda m: m == p)))
-    d = d.withColumn("m", F.zip_with(F.zip_with(least, "one", lambda f, o: F.coalesce(f, F.lit(False)) | o.isNotNull()), "p", lambda f, p: F.when(f, p)))
-    some = F.filter(F.transform("m", lambda p, i: F.struct(p.alias("g"), i.alias("at"))), lambda m: m["g"].isNotNull())
-    return d.select("id", "x", F.explode(some).alias("m")).select("id", "x", "m.g", "m.at")
-
-
-def repeated(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+    d = rows.select("id", "x", "h", F.filter(F.transform("w", lambda w, i: F.when(w > 0, i)), lambda i: i.isNotNull()).alias("place"), F.filter("w", lambda w: w > 0).alias("w0"))
+    gaps = [1 << k for k in range((least_words - 1).bit_length())]
+    for k, gap in enumerate(gaps[:-1]):
+        n = F.size(f"w{k}") - gap
+        two = F.zip_with(F.slice(f"w{k}", F.lit(1), n), F.slice(f"w{k}", F.lit(gap + 1), n), lambda a, b: a + b)
+        d = d.withColumn(f"w{k + 1}", F.when(n > 0, two).otherwise(F.array().cast("array<int>")))
+    # The most lines with words that have fewer than `least_words` together are stepped over, by powers of two; the next one is the end.
+    sums = [F.struct(F.lit(gap).alias("gap"), F.col(f"w{k}").alias("w")) for k, gap in reversed([*enumerate(gaps)])]
+    d = d.select("id", "x", "h", "place", "w0", F.array(*sums).alias("sums"))
+
+    def over(acc: Column, s: Column) -> Column:
+        words = acc["words"] + F.get(s["w"], acc["at"])
+        return F.when(words < least_words, F.struct((acc["at"] + s["gap"]).alias("at"), words.alias("words"))).otherwise(acc)
+
+    # Arrays that a lambda takes from outside are named twice on purpose: Catalyst then computes them once and doesn't put them into it.
+    start = lambda r: F.struct(r.alias("at"), F.lit(0).alias("words"))
+    d = d.withColumn("last", F.when(F.size("sums") > 0, F.transform("w0", lambda w, r: F.aggregate("sums", start(r), over, lambda acc: acc["at"]))))
+    to = F.transform("last", lambda p, r: F.array_repeat(F.get("place", p), F.get("place", r) - F.coalesce(F.get("place", r - 1), F.lit(-1))))
+    d = d.select("id", "x", "h", F.filter(F.flatten(to), lambda j: j.isNotNull()).alias("to"))
+
+    def ends(j: Column, i: Column) -> Column:
+        later = F.sequence(j, F.greatest(j, F.coalesce(F.get("to", i + 1), F.size("h")) - 1))
+        return F.transform(later, lambda k: F.struct(F.xxhash64(F.slice("h", i + 1, k - i + 1)).alias("g"), i.alias("at"), k.alias("to")))
+
+    d = d.select("id", "x", F.explode(F.flatten(F.transform("to", ends))).alias("m"))
+    return d.select("id", "x", "m.g", "m.at", "m.to")
+
+
+def repeated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, x, gone: places of the lines to remove) for the documents that repeat a run of an earlier place.
 
-    Every occurrence of a fingerprint is joined with its first occurrence only (least id, x, place), so that a
-    passage in k documents makes k rows, and each joined pair is widened once per diagonal, over both documents' hashes.
-    """
-    rows = settle(hashed(docs))
-    marks = fingerprints(rows, window, least_words)
-    first = marks.groupBy("g").agg(F.min(F.struct("id", "x", "at")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("g", F.col("f.id").alias("id2"), F.col("f.x").alias("x2"), F.col("f.at").alias("at2"))
-    pairs = marks.join(first, "g").where("id != id2 OR x != x2 OR at != at2").select("id", "x", "id2", "x2", (F.col("at") - F.col("at2")).alias("shift"))
-    # One row for two documents, with all their diagonals: no more of these than the one has fingerprints.
-    pairs = pairs.groupBy("id", "x", "id2", "x2").agg(F.collect_set("shift").alias("shifts"))
-    pairs = settle(pairs)
-    used = pairs.select("id", "x").union(pairs.select("id2", "x2")).distinct()
-    rows = rows.join(used, ["id", "x"], "left_semi").dropDuplicates(["id", "x"])
-    both = pairs.join(rows, ["id", "x"]).join(rows.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("h").alias("g")), ["id2", "x2"])
-    runs = both.select("id", "x", F.array_distinct(F.flatten(F.transform("shifts", lambda s: _runs(s, least_words)))).alias("gone")).where(F.size("gone") > 0)
-    return runs.groupBy("id", "x").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-
-
-def _runs(shift: Column, least_words: int) -> Column:
-    """Places on a diagonal that lie in a maximal run of equal lines with enough words; one pass over h and g.
-
-    A copy within one document is removed at its later place only, as its shift is positive there.
+    Every block but the first of its kind (least id, x, place) goes. Blocks are moved once and never joined, so that
+    a passage in k documents makes k rows.
     """
-    state = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("start"), F.lit(0).alias("words"))
-    # the widened part can't leave the range in which both documents have lines
-    low = F.greatest(F.lit(0), shift)
-    high = F.least(F.size("h"), F.size("g") + shift)
-    places = F.when(high > low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-
-    def step(acc: Column, i: Column) -> Column:
-        same = (i < high) & (F.get("h", i) == F.get("g", i - shift))
-        words = acc["words"] + F.get("w", i)
-        ended = (acc["start"] >= 0) & (acc["words"] >= least_words)
-        closed = F.when(ended, F.concat(acc["out"], F.sequence(acc["start"], F.greatest(i - 1, acc["start"])))).otherwise(acc["out"])
-        return F.when(F.coalesce(same, F.lit(False)), F.struct(acc["out"].alias("out"), F.when(acc["start"] >= 0, acc["start"]).otherwise(i).alias("start"), words.alias("words"))).otherwise(
-            F.struct(closed.alias("out"), F.lit(-1).alias("start"), F.lit(0).alias("words")))
-
-    return F.aggregate(places, state, step, lambda acc: acc["out"])
+    place = Window.partitionBy("g").orderBy("id", "x", "at")
+    later = blocks(hashed(docs), least_words).withColumn("n", F.rank().over(place)).where("n > 1")
+    gone = later.groupBy("id", "x").agg(F.collect_set(F.struct("at", "to")).alias("runs"))
+    return gone.select("id", "x", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["to"]))))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` with later repeats of runs of lines removed from `text`, and n_lines_removed, n_words_removed, removed.
 
     A line ends at a line feed or a sentence end. A run is a sequence of lines, equal but for white space at their ends, that
     stands earlier too (in a document of smaller doc_id, or further up) and has at least `least_words` words. `removed`
-    has the places of the removed lines. See `fingerprints` for
-    the runs that are sure to be found; the first occurrence stays.
+    has the places of the removed lines. Every such run is found, whatever the length of its lines and wherever its parts stand
+    earlier too; the first occurrence stays.
 
     Null text stays null, and empty text empty. Null doc_ids come before all others. Rows of equal doc_id and
     text count as one document, and get the same result. Other columns are carried along.
     """
     keyed = docs.withColumn("_tb_id", F.coalesce(F.col("doc_id"), F.lit(-2**63))).withColumn("_tb_x", F.xxhash64("text"))
-    gone = repeated(keyed.where("text IS NOT NULL").select(F.col("_tb_id").alias("id"), F.col("_tb_x").alias("x"), "text"), window, least_words)
+    gone = repeated(keyed.where("text IS NOT NULL").select(F.col("_tb_id").alias("id"), F.col("_tb_x").alias("x"), "text"), least_words)
     out = keyed.join(gone.toDF("_tb_id", "_tb_x", "_tb_gone"), ["_tb_id", "_tb_x"], "left")
     out = out.withColumn("_tb_parts", F.when(F.col("_tb_gone").isNotNull(), lines(F.col("text"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_tb_parts") - 1), "_tb_gone")

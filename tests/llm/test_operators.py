@@ -119,6 +119,40 @@ def test_line_dedup(spark, docs, empty):
     assert {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}[8] == "a\x01b. c\nd"
 
 
+def brute_lines(rows, least):
+    """Places of the lines that lie in a run of `least` words that stands earlier too, by trying all runs."""
+    seen, gone = set(), {}
+    for d, text in sorted(rows):
+        parts = [p.strip() for p in re.split(r"(?<=\n)|(?<=\. )|(?<=\? )", text)] if text else []
+        out = set()
+        for i in range(len(parts)):
+            words = 0
+            for j in range(i, len(parts)):
+                words += len(parts[j].split())
+                if words >= least:
+                    run = tuple(parts[i:j + 1])
+                    if run in seen:
+                        out |= {*range(i, j + 1)}
+                    seen.add(run)
+        gone[d] = sorted(out)
+    return gone
+
+
+def places_removed(spark, rows, least):
+    return {r.doc_id: r.removed or [] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least_words=least).collect()}
+
+
+def test_line_dedup_of_short_lines(spark):
+    """Runs of one-word lines, of double-spaced lines and of one repeated sentence go too."""
+    one, two = [f"word{i}" for i in range(60)], "\n\n".join(f"left{i} right{i}" for i in range(50))
+    rows = [(1, "\n".join(one) + "\n"), (2, "Other. " + "\n".join(one) + "\nend"), (3, two), (4, f"Start\n{two}\nend"), (5, "Illue. " * 673)]
+    got = places_removed(spark, rows, 40)
+    assert got[1] == [] and got[2] == [*range(1, 61)] and len(got[4]) == 99 and len(got[5]) == 672
+    rng = np.random.default_rng(7)
+    rows = [(d, "".join(rng.choice(["a. ", "b\n", "\n", "\n", "c d. ", "e f g h i j k. "], 40, p=[.3, .3, .1, .1, .15, .05]))) for d in range(8)]
+    assert places_removed(spark, rows, 6) == brute_lines(rows, 6)
+
+
 def brute_links(rows, width, percent):
     sets = []
     for d, t in rows:
