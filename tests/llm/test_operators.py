@@ -153,6 +153,17 @@ def test_line_dedup_of_short_lines(spark):
     assert places_removed(spark, rows, 6) == brute_lines(rows, 6)
 
 
+def test_line_dedup_of_parts_that_stand_earlier(spark):
+    """A run goes although each of its lines stands alone, or beside others, in an earlier document."""
+    s1, s2 = (" ".join(f"{c}{i}" for i in range(25)) + ". " for c in "pq")
+    got = places_removed(spark, [(1, s1), (2, s2), (3, s1 + s2), (4, s1 + s2)], 40)
+    assert {d: p[:2] for d, p in got.items()} == {1: [], 2: [], 3: [], 4: [0, 1]}
+    rng = np.random.default_rng(11)
+    shared = [" ".join(f"s{k}w{i}" for i in range(n)) + ". " for k, n in enumerate((3, 8, 12, 20, 25, 39))]
+    rows = [(d, "".join(rng.choice(shared, 9))) for d in range(30)]
+    assert places_removed(spark, rows, 40) == brute_lines(rows, 40)
+
+
 def brute_links(rows, width, percent):
     sets = []
     for d, t in rows:
