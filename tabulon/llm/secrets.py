@@ -31,13 +31,19 @@ class CharClass:
 CLASSES = (
     CharClass("base64", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}", ("[a-z]", "[A-Z]", "[0-9]"), 3.9),
     CharClass("lower36", r"(?<![A-Za-z0-9])[a-z0-9]{%d,}(?![A-Za-z0-9])", ("[a-z]", "[0-9]"), 3.3),
+    CharClass("upper36", r"(?<![A-Za-z0-9])[A-Z0-9]{%d,}(?![A-Za-z0-9])", ("[A-Z]", "[0-9]"), 3.3),
+    CharClass("hex16", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{%d,}(?![A-Za-z0-9])", ("[A-Fa-f]", "[0-9]"), 3.0),
+    # letters alone, also beside digits; names of several words have a capital after each word, but hardly after one or two letters
+    CharClass("letters", r"(?<![A-Za-z])[A-Za-z]{%d,}(?![A-Za-z])", ("[A-Z][a-z]{1,2}[A-Z]",), 3.9),
 )
-#: Strings that look random and are no secrets: UUIDs, running alphabets, placeholders.
+#: Candidates that look random and are no secrets: UUIDs, words joined by signs.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)0123456789|abcdefghij|example|placeholder|changeme|xxxxxx",
     r"^[A-Za-z]+([-_/][A-Za-z]+)+[0-9]{0,4}$",
 )
+#: Running alphabets and placeholders: the part of a candidate between =, /, _ and - that holds one isn't measured, the rest is.
+PLACEHOLDER = "(?i)(?:0123456789|abcdefghij|example|placeholder|changeme|xxxxxx)"
+_PART = f"(?<![^=/_-])[^=/_-]*?{PLACEHOLDER}[^=/_-]*"
 WINDOW = 20
 _SPAN = "struct<s:int,k:int,e:int>"
 _NONE = f"array<{_SPAN}>"
@@ -61,6 +67,16 @@ def _span(start: Column, kind: int, end: Column) -> Column:
     return F.struct(start.cast("int").alias("s"), F.lit(kind).alias("k"), end.cast("int").alias("e"))
 
 
+def _united(spans: str) -> Column:
+    """Sorted spans, those that overlap as one: a string may be a candidate of several classes."""
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        wider = F.struct(last["s"].alias("s"), last["k"].alias("k"), F.greatest(last["e"], x["e"]).alias("e"))
+        return F.when(last["e"] > x["s"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(spans, F.array().cast(_NONE), step)
+
+
 def random_parts(token: Column, bits: float, window: int = WINDOW) -> Column:
     """Array of (s, e) within `token`: unions of the windows whose entropy is at least `bits`.
 
@@ -98,7 +114,7 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: Sequence[CharClass] = C
 
     A span is a struct (s, k, e): start, place of the kind in KINDS, end (exclusive), in code points. `base` holds the
     fixed patterns' matches; `found` also the high-entropy parts of candidate strings that no allow-list
-    pattern matches and no base span contains. Arrays are ordered by start, then kind.
+    pattern matches and no base span contains, without their placeholders; parts that overlap are joined. Arrays are ordered by start, then kind.
 
     The work is per document and nothing is shuffled. Null text: empty, no spans. Null doc_ids and
     repeated rows are scanned like others; other columns aren't read.
@@ -124,17 +140,27 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: Sequence[CharClass] = C
 
         def each(m: Column, start: Column, i: Column, c: CharClass = c) -> Column:
             fine = F.lit(True)
-            for need in c.needs:
-                fine = fine & m.rlike(need)
             for pass_ in allowed:
                 fine = fine & ~m.rlike(pass_)
-            return F.when(fine, F.transform(random_parts(m, c.bits, window), lambda p: _span(start + p["s"], KINDS.index("entropy"), start + p["e"]))).otherwise(F.array().cast(_NONE))
+            pieces = F.when(m.rlike(PLACEHOLDER), F.split(m, _PART, -1)).otherwise(F.array(m))
+            cut = F.when(m.rlike(PLACEHOLDER), F.regexp_extract_all(m, F.lit(_PART), F.lit(0))).otherwise(F.array().cast("array<string>"))
+            both = F.zip_with(pieces, cut, lambda p, q: F.struct(p.alias("p"), F.coalesce(F.length(q), F.lit(0)).alias("n")))
+            state = F.struct(start.cast("int").alias("at"), F.array().cast(_NONE).alias("out"))
+
+            def piece(acc: Column, x: Column) -> Column:
+                long = F.length(x["p"]) >= window
+                for need in c.needs:
+                    long = long & x["p"].rlike(need)
+                spans = F.transform(random_parts(x["p"], c.bits, window), lambda p: _span(acc["at"] + p["s"], KINDS.index("entropy"), acc["at"] + p["e"]))
+                return F.struct((acc["at"] + F.length(x["p"]) + x["n"]).alias("at"), F.when(long, F.concat(acc["out"], spans)).otherwise(acc["out"]).alias("out"))
+
+            return F.when(fine, F.aggregate(both, state, piece, lambda acc: acc["out"])).otherwise(F.array().cast(_NONE))
 
         d = d.withColumn(f"s_{c.name}", F.when(F.size(f"m_{c.name}") > 0, _walk(f"m_{c.name}", f"g_{c.name}", each)).otherwise(F.array().cast(_NONE)))
     base = F.concat(*(F.col(f"s_{kind}") for kind in PATTERNS))
     d = d.withColumn("base", F.array_sort(base))
     more = F.filter(F.array_distinct(F.concat(*(F.col(f"s_{c.name}") for c in classes))), lambda x: (F.size("base") == 0) | ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
-    d = d.withColumn("more", more)
+    d = d.withColumn("more", F.array_sort(more)).withColumn("more", F.when(F.size("more") > 1, _united("more")).otherwise(F.col("more")))
     return d.select(
         "doc_id", *(F.size(f"s_{kind}").cast("long").alias(f"n_{kind}") for kind in PATTERNS), F.size("more").cast("long").alias("n_entropy"),
         "base", F.array_sort(F.concat("base", "more")).alias("found"), "text",
