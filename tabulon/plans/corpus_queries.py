@@ -132,6 +132,11 @@ def _(s, d):
     return load(s, d, "documents").where(~F.col("text").rlike(r"[0-9][0-9 ()-]{7,}[0-9]")).select("doc_id", filters.redact(F.col("text")).alias("text"))
 
 
+@query("c23_redact_all", "SELECT doc_id, regexp_replace(regexp_replace(text, '\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b', '[EMAIL]', 'gi'), '(^|[^0-9])\\+?[0-9][0-9 ()-]{7,}[0-9]', '\\1[PHONE]', 'g') AS text FROM documents")
+def _(s, d):
+    return load(s, d, "documents").select("doc_id", filters.redact(F.col("text")).alias("text"))
+
+
 @query("c24_placeholders", "SELECT c_custkey, ['name', 'city'] AS labels FROM customer")
 def _(s, d):
     t = F.concat(F.lit("Dear {{ name }}, "), "c_name", F.lit(" in {{city}}"))
@@ -229,6 +234,12 @@ def _(s, d):
     return records.compare(docs, new, "doc_id", "text").select("page", "removed_count")
 
 
+@query("m15_page_compare_all", "SELECT doc_id AS page, coalesce(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) - (trim(string_split(text, chr(10))[1]) <> '')::INT, 0)::BIGINT AS removed_count FROM documents")
+def _(s, d):
+    docs = load(s, d, "documents")
+    return records.compare(docs, docs.withColumn("text", F.substring_index("text", "\n", 1)), "doc_id", "text").select("page", "removed_count")
+
+
 @query("m19_pick_list", "SELECT min(p_type) AS value FROM part WHERE trim(p_type) <> '' GROUP BY lower(p_type)")
 def _(s, d):
     return records.pick_list(load(s, d, "part"), "p_type")

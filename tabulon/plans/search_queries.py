@@ -18,6 +18,12 @@ def _(s, d):
     return docs.select("doc_id", tx.fold_any("text").alias("folded"))
 
 
+@query("b01_fold_text_all")
+def _(s, d):
+    """Class codes and number pairs included; DuckDB has no Unicode normalization."""
+    return load(s, d, "documents").select("doc_id", tx.fold_any("text").alias("folded"))
+
+
 @query("b02_tokenize", f"SELECT doc_id, len({_W}) AS n, array_to_string({_W}[1:5], ' ') AS head FROM documents")
 def _(s, d):
     t = tx.index_tokens(F.col("text"))
