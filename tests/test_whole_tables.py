@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon import registry
 from tabulon.functions import text as tx
@@ -37,3 +38,23 @@ def test_compare_all(spark, texts):
     lines = {d: [x.strip() for x in (t or "").split("\n")] for d, t in texts.items()}
     assert got == {d: sum(map(bool, x)) - bool(x[0]) for d, x in lines.items()}
     assert any(len(set(x)) < len(x) for x in lines.values())
+
+
+def cut_lines(t):
+    out = []
+    for x in re.split(r"\r?\n", t):
+        x = re.sub(r"\s+", " ", x, flags=re.A).strip(" ")
+        if len(x) <= 200:
+            out += [x] if x else []
+        else:
+            for y in re.split(r"(?<=[.!?;])\s+", x, flags=re.A):
+                out += [y[i:i + 400] for i in range(0, len(y), 400)]
+    return out
+
+
+def test_split_all(spark, texts):
+    got = sorted((r.doc_id, r.pos, r.line) for r in made(spark, "c04_split_lines_all"))
+    assert got == sorted((d, i, x) for d, t in texts.items() if t is not None for i, x in enumerate(cut_lines(t)))
+    assert any(len(x) > 200 for t in texts.values() for x in (t or "").split("\n"))
+    long = spark.createDataFrame([(f"{'a' * 150}. {'b' * 950}! c\n d ",)], "t string").select(tx.split_lines(F.col("t"))).first()[0]
+    assert [len(x) for x in long] == [151, 400, 400, 151, 1, 1]
