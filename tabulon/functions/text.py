@@ -44,6 +44,17 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
 
 
+def sums_before(n: str, block: int = 32) -> Column:
+    """For each element of a column of longs the sum of those before it; sums go on by blocks, so that no long array grows one by one."""
+    grown = lambda acc, x, out, more: F.struct((acc["sum"] + more).alias("sum"), F.concat(acc["out"], F.array(out)).alias("out"))
+    zero = F.lit(0).cast("long")
+    inner = lambda i: F.aggregate(F.slice(n, i, block), F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("out")), lambda acc, x: grown(acc, x, acc["sum"], x))
+    # `n` is named outside the lambda too: Catalyst then computes it once, and not for each block.
+    blocks = F.when(F.size(n) > 0, F.transform(F.sequence(F.lit(1), F.size(n), F.lit(block)), inner))
+    start = F.struct(zero.alias("sum"), F.array().cast("array<array<bigint>>").alias("out"))
+    return F.aggregate(blocks, start, lambda acc, b: grown(acc, b, F.transform(b["out"], lambda v: v + acc["sum"]), b["sum"]), lambda acc: F.flatten(acc["out"]))
+
+
 def index_tokens(c: Column) -> Column:
     """Whole words, and the overlapping pairs of CJK runs (a run of one character stays)."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(f"[{CJK}]+|[\\p{{L}}\\p{{N}}\\p{{M}}&&[^{CJK}]]+"), F.lit(0))

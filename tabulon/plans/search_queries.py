@@ -48,6 +48,13 @@ def _(s, d):
     return each.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length(F.array_join(F.slice("w", F.lit(1), F.col("pos")), "")).cast("long").alias("before"))
 
 
+@query("b06_token_coverage_all", f"SELECT doc_id, i - 1 AS pos, coalesce(sum(length(t)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT r, doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT row_number() OVER () AS r, doc_id, {_W} AS w FROM documents))")
+def _(s, d):
+    lens = load(s, d, "documents").select("doc_id", F.transform(tx.words(F.col("text")), lambda t: F.length(t).cast("long")).alias("n"))
+    each = lens.select("doc_id", F.posexplode(tx.sums_before("n")).alias("pos", "before"))
+    return each.select("doc_id", F.col("pos").cast("long").alias("pos"), "before")
+
+
 @query("b10_identifiers", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '([a-z]+[0-9]+)', 1)), '^([a-z]+)0+([0-9])', '\\1\\2') AS code FROM pages")
 def _(s, d):
     return load(s, d, "pages").select("page_id", tx.canonical_identifier(F.lower(F.regexp_extract("url", "([a-z]+[0-9]+)", 1))).alias("code"))
