@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHE
 from .common import settle
+from .texts import LATIN, SIGNS, cut, flat, gather, slices
 
 #: Longest code, tokens after which a block ends with its document, tokens between two bit offsets.
 LIMIT, BLOCK, STEP = 18, 1 << 17, 128
+#: Bytes of text whose distinct strings the tokenizer is asked for at once; a bound of memory that changes no result.
+STRETCH = 16 << 20
+#: The split pattern (a fixed value) of tokenizers whose texts may be cut at white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BLOCKS = "part int, block int, first long, n long, doc_id array<long>, sizes binary, offsets binary, bits binary"
 
 
@@ -96,93 +103,137 @@ def _book(lengths: bytes) -> Codebook:
     return Codebook(np.frombuffer(lengths, np.uint8))
 
 
-class _Words(dict):
-    """Ids of white-space-free strings, as bytes. The tokenizer drops white space, so a text's ids are its strings'.
+class WordEncoder:
+    """Ids of texts by a tokenizer of the tokenizers library, which is asked for each distinct string of a stretch of texts.
 
-    It also splits letters from signs and lower-cases, so a word of Latin letters with at most one comma or full stop behind it
-    is put together from the word in lower case and the sign; only words unknown in that form go to the tokenizer.
-    Both caches have two generations: a full one becomes the older, from which used entries are taken over.
+    Texts are cut at ASCII white space if the tokenizer's own configuration says that it drops white space, lower-cases
+    and splits letters from signs (`_cuts`); any other tokenizer is given whole texts. Then strings of Latin letters are lower-cased
+    and put together from the letters and the signs behind them, so that fewer strings are asked for. With marks for the end of
+    a word in the vocabulary, many letter strings are asked for as one text and told apart by these marks.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.older: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.older_cores: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Makes all of `words` known."""
-        new = words - self.keys()
-        if len(self) + len(new) > CACHE:
-            self.older = dict(self)
-            self.clear()
-            new = words
-        parts: dict[str, tuple[str, str]] = {}
-        for w in new:
-            got = self.older.get(w)
-            if got is not None:
-                self[w] = got
-                continue
-            core, sign = (w[:-1], w[-1]) if w[-1:] in (",", ".") else (w, "")
-            plain = core.isalpha() and (core.isascii() or max(core) <= "\u024f") and len(core.lower()) == len(core)
-            parts[w] = (core.lower(), sign) if plain else (w, "")
-        asked = {x for pair in parts.values() for x in pair}
-        if len(self.cores) + len(asked) > 2 * CACHE:
-            self.older_cores, self.cores = self.cores, {}
-        known = {x: self.older_cores[x] for x in asked - self.cores.keys() if x in self.older_cores}
-        each = list(asked - self.cores.keys() - known.keys())
-        self.cores |= known | {x: np.asarray(got.ids, "<u2").tobytes() for x, got in zip(each, self.tokenizer.encode_batch(each, add_special_tokens=False), strict=True)}
-        for w, (core, sign) in parts.items():
-            self[w] = self.cores[core] + self.cores[sign]
-        for w in [w for w in new if len(w) > 64]:
-            self.cores.pop(w, None)
-
-    def forget(self, words: set[str]) -> None:
-        """Strings too long to keep."""
-        for w in words:
-            if len(w) > 64:
-                del self[w]
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = max(vocabulary.values(), default=0) + 1
+        with open(path, encoding="utf-8") as f:
+            self.cuts = _cuts(config := json.load(f))
+        suffix = config["model"].get("end_of_word_suffix") if self.cuts else None
+        self.ends = np.zeros(self.size, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def asked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the number of each text's, as the library gives them."""
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), np.int32), np.array([len(x) for x in each], np.int64)
+
+    def single(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As `asked`, for strings that are one match of the splitting pattern each (or empty)."""
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        some = np.flatnonzero(size)
+        count = np.zeros(len(words), np.int64)
+        groups = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(some), 256), len(some)), pa.int32()), words.take(pa.array(some)).cast(pa.string()))
+        ids, sizes = self.asked(pc.binary_join(groups, " "))
+        at = np.flatnonzero(self.ends[ids])
+        first = np.searchsorted(at, np.cumsum(sizes) - sizes)
+        told = np.diff(np.append(first, len(at)))
+        if not (told == np.diff(groups.offsets.to_numpy())).all() or (len(ids) and at[-1:] != len(ids) - 1):
+            return self.asked(words)
+        count[some] = np.diff(at, prepend=-1)
+        return ids, count
+
+    def encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column one after another, and the end of each."""
+        if not self.cuts:
+            ids, n = self.asked(column.fill_null(""))
+            return ids, np.cumsum(n)
+        data, starts = flat(column)
+        chunks, first = cut(data, starts, np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13))))
+        distinct = pc.ascii_ltrim_whitespace(chunks.dictionary)
+        part = pc.extract_regex(distinct, f"^(?P<a>[{LATIN}]+)(?P<b>[{SIGNS}]*)$")
+        fits = part.is_valid().to_numpy(zero_copy_only=False)
+        plain, odd = np.flatnonzero(fits), np.flatnonzero(~fits)
+        letters, signs = (pc.struct_field(part, k).filter(pa.array(fits)) for k in range(2))
+        one = pa.concat_arrays([pc.utf8_lower(letters), signs]).dictionary_encode()
+        pieces = len(one.dictionary)
+        (ids, n), (more, m) = (self.single if self.ends.any() else self.asked)(one.dictionary), self.asked(distinct.filter(pa.array(~fits)))
+        ids, ends = np.concatenate([ids, more]), np.cumsum(np.concatenate([n, m]))
+        # each chunk is two strings: letters and signs, or all of it and nothing
+        nothing = len(ends)
+        which = np.full((len(distinct), 2), nothing, np.int64)
+        which[plain] = one.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T
+        which[odd, 0] = pieces + np.arange(len(odd))
+        per_piece, done = gather(ids, np.append(ends, len(ids)), which.reshape(-1))
+        out, done = gather(per_piece, done[1::2], chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        return out, np.concatenate([[0], done])[first[1:]]
+
+
+def _cuts(config: dict) -> bool:
+    """Whether ids of a text are those of its strings between ASCII white space, whose case and signs may be taken apart."""
+    def steps(x: dict | None, key: str) -> list[dict]:
+        return [] if x is None else x.get(key, [x])
+
+    norm, pre = steps(config.get("normalizer"), "normalizers"), steps(config.get("pre_tokenizer"), "pretokenizers")
+    return (
+        [n["type"] for n in norm] == ["NFC", "Replace", "Lowercase"] and norm[1]["pattern"] == {"Regex": r"\s+"} and norm[1]["content"] == " "
+        and [p["type"] for p in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"] == {"Regex": SPLIT} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+        and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"] and config.get("post_processor") is None and config.get("truncation") is None and config.get("padding") is None
+        and all(t["special"] and not t["single_word"] and not t["lstrip"] and not t["rstrip"] and t["content"].startswith("<|") and not any(map(str.isspace, t["content"])) for t in config["added_tokens"])
+    )
 
 
 @lru_cache(1)
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
+def _width(size: int) -> str:
+    """Ids on their way: 16 bits if all fit, else 32."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): ids of each text and the end id, 16 bits each, compressed for the way through a shuffle."""
+    """(doc_id, ids): ids of each text and the end id, as `write_ids` takes them.
+
+    Each row is packed by itself for the way through a shuffle: a byte with the bytes of an id, the number of ids, and the
+    compressed ids. `path` must name the tokenizer on every executor.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end, codec = _words(path), np.asarray([end_id], "<u2").tobytes(), pa.Codec("zstd", 1)
+        encoder, codec = _encoder(path), pa.Codec("zstd", 1)
+        kind = _width(max(encoder.size, end_id + 1))
+        wide, end = int(kind[-1]), np.asarray([end_id], kind).tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                texts = [(t or "").replace("\n", " ").split(" ") for t in part.column(1).to_pylist()]
-                every = set().union(*texts)
-                known.learn(every)
-                rows = [b"".join(map(known.__getitem__, words)) + end for words in texts]
-                known.forget(every)
-                packed = [len(r).to_bytes(8, "little") + codec.compress(r, asbytes=True) for r in rows]
+            for part in slices(batch, most=STRETCH):
+                ids, ends = encoder.encoded(part.column(1))
+                raw, a, packed = ids.astype(kind).tobytes(), 0, []
+                for b in (ends * wide).tolist():
+                    row = raw[a:b] + end
+                    packed.append(wide.to_bytes(1, "little") + (len(row) // wide).to_bytes(8, "little") + codec.compress(row, asbytes=True))
+                    a = b
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def _unpack(packed: bytes, codec: pa.Codec) -> np.ndarray:
-    return np.frombuffer(codec.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True), "<u2")
+    wide, n = packed[0], int.from_bytes(packed[1:9], "little")
+    return np.frombuffer(codec.decompress(packed[9:], n * wide, asbytes=True), f"<u{wide}")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, codec = np.zeros(1 << 16, np.int64), pa.Codec("zstd", 1)
+    total, codec = np.zeros(0, np.int64), pa.Codec("zstd", 1)
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
-            rows = batch.column(0).slice(k, 256).to_pylist()
-            total += np.bincount(np.concatenate([_unpack(x, codec) for x in rows]), minlength=1 << 16)
+            more = np.bincount(np.concatenate([_unpack(x, codec) for x in batch.column(0).slice(k, 256).to_pylist()]), minlength=len(total))
+            more[: len(total)] += total
+            total = more
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["id", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], ["id", "n"])
 
 
 def write_ids(tokens: DataFrame, path: str) -> None:
@@ -194,9 +245,9 @@ def write_ids(tokens: DataFrame, path: str) -> None:
     Null doc_ids come first; rows of equal doc_id are ordered by their ids, so reruns agree.
     """
     spark = tokens.sparkSession
-    # at most 65,536 rows, whatever the input
-    found = tokens.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(1 << 16, np.int64)
+    # a row for each id of the vocabulary at most, whatever the input
+    found = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max((r.id for r in found), default=0) + 1, np.int64)
     for r in found:
         counts[r.id] = r.n
     lengths = code_lengths(counts)
