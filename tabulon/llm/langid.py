@@ -6,46 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of context, and the bounds of the training sample of each language.
-ORDER, TRAIN_DOCS, TRAIN_BYTES = 3, 1000, 1 << 20
+from .texts import RowTable
+
+#: Bytes of context, the bounds of the training sample of each language, and the most languages (the frequent ones) to learn.
+ORDER, TRAIN_DOCS, TRAIN_BYTES, MOST_LANGS = 3, 1000, 1 << 20, 64
+#: A text of at least LEAST_BYTES is in no learned language if it needs FOREIGN times the bits a byte that its best language's texts need.
+LEAST_BYTES, FOREIGN = 200, 2.5
 #: Bytes scored at once; a bound of memory that changes no result.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _PAD = b"\n"
 
 
-class _Table:
-    """An open-addressing table from 64-bit keys to rows, looked up for whole arrays."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(8, int(max(1, len(keys)) * 3).bit_length())
-        self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        left, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
-        while len(left):
-            free = self.rows[at] < 0
-            _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
-            placed = np.zeros(len(left), bool)
-            placed[first] = free[first]
-            self.keys[at[placed]], self.rows[at[placed]] = keys[left[placed]], left[placed]
-            left, at = left[~placed], (at[~placed] + 1) & ((1 << self.bits) - 1)
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key, -1 without one."""
-        at = self._home(keys)
-        out = self.rows[at]
-        todo = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
-            out[todo] = self.rows[at[todo]]
-            todo = todo[(out[todo] >= 0) & (self.keys[at[todo]] != keys[todo])]
-        return out
-
-
 def _grams(data: np.ndarray, k: int) -> np.ndarray:
     """The k bytes that end at each place from k - 1 on, as whole numbers."""
     out = np.zeros(max(0, len(data) - k + 1), np.uint64)
@@ -67,10 +42,11 @@ class ContextTrees:
         self.order, self.langs = order, sorted(texts)
         joined = {l: np.frombuffer(b"".join(_PAD * order + t for t in texts[l]), np.uint8).astype(np.uint64) for l in self.langs}
         self.short: list[np.ndarray] = []  # orders 0 and 1, dense
-        self.grams: dict[int, _Table] = {}
+        self.grams: dict[int, RowTable] = {}
         self.cost: dict[int, np.ndarray] = {}
-        self.contexts: dict[int, _Table] = {}
+        self.contexts: dict[int, RowTable] = {}
         self.escape: dict[int, np.ndarray] = {}
+        self.usual = np.full(len(self.langs), 8.0)
         if not self.langs:
             return
         base = np.full((1, len(self.langs)), 8.0, np.float32)
@@ -94,7 +70,11 @@ class ContextTrees:
             if k < 2:
                 self.short.append(cost)
             else:
-                self.grams[k], self.cost[k], self.contexts[k], self.escape[k] = _Table(every), cost, _Table(ctx_all), escape
+                self.grams[k], self.cost[k], self.contexts[k], self.escape[k] = RowTable(every), cost, RowTable(ctx_all), escape
+        for j, l in enumerate(self.langs):  # the median text of each language: junk in the sample doesn't move it
+            each = [t for t in texts[l] if len(t) >= LEAST_BYTES] or [t for t in texts[l] if t]
+            if each:
+                self.usual[j] = np.median(self.score(each)[:, j] / [len(t) for t in each])
 
     def lengths(self, data: np.ndarray) -> np.ndarray:
         """Bits of each byte from place `order` on, a column for each language."""
@@ -166,15 +146,15 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, order: int = ORDER, most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> ContextTrees:
     """Fit on at most `most_docs` whole texts and `most_bytes` bytes of each lang, in hash order, from rows not held out.
 
-    The first pass counts the rows of each lang; the second brings ids, sizes and hashes of about twice the wanted number
+    The first pass counts the rows of each lang, of which the MOST_LANGS most frequent are learned; the second brings ids, sizes and hashes of about twice the wanted number
     to the driver, which cuts them at the bounds; the third brings those texts. Texts of more than a quarter of the
     byte bound are left to others. So the driver holds a bounded sample, whatever the input. Rows of null doc_id take no part.
     """
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     size = F.octet_length("text")
     rows = rows.where(~held_out(F.col("doc_id")) & (size > 0) & (size <= most_bytes // 4))
-    rows = rows.select("lang", "text", size.alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
-    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.select("lang", "text", size.alias("size"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h"))
+    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not count:
         return ContextTrees({}, order)
     cut = {lang: min(1 << 40, int((1 << 40) * (2 * most_docs + 50) / n)) for lang, n in count.items()}
@@ -231,13 +211,17 @@ def identify(docs: DataFrame, trees: ContextTrees) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
-def accepted(docs: DataFrame, trees: ContextTrees, most_bits: float = 8.0) -> DataFrame:
+def accepted(docs: DataFrame, trees: ContextTrees, foreign: float = FOREIGN) -> DataFrame:
     """The rows of `docs` in a language that was learned, with all their columns and without a shuffle.
 
-    Rejected are texts that are null or have no letter, and those for which the best language's code is no shorter than
-    plain bytes (`most_bits` a byte). If nothing was learned, only texts without letters go.
+    Rejected are texts that are null or have no letter, and those no language of the trees fits: of at least LEAST_BYTES
+    bytes, for which the best language needs more than `foreign` times the bits a byte that it needs for its own median text, or
+    shorter ones, if it needs no fewer than plain bytes (8 a byte). If nothing was learned, only texts without letters go.
+    A null `lang` becomes the predicted language; other columns stay as they are. Null doc_ids and repeated rows are judged by
+    their texts like others.
     """
     shared, place = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index("text")
+    lang = docs.columns.index("lang") if "lang" in docs.columns and docs.schema["lang"].dataType.simpleString() == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -248,7 +232,14 @@ def accepted(docs: DataFrame, trees: ContextTrees, most_bits: float = 8.0) -> Da
                 fine = np.array([has_letter(t) for t in texts], bool)
                 if model.langs:
                     raw = [_bytes(t) if f else b"" for t, f in zip(texts, fine, strict=True)]
-                    fine &= model.score(raw).min(1) < most_bits * np.maximum(1, np.array([len(t) for t in raw]))
+                    size = np.array([len(t) for t in raw])
+                    bits = model.score(raw) / np.maximum(1, size)[:, None]
+                    best = bits.argmin(1)
+                    fine &= bits.min(1) < np.where(size >= LEAST_BYTES, np.minimum(8.0, foreign * model.usual[best]), 8.0)
+                    if lang is not None and part.column(lang).null_count:
+                        told = pc.fill_null(part.column(lang), pa.array([model.langs[b] for b in best], part.column(lang).type))
+                        part = part.set_column(lang, part.schema.field(lang), pc.if_else(pa.array(fine), told, part.column(lang)))
                 yield part.filter(pa.array(fine))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)

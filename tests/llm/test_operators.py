@@ -271,6 +271,32 @@ def test_huffman(spark, docs, empty, tmp_path):
     assert got == want and huffman.round_trip(empty, path, f"file://{tmp_path}/none").count() == 0
 
 
+def test_huffman_words_and_blocks(spark, tmp_path, monkeypatch):
+    """Odd strings through the cut and uncut ways, ids of 32 bits, and files of several blocks and ranges."""
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizers.path("word_bpe_49k.json"), np.random.default_rng(6)
+    t, alphabet = Tokenizer.from_file(path), list("aBcé'<|> \n,.%1İß日 \u0301Σ\x1c\u00a0")
+    odd = ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(3000)] + [None, "", "a<|endoftext|>b It's DON'T", "Straße. ÀÉ! foo%%%"]
+    encoder = huffman.WordEncoder(path)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in odd]
+    for cuts in (True, False):
+        encoder.cuts = cuts
+        ids, ends = encoder.encoded(pa.array(odd))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    df = spark.createDataFrame([(i, f"{x or ''} {'word ' * (i % 5)}") for i, x in enumerate(odd)], "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(huffman, "BLOCK", 500)
+    for k, size in enumerate((1 << 16, 0)):
+        monkeypatch.setattr(huffman, "_width", lambda n, size=size: "<u2" if n <= size else "<u4")
+        got = huffman.round_trip(df, path, f"file://{tmp_path}/ids{k}").orderBy("start").collect()
+        at = 0
+        for r, x in zip(got, sorted(df.collect(), key=lambda r: r.doc_id), strict=True):
+            ids = [*t.encode(x.text, add_special_tokens=False).ids, 1]
+            assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (x.doc_id, at, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+            at += len(ids)
+        assert spark.read.parquet(f"file://{tmp_path}/ids{k}/blocks").count() > 20
+
+
 def test_context_trees():
     texts = {"a": [b"the cat sat on the mat", b"that hat"], "b": [b"le chat est la", b"les chats"]}
     for order in (0, 1, 2, 3, 4):
@@ -322,15 +348,22 @@ def test_bpe(docs, empty):
         ids = enc.encode_ordinary(text[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
-    c, rng = bpe.codec(path, tokenizers.PATTERN), np.random.default_rng(2)
-    for s in ("".join(rng.choice(list("ab cdé\n\t ñ'st12漢😀., "), rng.integers(0, 30))) for _ in range(2000)):
-        assert np.frombuffer(c.encode(s), "<u4").tolist() == enc.encode_ordinary(s)
+    v, c, rng = bpe.tables(path), bpe.PrefixBPE(bpe.vocabulary(path)), np.random.default_rng(2)
+    alphabet = list("abthe cdé\n\t ñ'st12漢😀., \u3000\u00a0\u2028\x1c\x85àÀ")
+    odd = ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(4000)] + ["x" * 300, " " * 90, "the" * 40 + " " + "漢" * 50, None]
+    other = r"\p{L}+|[^\p{L}]"
+    for pattern in (tokenizers.PATTERN, other):
+        e = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.vocabulary(path), special_tokens={})
+        ids, ends = bpe.encoded(pa.array(odd), v, pattern)
+        for text_, got in zip(odd, np.split(ids, ends[:-1]), strict=True):
+            assert got.tolist() == e.encode_ordinary(text_ or ""), text_
+            assert v.decode(got)[0].tobytes() == (text_ or "").encode()
     for _ in range(200):
         data = bytes(rng.choice(list(b"thearintio"), rng.integers(5, 200)).astype(np.uint8))
         at, gone, new = int(rng.integers(0, len(data))), int(rng.integers(0, 4)), bytes(rng.choice(list(b"xyth"), rng.integers(0, 5)).astype(np.uint8))
         gone = min(gone, len(data) - at)
-        assert bpe.Prefixes(c.bpe, data).edit(at, gone, new).last == bpe.Prefixes(c.bpe, data[:at] + new + data[at + gone:]).last
-    back = bpe.decode_ids(bpe.encode_texts(docs, path, tokenizers.PATTERN, with_ids=True), path, tokenizers.PATTERN)
+        assert bpe.Prefixes(c, data).edit(at, gone, new).last == bpe.Prefixes(c, data[:at] + new + data[at + gone:]).last
+    back = bpe.decode_ids(bpe.encode_texts(docs, path, tokenizers.PATTERN, with_ids=True), path)
     assert {r.doc_id: r.text for r in back.collect()} == text and bpe.encode_texts(empty, path, tokenizers.PATTERN).count() == 0
 
 
