@@ -13,8 +13,6 @@ from pyspark.sql.types import StringType
 #: Blocks whose characters count one by one and are indexed as pairs (fixed values).
 CJK = "\\x{2E80}-\\x{2FDF}\\x{3005}-\\x{3007}\\x{3040}-\\x{30FF}\\x{3100}-\\x{312F}\\x{3130}-\\x{318F}\\x{31A0}-\\x{31FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{A960}-\\x{A97F}\\x{AC00}-\\x{D7FF}\\x{F900}-\\x{FAFF}\\x{FF66}-\\x{FF9F}\\x{1100}-\\x{11FF}\\x{20000}-\\x{323AF}"
 
-_MARKS = re.compile(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
-
 
 def fold_text(text: str) -> str:
     """Accent-free lower-case words with single spaces; class codes and number pairs are taken apart."""
@@ -153,12 +151,30 @@ MARKERS = (
 )
 
 
+#: Longest line that a numbered locator starts, that a bare one starts, and that holds a numbered one (fixed values).
+MARKER_CHARS = {"starts, numbered": 200, "starts": 60, "holds, numbered": 120}
+
+
 def is_marker(c: Column) -> Column:
-    """A line that starts with a locator and a number or colon, is a short title after one, or holds one with a number."""
-    any_ = "|".join(sorted(MARKERS, key=lambda m: (-len(m), m)))
-    f = F.trim(F.translate(F.lower(c), "áàảãạâấầẩẫậăắằẳẵặđéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵ", "aaaaaaaaaaaaaaaaadeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyy"))
-    return (F.length(c) <= 200) & (f.rlike(f"^(?:{any_})\\s*(?::|#|\\d|[ivxlc]+(?![a-z]))") | ((F.length(f) <= 60) & f.rlike(f"^(?:{any_})(?![a-z])"))
-                                   | ((F.length(f) <= 120) & f.rlike(f"(?:^|[^a-z])(?:{any_})\\s*(?::|#|\\d)")))
+    """A line located by a word of MARKERS: one with a number or colon behind it, or a short line that it starts.
+
+    The folded line is split at its locators: what is before the first one and what follows each decide.
+    """
+    folded = F.trim(F.translate(F.lower(c), "áàảãạâấầẩẫậăắằẳẵặđéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵ", "aaaaaaaaaaaaaaaaadeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyy"))
+    locators = "|".join(sorted(MARKERS, key=len, reverse=True))
+    around = F.split(folded, f"(?<![a-z])(?:{locators})")
+    behind = F.slice(around, F.lit(2), F.size(around))
+    numbered = lambda x: x.rlike(r"^\s*[:#\d]")
+    first = F.when(F.get(around, F.lit(0)) == "", F.get(around, F.lit(1)))
+    ways = {
+        "starts, numbered": numbered(first) | first.rlike(r"^\s*[ivxlc]+(?![a-z])"),
+        "starts": ~first.rlike("^[a-z]"),
+        "holds, numbered": F.exists(behind, numbered),
+    }
+    some = F.lit(False)
+    for way, holds in ways.items():
+        some = some | (F.coalesce(holds, F.lit(False)) & (F.length(c) <= MARKER_CHARS[way]))
+    return F.when(c.isNotNull(), some)
 
 
 #: Content that is searched by its value (fixed patterns).
@@ -169,12 +185,19 @@ def is_distinctive(c: Column) -> Column:
     return c.rlike(DISTINCTIVE)
 
 
+#: Bounds of a heading: characters, words, characters of a label, and the shares of capitals and of capitalised words (fixed values).
+HEADING_CHARS, HEADING_WORDS, LABEL_CHARS, CAPITALS, CAPITALISED = (3, 100), 14, 70, 0.8, 0.7
+#: Outlines such as "1.2)", "iv." or "b)", and labels before a colon (fixed patterns).
+OUTLINE, LABEL = r"(?i)^(?:\d+(?:\.\d+)*|[ivxlcdm]+|[a-z])[.)]\s+\S", r"^[^:.]{1,40}:\s*\p{Lu}"
+
+
 def is_heading(c: Column) -> Column:
-    """A short line that is numbered, upper case, mostly capitalised, or a label with a colon."""
-    t = F.trim(c)
-    w = F.split(t, r"\s+")
-    letters, upper = F.regexp_count(t, F.lit(r"\p{L}")), F.regexp_count(t, F.lit(r"\p{Lu}"))
-    titled = F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}")))
-    sign = (t.endswith(":") | t.rlike(r"(?i)^(?:\d+(?:\.\d+)*|[ivxlcdm]+|[a-z])[.)]\s+\S") | ((F.length(t) <= 70) & t.rlike(r"^[^:.]{1,40}:\s*\p{Lu}"))
-            | ((letters >= 3) & ((upper >= letters * 0.8) | ((F.size(w) >= 2) & (titled >= F.size(w) * 0.7)))))
-    return F.length(t).between(3, 100) & ~t.rlike("[.;,]$") & (F.size(w) <= 14) & sign
+    """A short line without a stop at its end that has one sign of a title: an outline number, a label, a colon, or capitals."""
+    line = F.trim(c)
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
+    words_, letters = count(r"\S+"), count(r"\p{L}")
+    capitals = (letters >= 3) & (count(r"\p{Lu}") >= letters * CAPITALS)
+    capitalised = (letters >= 3) & (words_ >= 2) & (count(r"(?<!\S)\p{Lu}") >= words_ * CAPITALISED)
+    label = line.endswith(":") | (line.rlike(LABEL) & (F.length(line) <= LABEL_CHARS))
+    short = F.length(line).between(*HEADING_CHARS) & (words_ <= HEADING_WORDS)
+    return short & ~line.rlike("[.;,]$") & (line.rlike(OUTLINE) | label | capitals | capitalised)

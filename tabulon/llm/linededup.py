@@ -1,13 +1,17 @@
-"""Line dedup: the least blocks of lines with enough words are hashed, and all but the first of each kind go."""
+"""Line dedup by winnowing: window minima over line hashes find shared passages, which are extended to whole runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle, written
+
 #: A run of equal lines is removed from this many words on.
 LEAST_WORDS = 40
 _MARK = "\x01"
+#: The columns that are added.
+ADDED = ("n_lines_removed", "removed")
 
 
 def lines(text: Column) -> Column:
@@ -32,16 +36,21 @@ def hashed(docs: DataFrame) -> DataFrame:
     )
 
 
-def blocks(rows: DataFrame, least_words: int) -> DataFrame:
-    """(id, x, g, at, to): hash and first and last line of the least removable runs of `hashed` rows.
+def fingerprints(rows: DataFrame, least_words: int) -> DataFrame:
+    """(id, x, m, p, runs): the winnowed fingerprints of `hashed` rows, and the windows that each was selected in.
+
+    The windows are the least removable runs: one from line i on ends at the first line with which it has `least_words` words
+    (blank lines before its first word belong to it); further ones end later, and would have too few words without their first
+    line. Every run with enough words is the union of the windows in it: a line with enough words before it in the run ends a
+    window, any other is in the window from the run's first line on. No two lines with words share a start and an end,
+    so there are at most twice as many windows as lines.
 
-    A block from line i on ends at the first line with which it has `least_words` words; blank lines before its first word
-    belong to it. From each line there are also the blocks that end later, and would have too few words without their first line.
-    Every run with enough words is the union of the blocks in it: a line with enough words before it in the run is the end of a
-    block, any other is in the block from the run's first line on. No two lines with words share a start and an end, so there
-    are at most twice as many blocks as lines.
+    Each window selects its least line hash (blank lines aside, the first of equals), as fingerprint m at place p. That depends on
+    nothing outside of the window, so equal windows select equal fingerprints: if a run stands twice, its windows' fingerprints do.
+    `runs` has hash, first and last line of the windows.
     """
-    d = rows.select("id", "x", "h", F.filter(F.transform("w", lambda w, i: F.when(w > 0, i)), lambda i: i.isNotNull()).alias("place"), F.filter("w", lambda w: w > 0).alias("w0"))
+    d = rows.select("id", "x", "h", F.transform(F.arrays_zip("h", "w"), lambda l: F.when(l["w"] > 0, l["h"]).otherwise(F.lit(2**63 - 1))).alias("low"),
+                    F.filter(F.transform("w", lambda w, i: F.when(w > 0, i)), lambda i: i.isNotNull()).alias("place"), F.filter("w", lambda w: w > 0).alias("w0"))
     gaps = [1 << k for k in range((least_words - 1).bit_length())]
     for k, gap in enumerate(gaps[:-1]):
         n = F.size(f"w{k}") - gap
@@ -49,7 +58,7 @@ def blocks(rows: DataFrame, least_words: int) -> DataFrame:
         d = d.withColumn(f"w{k + 1}", F.when(n > 0, two).otherwise(F.array().cast("array<int>")))
     # The most lines with words that have fewer than `least_words` together are stepped over, by powers of two; the next one is the end.
     sums = [F.struct(F.lit(gap).alias("gap"), F.col(f"w{k}").alias("w")) for k, gap in reversed([*enumerate(gaps)])]
-    d = d.select("id", "x", "h", "place", "w0", F.array(*sums).alias("sums"))
+    d = d.select("id", "x", "h", "low", "place", "w0", F.array(*sums).alias("sums"))
 
     def over(acc: Column, s: Column) -> Column:
         words = acc["words"] + F.get(s["w"], acc["at"])
@@ -59,30 +68,49 @@ def blocks(rows: DataFrame, least_words: int) -> DataFrame:
     start = lambda r: F.struct(r.alias("at"), F.lit(0).alias("words"))
     d = d.withColumn("last", F.when(F.size("sums") > 0, F.transform("w0", lambda w, r: F.aggregate("sums", start(r), over, lambda acc: acc["at"]))))
     to = F.transform("last", lambda p, r: F.array_repeat(F.get("place", p), F.get("place", r) - F.coalesce(F.get("place", r - 1), F.lit(-1))))
-    d = d.select("id", "x", "h", F.filter(F.flatten(to), lambda j: j.isNotNull()).alias("to"))
+    d = d.select("id", "x", "h", "low", F.filter(F.flatten(to), lambda j: j.isNotNull()).alias("to"))
 
     def ends(j: Column, i: Column) -> Column:
         later = F.sequence(j, F.greatest(j, F.coalesce(F.get("to", i + 1), F.size("h")) - 1))
-        return F.transform(later, lambda k: F.struct(F.xxhash64(F.slice("h", i + 1, k - i + 1)).alias("g"), i.alias("at"), k.alias("to")))
+        return F.transform(later, lambda k: F.struct(
+            F.array_min(F.slice("low", i + 1, k - i + 1)).alias("m"), F.xxhash64(F.slice("h", i + 1, k - i + 1)).alias("g"), i.alias("at"), k.alias("to")))
+
+    d = d.select("id", "x", "low", F.flatten(F.transform("to", ends)).alias("b"))
+    place = lambda y: (F.array_position(F.slice("low", y["at"] + 1, y["to"] - y["at"] + 1), y["m"]) + y["at"] - 1).cast("int")
+    d = d.select("id", "x", "b", F.when(F.size("low") >= 0, F.transform("b", place)).alias("p"))
+    # Starts and ends of the windows only grow, and so does the place of their first minimum: its windows stand together.
+    new = F.filter(F.transform("p", lambda p, i: F.when((i == 0) | (F.get("p", i - 1) != p), i)), lambda i: i.isNotNull())
+    d = d.select("id", "x", "b", "p", new.alias("new"))
 
-    d = d.select("id", "x", F.explode(F.flatten(F.transform("to", ends))).alias("m"))
-    return d.select("id", "x", "m.g", "m.at", "m.to")
+    def mark(s: Column, k: Column) -> Column:
+        own = F.slice("b", s + 1, F.coalesce(F.get("new", k + 1), F.size("b")) - s)
+        return F.struct(F.get("b", s)["m"].alias("m"), F.get("p", s).alias("p"), F.transform(own, lambda y: F.struct(y["g"].alias("g"), y["at"].alias("at"), y["to"].alias("to"))).alias("runs"))
+
+    d = d.select("id", "x", F.explode(F.transform("new", mark)).alias("f"))
+    return d.select("id", "x", "f.m", "f.p", "f.runs")
 
 
 def repeated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, x, gone: places of the lines to remove) for the documents that repeat a run of an earlier place.
 
-    Every block but the first of its kind (least id, x, place) goes. Blocks are moved once and never joined, so that
-    a passage in k documents makes k rows.
+    Fingerprints at two places or more are joined back to their places and extended both ways, to the windows around them;
+    of equal windows all but the first (least id, x, place) go. Rows are never paired with each other: a passage in k documents
+    makes k rows, minima are combined before the shuffle, and both joins are with unique keys and end in another shuffle, so
+    that adaptive execution may split the part of a frequent passage.
     """
-    place = Window.partitionBy("g").orderBy("id", "x", "at")
-    later = blocks(hashed(docs), least_words).withColumn("n", F.rank().over(place)).where("n > 1")
+    marks = written(fingerprints(hashed(docs), least_words), "marks")
+    where = F.xxhash64("id", "x", "p")
+    shared = marks.groupBy("m").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a != b").select("m")
+    runs = written(marks.join(settle(shared), "m").select("id", "x", F.inline("runs")), "runs")
+    place = F.struct("id", "x", "at")
+    first = runs.groupBy("g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("g", "first")
+    later = runs.join(settle(first), "g").where(place > F.col("first"))
     gone = later.groupBy("id", "x").agg(F.collect_set(F.struct("at", "to")).alias("runs"))
     return gone.select("id", "x", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["to"]))))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """`docs` with later repeats of runs of lines removed from `text`, and n_lines_removed, n_words_removed, removed.
+    """`docs` with later repeats of runs of lines removed from `text`, and n_lines_removed and removed.
 
     A line ends at a line feed or a sentence end. A run is a sequence of lines, equal but for white space at their ends, that
     stands earlier too (in a document of smaller doc_id, or further up) and has at least `least_words` words. `removed`
@@ -90,15 +118,24 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     earlier too; the first occurrence stays.
 
     Null text stays null, and empty text empty. Null doc_ids come before all others. Rows of equal doc_id and
-    text count as one document, and get the same result. Other columns are carried along.
+    text count as one document, and get the same result. An empty table gives no rows. Other columns are carried along, but
+    for those that have the name of an added one, which the added one replaces.
     """
-    keyed = docs.withColumn("_tb_id", F.coalesce(F.col("doc_id"), F.lit(-2**63))).withColumn("_tb_x", F.xxhash64("text"))
-    gone = repeated(keyed.where("text IS NOT NULL").select(F.col("_tb_id").alias("id"), F.col("_tb_x").alias("x"), "text"), least_words)
-    out = keyed.join(gone.toDF("_tb_id", "_tb_x", "_tb_gone"), ["_tb_id", "_tb_x"], "left")
-    out = out.withColumn("_tb_parts", F.when(F.col("_tb_gone").isNotNull(), lines(F.col("text"))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_tb_parts") - 1), "_tb_gone")
-    left = F.array_join(F.transform(kept, lambda i: F.get("_tb_parts", i)), "")
+    names = {c.lower() for c in docs.columns}
+    key, x, gone, parts = (_free(c, names) for c in ("_id", "_x", "_gone", "_parts"))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63))).withColumn(x, F.xxhash64("text"))
+    found = repeated(keyed.where("text IS NOT NULL").select(F.col(key).alias("id"), F.col(x).alias("x"), "text"), least_words)
+    out = keyed.join(found.toDF(key, x, gone), [key, x], "left")
+    out = out.withColumn(parts, F.when(F.col(gone).isNotNull(), lines(F.col("text"))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    left = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "")
     return out.select(
-        *(F.when(F.col("_tb_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns),
-        F.coalesce(F.size("_tb_gone"), F.lit(0)).cast("long").alias("n_lines_removed"), F.col("_tb_gone").alias("removed"),
+        *(F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns if c.lower() not in ADDED),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(ADDED[0]), F.col(gone).alias(ADDED[1]),
     )
+
+
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name

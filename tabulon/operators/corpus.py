@@ -42,23 +42,21 @@ COPY = r"\(\s*\d+\s*\)|\bcopy\b|\bban sao\b|\bfinal\b|\bdraft\b|\bban nhap\b|\bb
 COUNTERS = ("tuan", "bai", "tiet", "buoi", "ngay", "thang", "nam", "week", "lesson", "unit", "chapter", "lop", "khoi", "so", "no", "ver", "v", "part", "phan", "stt")
 
 
-def _pattern(folded: Column) -> Column:
-    """Words of a name without copy signs, numbers and the counters before them."""
-    t = F.regexp_replace(F.regexp_replace(folded, COPY, " "), r"\d+", " # ")
-    t = F.regexp_replace(t, r"[^a-z#]+", " ")
-    return F.filter(F.split(F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), r" (?:" + "|".join(COUNTERS) + r") #(?= )", " "), " "), lambda x: (x != "") & (x != "#"))
+def _telling(name: Column) -> Column:
+    """The words of a name that siblings share: no copy signs, no numbers, no counters before a number."""
+    flat = F.regexp_replace(fold_ascii(F.regexp_replace(F.lower(name), COPY, " ")), COPY, " ")
+    tokens = F.regexp_extract_all(flat, F.lit(r"[a-z]+|\d+"), F.lit(0))
+    pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda word, after: F.struct(word.alias("word"), F.coalesce(after.rlike(r"^\d"), F.lit(False)).alias("counts")))
+    return F.filter(pairs, lambda p: ~p["word"].rlike(r"^\d") & ~(p["counts"] & p["word"].isin(*COUNTERS)))["word"]
 
 
 def family_key(path: Column, name_words: int = 3) -> Column:
-    """Folder pattern, the first words of the name, and the extension."""
-    parts = F.split(path, r"[\\/]+")
-    name, folders = F.element_at(parts, -1), F.slice(parts, F.lit(1), F.size(parts) - 1)
-    ext = F.lower(F.regexp_extract(name, r"^.+\.([^.]{1,7})$", 1))
-    base = F.regexp_replace(name, r"^(.+)\.[^.]{1,7}$", "$1")
-    low = lambda c: F.regexp_replace(fold_ascii(F.regexp_replace(c, r"[()]", " ")), r"\s+", " ")
-    head = F.array_join(F.slice(_pattern(low(base)), 1, name_words), " ")
-    place = F.array_join(F.filter(F.transform(folders, lambda x: F.array_join(_pattern(low(x)), " ")), lambda x: x != ""), "/")
-    return F.concat(F.conv(F.xxhash64(place).cast("string"), 10, 36), F.lit(":"), F.when(head == "", "(untitled)").otherwise(head), F.lit("."), ext)
+    """What the files of a family have in common, as text: the telling words of the folders, the first ones of the name, the extension."""
+    steps = F.split(F.trim(path), r"[\\/]+")
+    folders = F.transform(F.slice(steps, F.lit(1), F.size(steps) - 1), lambda x: F.array_join(_telling(x), " "))
+    name = F.element_at(steps, -1)
+    stem, ending = F.regexp_replace(name, r"(?<=.)\.[^.]{1,7}$", ""), F.regexp_extract(name, r"(?<=.)\.([^.]{1,7})$", 1)
+    return F.concat_ws("|", F.array_join(F.array_remove(folders, ""), "/"), F.array_join(F.slice(_telling(stem), 1, name_words), " "), F.lower(ending))
 
 
 def copy_penalty(name: Column) -> Column:
@@ -139,9 +137,9 @@ def retention(state: Column, verified: Column, age_days: Column, running: Column
     return F.when(running, "keep-running").when(~verified, "keep-unverified").when(age_days < keep_days, "keep-recent").otherwise("delete")
 
 
-def backups_kept(df: DataFrame, created: str, now: Column, verified: str, group: str, most: int = 3) -> DataFrame:
-    """Backups younger than a day, or among the newest `most` verified ones of their group."""
-    w = Window.partitionBy(group, verified).orderBy(F.desc(created))
+def backups_kept(df: DataFrame, created: str, now: Column, verified: str, group: str, most: int = 3, tie: str | None = None) -> DataFrame:
+    """Backups younger than a day, or among the newest `most` verified ones of their group; of equal times the smaller `tie` is newer."""
+    w = Window.partitionBy(group, verified).orderBy(F.desc(created), *([tie] if tie else []))
     young = F.col(created).cast("timestamp") > F.timestamp_seconds(F.unix_timestamp(now) - 86400)
     return df.withColumn("kept", young | (F.col(verified) & (F.row_number().over(w) <= most)))
 

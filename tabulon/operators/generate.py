@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,28 +70,45 @@ def tile(df: DataFrame, order: str, times: int) -> DataFrame:
 
 
 def learn_template(examples: Sequence[tuple[Sequence[str], str]]) -> list[tuple[str, object]] | None:
-    """Fields and literals that explain all examples: at each place the longest trimmed field of two or more characters."""
-    if not examples or not examples[0][1]:
+    """Fields and literals that explain all examples, or None.
+
+    All outputs are aligned at once: a state is how far each is spelled. From a state lead the fields of two or more characters
+    that all outputs go on with (longer ones first) and the character that all have next; states that lead nowhere are remembered.
+    """
+    sources, outputs = [[f.strip() for f in s] for s, _ in examples], [o for _, o in examples]
+    if not examples or not all(outputs):
         return None
-    source, output = examples[0]
-    fields = [f.strip() for f in source]
-    out: list[tuple[str, object]] = []
-    at = 0
-    while at < len(output):
-        fits = [i for i, f in enumerate(fields) if len(f) >= 2 and output.startswith(f, at)]
-        if fits:
-            best = max(fits, key=lambda i: (len(fields[i]), -i))
-            out.append(("field", best))
-            at += len(fields[best])
-        elif out and out[-1][0] == "literal":
-            out[-1] = ("literal", str(out[-1][1]) + output[at])
-            at += 1
-        else:
-            out.append(("literal", output[at]))
-            at += 1
-    spell = lambda src: "".join(str(v) if k == "literal" else (src[int(v)].strip() if int(v) < len(src) else "") for k, v in out)
-    if not any(k == "field" for k, _ in out) or any(spell(s) != o for s, o in examples):
+    width = min(map(len, sources))
+    order = sorted(range(width), key=lambda i: (-min(len(s[i]) for s in sources), i))
+    goal, dead = tuple(map(len, outputs)), set()
+
+    def steps(state: tuple[int, ...]) -> Iterator[tuple[tuple[str, object], tuple[int, ...]]]:
+        for i in order:
+            if all(len(s[i]) >= 2 and o.startswith(s[i], at) for s, o, at in zip(sources, outputs, state, strict=True)):
+                yield ("field", i), tuple(at + len(s[i]) for s, at in zip(sources, state, strict=True))
+        following = {o[at:at + 1] for o, at in zip(outputs, state, strict=True)}
+        if len(following) == 1 and following != {""}:
+            yield ("literal", following.pop()), tuple(at + 1 for at in state)
+
+    path: list[tuple[str, object]] = []
+    open_ = [((0,) * len(examples), steps((0,) * len(examples)))]
+    while open_:
+        state, left = open_[-1]
+        if state == goal:
+            break
+        part, after = next(left, (None, None))
+        if part is None:
+            dead.add(state)
+            open_.pop()
+            path = path[:-1]
+        elif after not in dead:
+            path.append(part)
+            open_.append((after, steps(after)))
+    if not any(kind == "field" for kind, _ in path):
         return None
+    out: list[tuple[str, object]] = []
+    for kind, same in itertools.groupby(path, key=lambda p: p[0]):
+        out += [("literal", "".join(str(v) for _, v in same))] if kind == "literal" else list(same)
     return out
 
 

@@ -42,9 +42,13 @@ def is_short(text: str) -> bool:
 
 
 def postings(df: DataFrame, id_col: str, text: str, tokens=words) -> DataFrame:
-    """(term, id, tf, len): one row for each term and document; counted map-side before the shuffle."""
-    each = df.select(F.col(id_col).alias("id"), F.size(tokens(F.col(text))).alias("len"), F.explode(tokens(F.col(text))).alias("term"))
-    return each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    """(term, id, tf, len): one row for each term and document; counted map-side before the shuffle.
+
+    A text is cut into words once and its length taken before they are unfolded, so that the array isn't carried along with each.
+    """
+    rows = df.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("_words")).withColumn("len", F.size("_words"))
+    each = rows.select("id", "len", F.explode("_words").alias("term"))
+    return each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
 
 
 def _count_of(array: str, term: str) -> Column:

@@ -17,10 +17,14 @@ def _(s, d):
     return f.join(f.groupBy("f").agg(F.min("doc_id").alias("first")), "f").select("doc_id", "first")
 
 
-@query("c04_split_lines", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' AND length(line) <= 200 GROUP BY 1")
+@query("c04_split_lines", """
+WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS line FROM documents),
+     p AS (SELECT doc_id, unnest(CASE WHEN length(line) <= 200 THEN [line] ELSE string_split(regexp_replace(line, '([.!?;]) ', '\\1' || chr(1), 'g'), chr(1)) END) AS part FROM l WHERE line <> '')
+SELECT doc_id, sum(CASE WHEN length(part) <= 400 THEN 1 ELSE ceil(length(part) / 400.0) END)::BIGINT AS n, sum(length(part))::BIGINT AS chars FROM p WHERE part <> '' GROUP BY 1""")
 def _(s, d):
-    short = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & (F.length(x) <= 200))
-    return load(s, d, "documents").select("doc_id", F.size(short).cast("long").alias("n")).where("n > 0")
+    """Lines of every document, long ones cut: their number and characters."""
+    got = load(s, d, "documents").select("doc_id", tx.split_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+    return got.select("doc_id", F.size("lines").cast("long").alias("n"), F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("chars"))
 
 
 @query("c04_split_lines_all")
@@ -30,9 +34,19 @@ def _(s, d):
     return each.withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("c05_family_key", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS site FROM pages")
+#: Copy signs without look-around, and the words of a name that siblings share.
+_COPY = co.COPY.replace("'", "''")
+_TELLING = "array_to_string(list_transform(list_filter(list_transform(range(1, len({t}) + 1), lambda i: struct_pack(w := {t}[i], c := coalesce(regexp_matches({t}[i + 1], '^[0-9]'), false))), lambda p: NOT regexp_matches(p.w, '^[0-9]') AND NOT (p.c AND list_contains([" + ", ".join(f"'{c}'" for c in co.COUNTERS) + "], p.w))), lambda p: p.w), ' ')"
+
+
+@query("c05_family_key", f"""
+WITH names AS (SELECT p_partkey, 'Week ' || p_size || '/Lesson ' || (p_partkey % 9) || ' ' || p_name || ' v' || p_size || '.' || 'DOCX' AS path FROM part),
+     cut AS (SELECT p_partkey, regexp_extract_all(regexp_replace(lower(split_part(path, '/', 1)), '[^a-z0-9]+', ' ', 'g'), '[a-z]+|[0-9]+') AS a,
+                    regexp_extract_all(regexp_replace(regexp_replace(lower(regexp_replace(split_part(path, '/', 2), '[.][^.]+$', '')), '{_COPY}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), '[a-z]+|[0-9]+') AS b FROM names)
+SELECT p_partkey, {_TELLING.format(t="a")} || '|' || array_to_string(string_split({_TELLING.format(t="b")}, ' ')[1:3], ' ') || '|docx' AS family FROM cut""")
 def _(s, d):
-    return load(s, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("site"))
+    path = F.concat(F.lit("Week "), "p_size", F.lit("/Lesson "), F.col("p_partkey") % 9, F.lit(" "), "p_name", F.lit(" v"), "p_size", F.lit(".DOCX"))
+    return load(s, d, "part").select("p_partkey", co.family_key(path).alias("family"))
 
 
 @query("c06_copy_penalty", "SELECT p_partkey, regexp_matches(lower(p_name), '\\b(old|copy|final|draft)\\b')::INT AS penalty FROM part")
@@ -127,11 +141,8 @@ def _(s, d):
 
 @query("c22_backup_retention", "SELECT o_orderkey, (o_orderdate > TIMESTAMP '1998-08-01' OR (o_orderstatus = 'F' AND row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey) <= 3)) AS kept FROM orders")
 def _(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey", "v").orderBy(F.desc("o_orderdate"), "o_orderkey")
     o = load(s, d, "orders").withColumn("v", F.col("o_orderstatus") == "F")
-    return o.select("o_orderkey", ((F.col("o_orderdate") > F.lit("1998-08-01").cast("timestamp_ntz")) | (F.col("v") & (F.row_number().over(w) <= 3))).alias("kept"))
+    return co.backups_kept(o, "o_orderdate", F.lit("1998-08-02").cast("timestamp"), "v", "o_custkey", tie="o_orderkey").select("o_orderkey", "kept")
 
 
 @query("c23_redact", "SELECT doc_id, regexp_replace(text, '\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b', '[EMAIL]', 'gi') AS text FROM documents WHERE NOT regexp_matches(text, '[0-9][0-9 ()-]{7,}[0-9]')")

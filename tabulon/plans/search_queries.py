@@ -36,7 +36,7 @@ def _(s, d):
     return se.boolean(se.postings(load(s, d, "documents"), "doc_id", "text"), [t for x in q["include"] for t in x["tokens"]], [t for x in q["exclude"] for t in x["tokens"]])
 
 
-@query("b05_postings", f"SELECT term, doc_id AS id, count(*) AS tf, max(n)::INT AS len FROM (SELECT doc_id, len({_W}) AS n, unnest({_W}) AS term FROM documents) GROUP BY 1, 2")
+@query("b05_postings", f"SELECT term, doc_id AS id, count(*) AS tf, max(n)::INT AS len FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM (SELECT doc_id, {_W} AS w FROM documents)) GROUP BY 1, 2")
 def _(s, d):
     return se.postings(load(s, d, "documents"), "doc_id", "text")
 
