@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import sums_before
+
 #: The fixed patterns of the scan, in the order of their kinds: pattern, group whose length counts, least length.
 PATTERNS = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -49,18 +51,20 @@ _SPAN = "struct<s:int,k:int,e:int>"
 _NONE = f"array<{_SPAN}>"
 
 
-def _walk(found: str, gaps: str, each) -> Column:
-    """Spans of the matches `found` between the `gaps` of a split by the same pattern, in code points."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
+def _walk(found: str, starts: str, each) -> Column:
+    """Spans of the matches `found`, which start at the places `starts`, one after another."""
+    # Each array is named outside the lambda too: Catalyst then computes it once, and not for each match.
+    every = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(starts) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(every, lambda i: each(F.get(found, i), F.get(starts, i), i)))
 
-    def step(acc: Column, i: Column) -> Column:
-        m = F.get(found, i)
-        start = acc["at"] + F.length(F.get(gaps, i))
-        return F.struct((start + F.length(m)).alias("at"), F.concat(acc["out"], each(m, start, i)).alias("out"))
 
-    # Each array is named outside the lambda too: Catalyst then computes it once, and not for each match.
-    every = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(gaps) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(every, state, step, lambda acc: acc["out"])
+def _placed(d: DataFrame, name: str, pattern: str) -> DataFrame:
+    """Adds m_name, the matches of a pattern, and p_name, where each starts in code points: sums of what stands before, in linear time."""
+    m, g, n, p = (f"{c}_{name}" for c in "mgnp")
+    d = d.withColumn(m, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    d = d.withColumn(g, F.when(F.size(m) > 0, F.transform(F.split("text", pattern, -1), lambda x: F.length(x).cast("long"))))
+    d = d.withColumn(n, F.when(F.size(m) > 0, F.zip_with(F.slice(g, F.lit(1), F.size(m)), m, lambda x, y: x + F.length(y))))
+    return d.withColumn(p, F.when(F.size(m) > 0, F.zip_with(sums_before(n), F.slice(g, F.lit(1), F.size(m)), lambda x, y: (x + y).cast("int")))).drop(n, g)
 
 
 def _span(start: Column, kind: int, end: Column) -> Column:
@@ -80,31 +84,30 @@ def _united(spans: str) -> Column:
 def random_parts(token: Column, bits: float, window: int = WINDOW) -> Column:
     """Array of (s, e) within `token`: unions of the windows whose entropy is at least `bits`.
 
-    With counts c of the characters in a window of w, entropy is log2(w) - sum(c * log2 c) / w. The sum is kept
-    as the window slides: the character that leaves changes one term, the one that enters another. A count is the
-    length a window of w characters loses when the character is taken out, so a step costs O(w), whatever
-    the length of the token.
+    With counts c of the characters in a window of w, entropy is log2(w) - sum(c * log2 c) / w. The counts are kept in a
+    map as the window slides, and so is the sum: the character that leaves changes one count and one term, the
+    one that enters another. A step costs no more than the alphabet, whatever the length of window and token.
     """
     term = lambda n: F.when(n > 0, n * F.log2(F.greatest(n, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
-    count = lambda win, c: F.octet_length(win) - F.octet_length(F.replace(win, c, F.lit("")))
     most = window * (F.log2(F.lit(float(window))) - bits) + 1e-9
-    state = F.struct(F.lit("").alias("win"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    alphabet = F.array_distinct(F.split(token, ""))
+    state = F.struct(F.map_from_arrays(alphabet, F.transform(alphabet, lambda c: F.lit(0))).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
-        full = F.octet_length(acc["win"]) >= window
-        first = F.substring(acc["win"], 1, 1)
-        n_out = count(acc["win"], first)
-        rest = F.when(full, F.substring(acc["win"], 2, window)).otherwise(acc["win"])
+        full = acc["i"] >= window
+        first = F.when(full, F.substr(token, acc["i"] - window + 1, F.lit(1)))
+        n_out = F.coalesce(F.element_at(acc["counts"], first), F.lit(0))
+        n_in = F.element_at(acc["counts"], c) - F.when(first == c, 1).otherwise(0)
         less = F.when(full, term(n_out - 1) - term(n_out)).otherwise(F.lit(0.0))
-        n_in = count(rest, c)
         total = acc["sum"] + less + term(n_in + 1) - term(n_in)
+        counts = F.transform_values(acc["counts"], lambda k, n: n + F.when(k == c, 1).otherwise(0) - F.when(k == first, 1).otherwise(0))
         end = acc["i"] + 1
         last = F.get(acc["out"], F.size(acc["out"]) - 1)
         joined = F.when(last.isNotNull() & (last["e"] >= end - window),
                         F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(last["s"].alias("s"), end.alias("e")))))
-        hit = (F.octet_length(rest) == window - 1) & (total <= most)
+        hit = (end >= window) & (total <= most)
         out = F.when(hit, F.coalesce(joined, F.concat(acc["out"], F.array(F.struct((end - window).alias("s"), end.alias("e")))))).otherwise(acc["out"])
-        return F.struct(F.concat(rest, c).alias("win"), total.alias("sum"), end.alias("i"), out.alias("out"))
+        return F.struct(counts.alias("counts"), total.alias("sum"), end.alias("i"), out.alias("out"))
 
     return F.aggregate(F.split(token, ""), state, step, lambda acc: acc["out"])
 
@@ -123,20 +126,18 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: Sequence[CharClass] = C
     some = {}
     for kind, (pattern, group, least) in PATTERNS.items():
         k = KINDS.index(kind)
-        d = d.withColumn(f"m_{kind}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-        d = d.withColumn(f"g_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split("text", pattern, -1)))
+        d = _placed(d, kind, pattern)
         if group:
             d = d.withColumn(f"v_{kind}", F.when(F.size(f"m_{kind}") > 0, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))))
             value = lambda m, i, v=f"v_{kind}": F.get(v, i)
         else:
             value = lambda m, i: m
         each = lambda m, start, i, k=k, value=value, least=least: F.when(F.length(value(m, i)) >= least, F.array(_span(start, k, start + F.length(m)))).otherwise(F.array().cast(_NONE))
-        some[kind] = F.when((F.size(f"v_{kind}" if group else f"m_{kind}") > 0) & (F.size(f"m_{kind}") > 0), _walk(f"m_{kind}", f"g_{kind}", each)).otherwise(F.array().cast(_NONE))
+        some[kind] = F.when((F.size(f"v_{kind}" if group else f"m_{kind}") > 0) & (F.size(f"m_{kind}") > 0), _walk(f"m_{kind}", f"p_{kind}", each)).otherwise(F.array().cast(_NONE))
     d = d.select("doc_id", "text", *(c.alias(f"s_{kind}") for kind, c in some.items()))
     for c in classes:
         pattern = c.pattern % window
-        d = d.withColumn(f"m_{c.name}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-        d = d.withColumn(f"g_{c.name}", F.when(F.size(f"m_{c.name}") > 0, F.split("text", pattern, -1)))
+        d = _placed(d, c.name, pattern)
 
         def each(m: Column, start: Column, i: Column, c: CharClass = c) -> Column:
             fine = F.lit(True)
@@ -156,7 +157,7 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: Sequence[CharClass] = C
 
             return F.when(fine, F.aggregate(both, state, piece, lambda acc: acc["out"])).otherwise(F.array().cast(_NONE))
 
-        d = d.withColumn(f"s_{c.name}", F.when(F.size(f"m_{c.name}") > 0, _walk(f"m_{c.name}", f"g_{c.name}", each)).otherwise(F.array().cast(_NONE)))
+        d = d.withColumn(f"s_{c.name}", F.when(F.size(f"m_{c.name}") > 0, _walk(f"m_{c.name}", f"p_{c.name}", each)).otherwise(F.array().cast(_NONE)))
     base = F.concat(*(F.col(f"s_{kind}") for kind in PATTERNS))
     d = d.withColumn("base", F.array_sort(base))
     more = F.filter(F.array_distinct(F.concat(*(F.col(f"s_{c.name}") for c in classes))), lambda x: (F.size("base") == 0) | ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
