@@ -29,7 +29,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a table of its own in the shared folder: cuts the lineage as `settle` does, in columns and compressed."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `written`, once everything that is made of them is settled or written itself."""
+    for df in tables:
+        remove(df.sparkSession, df.written_to)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column that is computed once for each row, however often and inside of what it is used later."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def spaced(df: DataFrame, text: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, written
+from .common import discard, once, settle, written
 
 #: A run of equal lines is removed from this many words on.
 LEAST_WORDS = 40
@@ -102,11 +102,14 @@ def repeated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     where = F.xxhash64("id", "x", "p")
     shared = marks.groupBy("m").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a != b").select("m")
     runs = written(marks.join(settle(shared), "m").select("id", "x", F.inline("runs")), "runs")
+    discard(marks)
     place = F.struct("id", "x", "at")
     first = runs.groupBy("g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("g", "first")
     later = runs.join(settle(first), "g").where(place > F.col("first"))
     gone = later.groupBy("id", "x").agg(F.collect_set(F.struct("at", "to")).alias("runs"))
-    return gone.select("id", "x", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["to"]))))).alias("gone"))
+    gone = settle(gone.select("id", "x", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["to"]))))).alias("gone")))
+    discard(runs)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -122,15 +125,16 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     for those that have the name of an added one, which the added one replaces.
     """
     names = {c.lower() for c in docs.columns}
-    key, x, gone, parts = (_free(c, names) for c in ("_id", "_x", "_gone", "_parts"))
+    key, x, gone, parts, rest = (_free(c, names) for c in ("_id", "_x", "_gone", "_parts", "_rest"))
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63))).withColumn(x, F.xxhash64("text"))
     found = repeated(keyed.where("text IS NOT NULL").select(F.col(key).alias("id"), F.col(x).alias("x"), "text"), least_words)
     out = keyed.join(found.toDF(key, x, gone), [key, x], "left")
-    out = out.withColumn(parts, F.when(F.col(gone).isNotNull(), lines(F.col("text"))))
+    out = once(out, parts, F.when(F.col(gone).isNotNull(), lines(F.col("text"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
     left = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "")
+    out = once(out, rest, F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
     return out.select(
-        *(F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns if c.lower() not in ADDED),
+        *(F.col(rest).alias("text") if c == "text" else docs[c] for c in docs.columns if c.lower() not in ADDED),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(ADDED[0]), F.col(gone).alias(ADDED[1]),
     )
 

@@ -123,6 +123,59 @@ def test_secret_classes_and_placeholders(spark):
     assert not any(x.k == 3 for i in range(len(texts), len(texts) + len(none)) for x in got[i])
 
 
+def brute_secrets(text):
+    """Base spans and high-entropy spans of one text, by regular expressions and windows counted anew."""
+    import math
+
+    base = []
+    for k, (pattern, group, least) in enumerate(secrets.PATTERNS.values()):
+        base += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    more = set()
+    for c in secrets.CLASSES:
+        for m in re.finditer(c.pattern % secrets.WINDOW, text):
+            if any(re.search(p, m[0]) for p in secrets.ALLOWED):
+                continue
+            at = m.start()
+            parts = re.split("(?i)(" + secrets._PART.replace("(?i)", "") + ")", m[0]) if re.search(secrets.PLACEHOLDER, m[0]) else [m[0]]
+            for n, part in enumerate(parts):
+                if n % 2 == 0 and len(part) >= secrets.WINDOW and all(re.search(x, part) for x in c.needs):
+                    hits = []
+                    for i in range(len(part) - secrets.WINDOW + 1):
+                        counts = collections.Counter(part[i:i + secrets.WINDOW]).values()
+                        if -sum(x / secrets.WINDOW * math.log2(x / secrets.WINDOW) for x in counts) >= c.bits - 1e-9:
+                            if hits and hits[-1][1] >= i:
+                                hits[-1][1] = i + secrets.WINDOW
+                            else:
+                                hits.append([i, i + secrets.WINDOW])
+                    more |= {(at + a, 3, at + b) for a, b in hits}
+                at += len(part)
+    joined = []
+    for s, k, e in sorted(x for x in more if not any(b[0] <= x[0] and b[2] >= x[2] for b in base)):
+        if joined and joined[-1][2] > s:
+            joined[-1] = (joined[-1][0], k, max(joined[-1][2], e))
+        else:
+            joined.append((s, k, e))
+    return sorted(base), sorted(base + joined)
+
+
+def test_secrets_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFabcdefghijklmXYZ0123456789+/=", "abcdefghABCDEFGHxyzQRS"]
+    bits = ["example", "é", " ", "_", "=", "password = ", "token:", "AKIA", "\n", "12345678-1234-1234-1234-123456789abc", "-"]
+    for i in range(300):
+        out = [("".join(rng.choice(list(alphabets[rng.integers(6)]), rng.integers(3, 60))) if rng.random() < .5 else str(rng.choice(bits))) for _ in range(rng.integers(1, 9))]
+        rows.append((100_000 + i, "".join(out)))
+    rows += [(200_000, "x token: abcdefgh1 " * 4000), (200_001, None)]
+    planted = 0
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("doc_id", "base", "found", "n_assign").collect()
+    for r, (d, text) in zip(sorted(got, key=lambda r: r.doc_id), sorted(rows), strict=True):
+        base, found = brute_secrets(text or "")
+        assert ([tuple(x) for x in r.base], [tuple(x) for x in r.found]) == (base, found), text
+        planted += sum(k == 3 for _, k, _ in found)
+    assert planted > 100
+
+
 def test_line_dedup(spark, docs, empty):
     p = " ".join(f"alpha{i} beta{i}." if i % 8 == 7 else f"alpha{i} beta{i}" for i in range(40))
     rows = [(1, f"Start one. {p} End one."), (2, f"Other start here. {p} Other end."), (3, "Short line. Nothing else here."), (4, "Short line. Different text."), (5, p), (None, None), (6, "")]
@@ -156,6 +209,16 @@ def places_removed(spark, rows, least):
     return {r.doc_id: r.removed or [] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least_words=least).collect()}
 
 
+def test_line_dedup_names_and_ties(spark):
+    """Columns with the names of helpers and of added columns, equal doc_ids and repeated rows."""
+    run = " ".join(f"w{i}" for i in range(45)) + ". "
+    rows = [(1, run, 7, "a"), (1, run, 7, "b"), (1, "Other. " + run, 7, "c"), (2, run + "Tail.", 7, "d"), (None, run, 7, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _tb_id string").withColumn("removed", F.lit(0)).withColumn("_gone", F.lit(1)).withColumn("N_Lines_Removed", F.lit(2))
+    got = linededup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "_id", "_tb_id", "_gone", "n_lines_removed", "removed"]
+    assert {r._tb_id: r.text for r in got.collect()} == {"e": run, "a": "", "b": "", "c": "Other. ", "d": "Tail."}
+
+
 def test_line_dedup_of_short_lines(spark):
     """Runs of one-word lines, of double-spaced lines and of one repeated sentence go too."""
     one, two = [f"word{i}" for i in range(60)], "\n\n".join(f"left{i} right{i}" for i in range(50))
@@ -211,7 +274,19 @@ def test_jaccard(spark, docs, empty):
     for width, percent in ((3, 90), (5, 80), (3, 80)):
         got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked(df, width, percent).collect()), key=str)
         assert got == brute_links(rows, width, percent)
-    assert jaccard.linked(empty).count() == 0
+    assert jaccard.linked(empty).count() == 0 and jaccard.representatives(empty).count() == 0
+    left = jaccard.representatives(df.withColumn("id", F.lit(1)).withColumn("x", F.lit("a")).union(df.limit(3).withColumn("id", F.lit(1)).withColumn("x", F.lit("a"))), 3, 80)
+    first = {c: d for d, n, c in sorted(brute_links(rows, 3, 80), key=lambda r: (r[2] is not None, r[2] or 0, -1 if r[0] is None else r[0]), reverse=True) if n}
+    assert left.columns == ["doc_id", "text", "id", "x"] and {r.doc_id for r in left.collect() if (r.text or "").strip() and r.doc_id is not None} == {d for d in first.values() if d is not None}
+
+
+def test_jaccard_other_ways(spark, docs, monkeypatch):
+    """Texts picked by a join instead of broadcast ids, small stretches, and cut part counts give the same."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(200 + i, " ".join(f"t{j}" for j in range(i, i + 50))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "FEW_IDS", 0)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked(df, 3, 90).collect()), key=str)
+    assert got == brute_links(rows, 3, 90)
 
 
 def test_components(spark):
@@ -250,6 +325,19 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df, 10).count() == 0
 
 
+def test_top_k_of_large_values(spark):
+    """Components beyond exact doubles and beyond 64 bits, empty vectors, and ties."""
+    rows = [(0, [1e306, 1.0]), (1, [2.0**60, -3.5]), (2, [1e308, 1e300]), (3, [-1e308, 5.0]), (4, [2.0**50 + 1, 2.0**50]), (5, [2.0**50, 2.0**50]), (6, []), (7, [0.1, -0.1]), (8, [1e308, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(x) * 1024 if abs(x) >= 2.0**52 else int(np.floor(1024 * x)) for x in v] + [0] * (2 - len(v)) for i, v in rows}
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, df, 5, shard_rows=3, query_rows=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in whole:
+        s = {i: sum(a * b for a, b in zip(whole[q], whole[i])) for i in whole if i != q}
+        assert got[q] == [(i, max(1 - 2**63, min(2**63 - 1, s[i]))) for i in sorted(s, key=lambda i: (-s[i], i))[:5]], q
+
+
 def test_huffman(spark, docs, empty, tmp_path):
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 127, 128, 129, 3000):
