@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle, written
 from .components import components
 
 #: Counters of shingle frequencies (a power of two) and their pieces; 8 MB in all, whatever the input.
@@ -153,7 +153,7 @@ def _parts(x: np.ndarray) -> list[int]:
 
 
 def prefixes(texts: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(id, node, n, parts, prefix): the set's digest and size, sizes of its hash parts, and its rarest shingles in order.
+    """(id, x, node, n, parts, prefix): the set's digest and size, sizes of its hash parts, and its rarest shingles in order.
 
     Two sets of sizes x, y with 100 * overlap >= percent * union have an overlap of percent% of x at least, so their
     first x - ceil(percent * x / 100) + 1 shingles in the common order share one.
@@ -169,11 +169,11 @@ def prefixes(texts: DataFrame, width: int, percent: int, common: np.ndarray) ->
                 c = count[(s >> shift).astype(np.int64)]
                 first.append(s[np.lexsort((s, c))[:take]].view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                batch.column(0), batch.column(2), pa.array([_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([_parts(s) for s in sets], pa.list_(pa.int16())), pa.array(first, pa.list_(pa.int64())),
-            ], ["id", "node", "n", "parts", "prefix"])
+            ], ["id", "x", "node", "n", "parts", "prefix"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, node long, n int, parts array<short>, prefix array<long>")
+    return texts.select("id", "text", "x").mapInArrow(run, "id long, x long, node long, n int, parts array<short>, prefix array<long>")
 
 
 def _least_overlap(n: Column, m: Column, percent: int) -> Column:
@@ -195,34 +195,49 @@ def _parts_fit(a_parts: str, b_parts: str, a: Column, b: Column, percent: int) -
     return (most >= _least_overlap(a, b, percent)) | full
 
 
+def row_id(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(_FIRST_ID))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def near_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sets of all documents and the label of each set that links with another.
 
-    Returns members (id, node, n) and labels (node, label); sets without links have no label.
+    Returns members (id, x: hash of the text, node, n) and labels (node, label); sets without links have no label.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    rows = settle(prefixes(texts, width, percent, frequencies(texts, width)))
+    texts = docs.select(row_id(docs).alias("id"), F.col("text").cast("string").alias("text"), row_hash(docs).alias("x"))
+    rows = written(prefixes(texts, width, percent, frequencies(texts, width)), "prefixes")
     # Copies: equal sets are one node from here on, whatever their number.
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min_by("parts", "id").alias("parts"), F.min_by("prefix", "id").alias("prefix"))
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("na"))
     # A shingle of one node makes no candidate; its smallest node is the pivot of the others.
-    pivot = entries.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other")
-    shared = settle(entries.join(pivot.select("token", "pivot"), "token"))
+    pivot = settle(entries.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other").select("token", "pivot"))
+    shared = written(entries.join(pivot, "token").select("token", "node", *_place("na"), "pivot"), "shared")
+    # No positional filter here: a pair may pass it at another shingle, and every pair that is connected now spares its group many pairs below.
     star = shared.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     links, tried = verified(star, texts, nodes, width, percent)
     labels = components(links)
     # What is left: pairs that share a shingle and aren't connected yet. A shingle's largest component is `main`;
     # the pairs have one side outside of it, so a group of near copies is never paired with itself.
-    placed = shared.select("token", "node", F.shiftright("na", 32).cast("int").alias("n"), F.col("na").cast("long").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"))
-    placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = shared.select("token", "node", "n", "at").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "main")
-    placed = settle(placed.join(main, "token").join(nodes.select("node", "parts"), "node"))
+    placed = written(placed.join(main, "token").join(nodes.select("node", "parts"), "node"), "placed")
     outer = placed.where("label != main").select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "at", "label", "parts")))
     may = (F.col("label") != F.col("a_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("a_node"))) & _may(percent, "n", "at", "a_n", "a_at")
     pairs = outer.alias("o").join(placed.alias("p"), (F.col("o.token") == F.col("p.token")) & may & _parts_fit("parts", "a_parts", F.col("n"), F.col("a_n"), percent))
     rest = pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b"))
     more, _ = verified(rest, texts, nodes, width, percent, tried)
-    return rows.select("id", "node", "n"), components(links.union(more))
+    members = settle(rows.select("id", "x", "node", "n"))
+    discard(rows, shared, placed)
+    return members, components(links.union(more))
+
+
+def _place(na: str) -> list[Column]:
+    """Size and place, taken apart."""
+    return [F.shiftright(na, 32).cast("int").alias("n"), F.col(na).bitwiseAND(0xFFFFFFFF).cast("int").alias("at")]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, percent: int, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -250,11 +265,13 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, p
     if ids.count() <= FEW_IDS:
         ids = F.broadcast(ids)
     sets = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "node long, s array<long>")
-    sets = settle(sets.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sets = written(sets.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     got = fit.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     overlap = F.size(F.array_intersect("sa", "sb"))
     links = got.where(overlap * 100 >= (F.col("a_n") + F.col("b_n") - overlap) * percent).select("a", "b")
-    return settle(links), pairs.select("a", "b")
+    links = settle(links)
+    discard(sets)
+    return links, pairs.select("a", "b")
 
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -272,9 +289,33 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     doc_id links like others, and its component_id is null unless a doc_id is reachable. Rows of equal doc_id are told apart
     by their sets. An empty table gives no rows.
     """
-    members, labels = near_sets(docs, width, percent)
-    placed = settle(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    placed = _placed(docs, width, percent)
     real = F.when(F.col("id") != _FIRST_ID, F.col("id"))
-    least = placed.where("n > 0").groupBy("label").agg(F.min(real).alias("component_id"))
+    # settled, so that the join below is a plain one, whose large groups adaptive execution may split
+    least = settle(placed.where("n > 0").groupBy("label").agg(F.min(real).alias("component_id")))
     out = placed.join(least, "label", "left")
     return out.select(real.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"))
+
+
+def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, x, node, n, label) of every row; a set without links is its own label."""
+    members, labels = near_sets(docs, width, percent)
+    return settle(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all their columns, of which one stays for each component of `linked`: that of the least doc_id (null
+    first), then the least text hash. Rows without shingles link with nothing and stay. Of rows that repeat both doc_id
+    and text one stays, with the other columns of any of them. An empty table gives no rows.
+    """
+    placed = _placed(docs, width, percent)
+    first = placed.where("n > 0").groupBy("label").agg(F.min(F.struct("id", "x")).alias("k")).select("k.id", "k.x")
+    stay = settle(first.union(placed.where("n = 0").select("id", "x")).distinct())
+    again = settle(placed.groupBy("id", "x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id", "x"))
+    names = {c.lower() for c in docs.columns}
+    key, x = (c + "_" * (max(map(len, names)) + 1) for c in ("id", "x"))
+    keyed = docs.withColumns({key: row_id(docs), x: row_hash(docs)}).join(stay.toDF(key, x), [key, x], "left_semi")
+    if not again.isEmpty():
+        again = again.toDF(key, x)
+        keyed = keyed.join(again, [key, x], "left_anti").union(keyed.join(again, [key, x], "left_semi").dropDuplicates([key, x]))
+    return keyed.select(*docs.columns)
