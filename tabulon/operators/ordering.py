@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from ..functions.coerce import natural_key
 
 
-def sort_range(df: DataFrame, column: str, order: str, ascending: bool = True) -> DataFrame:
-    """Stable sort by one column; blanks come last in both directions, non-finite numbers after finite ones."""
+def range_keys(df: DataFrame, column: str, order: str, ascending: bool = True) -> list[Column]:
+    """Sort keys of one column; blanks come last in both directions, non-finite numbers after finite ones."""
     c, kind = F.col(column), df.schema[column].dataType.typeName()
     keys = [natural_key(c)] if kind == "string" else [c]
     if kind in ("float", "double"):
         odd = F.isnan(c) | (F.abs(c) == float("inf"))
         keys = [odd.cast("int"), F.when(~odd, c)]
-    return df.orderBy(c.isNull(), *((k.asc_nulls_last() if ascending else k.desc_nulls_last()) for k in keys), order)
+    return [c.isNull(), *((k.asc_nulls_last() if ascending else k.desc_nulls_last()) for k in keys), F.col(order)]
+
+
+def sort_range(df: DataFrame, column: str, order: str, ascending: bool = True) -> DataFrame:
+    """Stable sort by one column, see `range_keys`."""
+    return df.orderBy(*range_keys(df, column, order, ascending))
 
 
 def typed_keys(value: str, ascending: bool = True) -> list[Column]:
@@ -35,21 +40,30 @@ def top_scores(df: DataFrame, score: str, id_col: str, k: int) -> DataFrame:
     return df.where(~F.isnan(c) & (F.abs(c) != float("inf"))).orderBy(F.desc(score), id_col).limit(k)
 
 
-def multi_sort(df: DataFrame, keys: Sequence[tuple[str, bool]], natural: Sequence[str] = (), order: str | None = None) -> DataFrame:
-    """Sort by (column, ascending) keys; `natural` columns compare digits as numbers and without case."""
+def multi_keys(keys: Sequence[tuple[str, bool]], natural: Sequence[str] = (), order: str | None = None) -> list[Column]:
+    """Sort keys from (column, ascending); `natural` columns compare digits as numbers and without case."""
     cols = [(natural_key(F.col(c)) if c in natural else F.col(c)) for c, _ in keys]
-    return df.orderBy(*((c.asc_nulls_last() if up else c.desc_nulls_last()) for c, (_, up) in zip(cols, keys, strict=True)), *([order] if order else []))
+    return [*((c.asc_nulls_last() if up else c.desc_nulls_last()) for c, (_, up) in zip(cols, keys, strict=True)), *([F.col(order)] if order else [])]
+
+
+def multi_sort(df: DataFrame, keys: Sequence[tuple[str, bool]], natural: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """Sort by several columns, see `multi_keys`."""
+    return df.orderBy(*multi_keys(keys, natural, order))
 
 
 #: Columns an index page may be sorted by.
 INDEX_SORTS: Mapping[str, str] = {"name": "name", "path": "path", "size": "size", "time": "mtime", "type": "type", "status": "status", "chunks": "chunks", "opened": "opened", "id": "id"}
 
 
-def index_sort(df: DataFrame, key: str, ascending: bool, columns: Mapping[str, str]) -> DataFrame:
+def index_keys(key: str, ascending: bool, columns: Mapping[str, str]) -> list[Column]:
     if key not in INDEX_SORTS:
         raise ValueError(f"no sort key {key!r}")
     c = F.col(columns[key])
-    return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), columns["id"])
+    return [c.asc_nulls_last() if ascending else c.desc_nulls_last(), F.col(columns["id"])]
+
+
+def index_sort(df: DataFrame, key: str, ascending: bool, columns: Mapping[str, str]) -> DataFrame:
+    return df.orderBy(*index_keys(key, ascending, columns))
 
 
 def queue_rank(opened: Column, fresh: Column, size: Column, failed: Column, small: int, middle: int) -> Column:

@@ -47,17 +47,18 @@ def chain(conditions: Sequence[tuple[str, str, str, str]]) -> Column:
     return out
 
 
-def numbered(df: DataFrame, order: Sequence[Column | str], name: str, first: int = 1, buckets: int = 200) -> DataFrame:
-    """Row numbers over a whole table: a range sort, numbers inside each part, and offsets from the parts' sizes.
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str, first: int = 1) -> DataFrame:
+    """Row numbers over a whole table: one range shuffle, a sort inside each part, and offsets from the parts' sizes.
 
-    One window over everything would put the table into one task. The numbered parts are written once, as sampling
-    could cut the ranges elsewhere the second time.
+    One window over everything would put the table into one task. As many parts as the session shuffles into: a row's id after
+    the sort holds its part and its place there. The parts are written once, as sampling could cut the ranges elsewhere the
+    second time. There is one offset a part, so these are broadcast.
     """
-    part = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    local = settle(part.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
+    ids = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row_id", F.monotonically_increasing_id())
+    local = settle(ids.withColumns({"_part": F.shiftright("_row_id", 33), "_at": F.col("_row_id").bitwiseAND((1 << 33) - 1)}).drop("_row_id"))
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return local.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_at") + (first - 1)).cast("long")).drop("_part", "_at", "_n", "_before")
+    return local.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_at") + first).cast("long")).drop("_part", "_at", "_before")
 
 
 def in_range(place: str, kind: str = "all", low: int | None = None, high: int | None = None, current: int | None = None) -> Column:

@@ -238,7 +238,12 @@ def best_per_key(df: DataFrame, key: str, score: str, value: str) -> DataFrame:
 
 def rerank(df: DataFrame, external: str, order: str) -> DataFrame:
     """By an outside score, best first, then the local order; rows without a score keep that order behind the others."""
-    return df.orderBy(F.col(external).desc_nulls_last(), order)
+    return df.orderBy(*rerank_keys(external, order))
+
+
+def rerank_keys(external: str, order: str) -> list[Column]:
+    """Sort keys of `rerank`."""
+    return [F.col(external).desc_nulls_last(), F.col(order)]
 
 
 #: Words that name a kind of file (fixed values).

@@ -196,12 +196,12 @@ def _(s, d):
     return load(s, d, "customer").where(records.chain([("", "c_mktsegment", "equals", "BUILDING"), ("or", "c_mktsegment", "equals", "machinery"), ("and", "c_name", "contains", "12")])).select("c_custkey")
 
 
-@query("m05_exclude_filter_sort", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (1, 2, 3) AND lower(c_mktsegment) = 'building' ORDER BY c_name DESC, c_custkey LIMIT 50")
+@query("m05_exclude_filter_sort", "SELECT c_custkey, c_name, row_number() OVER (ORDER BY lower(c_name) DESC NULLS LAST, c_custkey) AS place FROM customer WHERE c_custkey NOT IN (1, 2, 3) AND lower(c_mktsegment) = 'building'")
 def _(s, d):
     from ..operators import ordering
 
     c = load(s, d, "customer").where(~F.col("c_custkey").isin(1, 2, 3) & records.test("c_mktsegment", "equals", "building"))
-    return ordering.multi_sort(c.select("c_custkey", "c_name"), [("c_name", False)], ["c_name"], "c_custkey").limit(50)
+    return records.numbered(c.select("c_custkey", "c_name"), ordering.multi_keys([("c_name", False)], ["c_name"], "c_custkey"), "place")
 
 
 @query("m06_record_range", "SELECT c_custkey, place FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer) WHERE place BETWEEN 100 AND 300")
@@ -314,9 +314,9 @@ def _(s, d):
     return load(s, d, "part").where(F.contains(n, F.lit(" "))).select("p_partkey", sheet.text_before(n, " ").alias("before"), sheet.text_after(n, " ").alias("after"), F.concat_ws("|", "p_brand", "p_type").alias("joined"))
 
 
-@query("f12_dynamic_arrays", "SELECT DISTINCT p_brand, p_type FROM part ORDER BY ALL LIMIT 40")
+@query("f12_dynamic_arrays", "SELECT *, row_number() OVER (ORDER BY p_brand NULLS FIRST, p_type NULLS FIRST) AS place FROM (SELECT DISTINCT p_brand, p_type FROM part)")
 def _(s, d):
-    return load(s, d, "part").select("p_brand", "p_type").distinct().orderBy("p_brand", "p_type").limit(40)
+    return records.numbered(load(s, d, "part").select("p_brand", "p_type").distinct(), ["p_brand", "p_type"], "place")
 
 
 @query("f13_lambdas", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS ss FROM embeddings")

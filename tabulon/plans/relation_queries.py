@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import records
 from ..operators import relations as r
 from ..registry import load, query
 
@@ -103,12 +104,12 @@ def _(s, d):
     return r.dedupe(load(s, d, "documents"), ["text"], "doc_id").select("doc_id")
 
 
-@query("u03_merge_groups", """WITH i AS (SELECT c_custkey AS k, c_name AS v, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer WHERE c_custkey < 100), e AS (SELECT c_custkey AS k, upper(c_name) AS v, row_number() OVER (ORDER BY c_custkey DESC) AS rank FROM customer WHERE c_custkey BETWEEN 50 AND 140)
+@query("u03_merge_groups", """WITH i AS (SELECT c_custkey AS k, c_name AS v, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer WHERE c_acctbal < 6000), e AS (SELECT c_custkey AS k, upper(c_name) AS v, row_number() OVER (ORDER BY c_custkey DESC) AS rank FROM customer WHERE c_acctbal >= 0)
     SELECT coalesce(i.k, e.k) AS k, coalesce(e.v, i.v) AS v, (i.rank IS NULL)::INT AS appended, coalesce(i.rank, e.rank) AS rank FROM i FULL JOIN e ON i.k = e.k""")
 def _(s, d):
-    c = load(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
-    i = c.where("k < 100").withColumn("rank", F.col("k") + 1)
-    e = c.where("k BETWEEN 50 AND 140").select("k", F.upper("v").alias("v"), (141 - F.col("k")).alias("rank"))
+    c = load(s, d, "customer")
+    i = records.numbered(c.where("c_acctbal < 6000").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v")), ["k"], "rank")
+    e = records.numbered(c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("k"), F.upper("c_name").alias("v")), [F.desc("k")], "rank")
     return r.merge_groups(i, e, "k", ["v"])
 
 

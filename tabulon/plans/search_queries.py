@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import records
 from ..operators import search as se
 from ..registry import load, query
 
@@ -132,8 +133,8 @@ def _(s, d):
 @query("b22_promote_names", "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE lang = 'de'), c AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE source <> 'src3'), b AS (SELECT coalesce(n.doc_id, c.doc_id) AS document_id, n.rank AS nr, c.rank AS cr FROM n FULL JOIN c ON n.doc_id = c.doc_id) SELECT document_id, coalesce(nr, 1000000 + cr) AS place FROM b WHERE cr IS NOT NULL UNION ALL SELECT * FROM (SELECT document_id, nr FROM b WHERE cr IS NULL ORDER BY nr LIMIT 3)")
 def _(s, d):
     docs = load(s, d, "documents").withColumnRenamed("doc_id", "document_id")
-    n = docs.where("lang = 'de'").select("document_id", F.row_number().over(Window.orderBy("document_id")).cast("long").alias("rank"))
-    c = docs.where("source <> 'src3'").select("document_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "document_id")).cast("long").alias("rank"))
+    n = records.numbered(docs.where("lang = 'de'").select("document_id"), ["document_id"], "rank")
+    c = records.numbered(docs.where("source <> 'src3'").select("document_id", "n_chars"), [F.desc("n_chars"), "document_id"], "rank").drop("n_chars")
     return se.promote_names(n, c)
 
 
@@ -186,9 +187,9 @@ def _(s, d):
     return se.best_per_key(load(s, d, "events"), "user_id", "value", "event_id").select("user_id", "value")
 
 
-@query("b34_rerank", "SELECT event_id FROM events WHERE user_id < 5 ORDER BY value DESC NULLS LAST, event_id LIMIT 100")
+@query("b34_rerank", "SELECT event_id, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS place FROM events")
 def _(s, d):
-    return se.rerank(load(s, d, "events").where("user_id < 5"), "value", "event_id").limit(100).select("event_id")
+    return records.numbered(load(s, d, "events").select("event_id", "value"), se.rerank_keys("value", "event_id"), "place").drop("value")
 
 
 @query("b35_recency_tie_break", "SELECT event_type, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce
-from ..operators import filters, ordering, pivot, stats
+from ..operators import filters, ordering, pivot, records, stats
 from ..registry import load, query
 
 
@@ -390,17 +390,18 @@ def _(s, d):
     return ordering.within_budget(o, "o_custkey", ["o_orderkey"], "size", 500000).select("o_custkey", "o_orderkey", "used")
 
 
-@query("o01_sort_range", "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS place FROM customer ORDER BY place LIMIT 200")
+@query("o01_sort_range", "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS place FROM customer")
 def _(s, d):
-    top = ordering.sort_range(load(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", False).limit(200)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("c_acctbal"), "c_custkey")).cast("long"))
+    c = load(s, d, "customer").select("c_custkey", "c_acctbal")
+    return records.numbered(c, ordering.range_keys(c, "c_acctbal", "c_custkey", False), "place")
 
 
-@query("o02_typed_comparator", "SELECT p_partkey, p_brand FROM part ORDER BY try_cast(substr(p_brand, 7) AS DOUBLE) NULLS LAST, lower(p_brand), p_partkey LIMIT 100")
+@query("o02_typed_comparator", "SELECT p_partkey, p_brand, row_number() OVER (ORDER BY try_cast(substr(p_brand, 7) AS DOUBLE) NULLS LAST, lower(p_brand), p_partkey) AS place FROM part")
 def _(s, d):
     n = coerce.to_number(F.substring("p_brand", 7, 20))
     tagged = F.struct(F.when(n.isNotNull(), "number").when(F.col("p_brand").isNotNull(), "text").alias("t"), n.alias("n"), F.when(n.isNull(), F.col("p_brand")).alias("s"), F.lit(None).cast("boolean").alias("b"))
-    return load(s, d, "part").withColumn("v", tagged).orderBy(*ordering.typed_keys("v"), "p_partkey").limit(100).select("p_partkey", "p_brand")
+    p = load(s, d, "part").select("p_partkey", "p_brand", tagged.alias("v"))
+    return records.numbered(p, [*ordering.typed_keys("v"), F.col("p_partkey")], "place").drop("v")
 
 
 @query("o04_top_scores", "SELECT event_id, value FROM events WHERE NOT isnan(value) AND NOT isinf(value) ORDER BY value DESC, event_id LIMIT 100")
@@ -413,14 +414,15 @@ def _(s, d):
     return pivot.keep_members(load(s, d, "part"), "p_brand", F.count("*"), "top", order="p_partkey", count=5).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
-@query("o06_multi_key_sort", "SELECT c_custkey, c_mktsegment, c_name FROM customer ORDER BY lower(c_mktsegment) DESC, lower(c_name), c_custkey LIMIT 100")
+@query("o06_multi_key_sort", "SELECT c_custkey, c_mktsegment, c_name, row_number() OVER (ORDER BY lower(c_mktsegment) DESC NULLS LAST, lower(c_name) NULLS LAST, c_custkey) AS place FROM customer")
 def _(s, d):
-    return ordering.multi_sort(load(s, d, "customer").select("c_custkey", "c_mktsegment", "c_name"), [("c_mktsegment", False), ("c_name", True)], ["c_mktsegment", "c_name"], "c_custkey").limit(100)
+    keys = ordering.multi_keys([("c_mktsegment", False), ("c_name", True)], ["c_mktsegment", "c_name"], "c_custkey")
+    return records.numbered(load(s, d, "customer").select("c_custkey", "c_mktsegment", "c_name"), keys, "place")
 
 
-@query("o07_index_sort", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 100")
+@query("o07_index_sort", "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS place FROM documents")
 def _(s, d):
-    return ordering.index_sort(load(s, d, "documents").select("doc_id", "n_chars"), "size", False, {"size": "n_chars", "id": "doc_id"}).limit(100)
+    return records.numbered(load(s, d, "documents").select("doc_id", "n_chars"), ordering.index_keys("size", False, {"size": "n_chars", "id": "doc_id"}), "place")
 
 
 @query("o08_queue_order", "SELECT doc_id, CASE WHEN source = 'src3' THEN 4.0::DOUBLE WHEN lang = 'de' THEN 0.0 WHEN lang = 'fr' THEN 0.5 WHEN n_chars <= 500 THEN 1.0 WHEN n_chars <= 5000 THEN 2.0 ELSE 3.0 END AS rank FROM documents")
