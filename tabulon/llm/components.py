@@ -36,3 +36,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links = settle(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if links.isEmpty():
             return labels
+
+
+def joined(labels: DataFrame, more: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """`labels` of `components` after further links (a, b): as if all links had been given at once.
+
+    Only the further links are worked on, each as a link between the labels of its ends. Ends without a label come as nodes
+    of their own. A label is its component's smallest node, so the smallest label is the smallest node here too.
+    """
+    more = more.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b")
+    ends = more.join(labels.toDF("a", "x"), "a", "left").join(labels.toDF("b", "y"), "b", "left")
+    roots = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    new = more.select("a").union(more.select("b")).distinct().toDF("node").join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return settle(labels.union(new).join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))

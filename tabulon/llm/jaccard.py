@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, settle, written
-from .components import components
+from .components import components, joined
 
 #: Counters of shingle frequencies (a power of two) and their pieces; 8 MB in all, whatever the input.
 COUNTERS, PIECES = 1 << 21, 32
@@ -232,7 +232,7 @@ def near_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     more, _ = verified(rest, texts, nodes, width, percent, tried)
     members = settle(rows.select("id", "x", "node", "n"))
     discard(rows, shared, placed)
-    return members, components(links.union(more))
+    return members, joined(labels, more)
 
 
 def _place(na: str) -> list[Column]:

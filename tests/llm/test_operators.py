@@ -305,6 +305,9 @@ def test_components(spark):
     want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
+    for cut in (0, 30, len(edges)):
+        one, two = (spark.createDataFrame(x, "a long, b long") for x in (edges[:cut], edges[cut:]))
+        assert {r.node: r.label for r in components.joined(components.components(one), two).collect()} == want
 
 
 def test_top_k(spark):
