@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -119,19 +119,32 @@ NEEDS_FIELD = ("percentOfParent", "difference", "percentDiff", "percentOf", "run
 NEEDS_ITEM = ("difference", "percentDiff", "percentOf")
 
 
-def show_as(df: DataFrame, mode: str, value: str, row: str, column: str | None = None, base_item: object = None, order: str | None = None) -> Column:
+def show_as(df: DataFrame, mode: str, value: str, row: str | None, column: str | None = None, base_item: object = None, order: str | None = None,
+            row_parents: Sequence[str] = (), column_parents: Sequence[str] = (), base_field: str | None = None) -> Column:
     """A show-values-as mode over a table with one row for each (row, column) member pair, as a Column.
 
-    The base field is `row`; modes restart for each member of `column`. Differences are null on the base item.
+    The base field is `row`; modes restart for each member of `column`. Differences are null on the base item. If rows or
+    columns are nested, the parents name the levels above, outermost first: the base field's modes restart in each parent, and
+    percentOfParentRow and percentOfParentCol divide by the next level up (without parents, by the whole axis). percentOfParent divides by the
+    member of `base_field`, a level of either axis, that holds the value; without parents it may be left out.
     """
+    if mode in NEEDS_FIELD and row is None:
+        raise ValueError(f"{mode} needs a base field")
     if mode in NEEDS_ITEM and base_item is None:
         raise ValueError(f"{mode} needs a base item")
     if base_item in ("(previous)", "(next)"):
         raise ValueError("a relative base item isn't supported")
-    v, others = F.col(value), [column] if column else []
-    whole, by_others = Window.partitionBy(F.lit(1)), Window.partitionBy(*others) if others else Window.partitionBy(F.lit(1))
-    by_row = Window.partitionBy(row)
-    walk = by_others.orderBy(order or row).rowsBetween(Window.unboundedPreceding, 0)
+    rows, columns = [*row_parents, *([row] if row else [])], [*column_parents, *([column] if column else [])]
+    if mode == "percentOfParent" and base_field is None and (row_parents or column_parents):
+        raise ValueError("percentOfParent needs a base field among the levels")
+    if base_field is not None and base_field not in rows + columns:
+        raise ValueError(f"{base_field!r} is no level of the table")
+
+    def within(*fields: str) -> WindowSpec:
+        return Window.partitionBy(*fields) if fields else Window.partitionBy(F.lit(1))
+
+    v, whole, by_row, by_column, by_others = F.col(value), within(), within(*rows), within(*columns), within(*row_parents, *columns)
+    walk = by_others.orderBy(order or row).rowsBetween(Window.unboundedPreceding, 0) if row else None
     base = F.max(F.when(F.col(row) == F.lit(base_item), v)).over(by_others) if base_item is not None else None
     total = lambda w: F.sum(v).over(w)
     match mode:
@@ -139,10 +152,17 @@ def show_as(df: DataFrame, mode: str, value: str, row: str, column: str | None =
             return F.try_divide(v, total(whole))
         case "percentOfRow":
             return F.try_divide(v, total(by_row))
-        case "percentOfCol" | "percentOfParentRow" | "percentOfParent":
+        case "percentOfCol":
+            return F.try_divide(v, total(by_column))
+        case "percentOfParentRow":
             return F.try_divide(v, total(by_others))
         case "percentOfParentCol":
-            return F.try_divide(v, total(by_row))
+            return F.try_divide(v, total(within(*rows, *column_parents)))
+        case "percentOfParent" if base_field in columns:
+            return F.try_divide(v, total(within(*rows, *columns[:columns.index(base_field) + 1])))
+        case "percentOfParent":
+            held = rows[:rows.index(base_field) + 1] if base_field else []
+            return F.try_divide(v, total(within(*held, *columns)))
         case "difference":
             return F.when(F.col(row) != F.lit(base_item), v - base)
         case "percentDiff":
@@ -158,5 +178,5 @@ def show_as(df: DataFrame, mode: str, value: str, row: str, column: str | None =
         case "rankDescending":
             return F.rank().over(by_others.orderBy(v.desc()))
         case "index":
-            return F.try_divide(v * total(whole), total(by_row) * total(by_others))
+            return F.try_divide(v * total(whole), total(by_row) * total(by_column))
     raise ValueError(f"no mode {mode!r}")

@@ -355,6 +355,23 @@ _mode("w05_rank_ascending", "rankAscending", "rank() OVER (PARTITION BY yr ORDER
 _mode("w06_index", "index", "round(rev * sum(rev) OVER () / (sum(rev) OVER (PARTITION BY n_name) * sum(rev) OVER (PARTITION BY yr)), 6)", digits=6)
 
 
+_NESTED = f"SELECT r_name, n_name, year(l_shipdate)::INT AS yr, quarter(l_shipdate)::INT AS qtr, sum(l_extendedprice*(1-l_discount)) AS rev FROM {_REV} GROUP BY ALL"
+
+
+def _parents(name: str, mode: str, within: str, **more):
+    @query(name, f"SELECT r_name, n_name, yr, qtr, round(rev / sum(rev) OVER (PARTITION BY {within}), 8) AS v FROM ({_NESTED})")
+    def _(s, d):
+        cells = _revenue(s, d).groupBy("r_name", "n_name", F.year("l_shipdate").alias("yr"), F.quarter("l_shipdate").alias("qtr")).agg(F.sum("rev").alias("rev"))
+        v = pivot.show_as(cells, mode, "rev", "n_name", "qtr", row_parents=["r_name"], column_parents=["yr"], **more)
+        return cells.select("r_name", "n_name", "yr", "qtr", F.round(v, 8).alias("v"))
+
+
+_parents("w02_parent_row_nested", "percentOfParentRow", "r_name, yr, qtr")
+_parents("w02_parent_col_nested", "percentOfParentCol", "r_name, n_name, yr")
+_parents("w02_parent_row_field", "percentOfParent", "r_name, yr, qtr", base_field="r_name")
+_parents("w02_parent_column_field", "percentOfParent", "r_name, n_name, yr", base_field="yr")
+
+
 @query("w08_previous_item", f"SELECT n_name, yr, round(rev - lag(rev) OVER (PARTITION BY n_name ORDER BY yr), 2) AS v FROM ({_CELLS})")
 def _(s, d):
     return _cells(s, d).select("n_name", "yr", F.round(F.col("rev") - F.lag("rev").over(Window.partitionBy("n_name").orderBy("yr")), 2).alias("v"))
