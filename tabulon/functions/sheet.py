@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .coerce import to_number
+
 
 def column_label(index: int) -> str:
     """1 -> A, 27 -> AA."""
@@ -60,6 +65,27 @@ def rank_avg(df: DataFrame, column: str, ascending: bool = False, group: list[st
     return df.join(ranks, [*g, column])
 
 
+def skew_p(c: Column) -> Column:
+    """SKEW.P: skewness of a whole population; null without spread."""
+    return F.when(F.stddev_pop(c) > 0, F.skewness(c))
+
+
+def modes(df: DataFrame, column: str, group: Sequence[str] = (), multiple: bool = False) -> DataFrame:
+    """MODE.SNGL, or MODE.MULT if `multiple`: (group, mode), the least or all of the values that occur most often.
+
+    A group in which no value repeats has no row. Counts by value come first, so a frequent value is one row. Null values take no part.
+    """
+    g = list(group)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*g, column).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if not multiple:
+        return counts.groupBy(*g).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(column).alias("mode"))).alias("_least")).select(*g, "_least.mode")
+    top = counts.groupBy(*g).agg(F.max("_n").alias("_top")).withColumnsRenamed({c: f"_top_{c}" for c in g})
+    same = F.col("_n") == F.col("_top")
+    for c in g:
+        same &= F.col(c).eqNullSafe(F.col(f"_top_{c}"))
+    return counts.join(top, same).select(*g, F.col(column).alias("mode"))
+
+
 def base(c: Column, radix: int, least: int = 0) -> Column:
     t = F.conv(c.cast("string"), 10, radix)
     return F.lpad(t, F.greatest(F.length(t), F.lit(least)), F.lit("0"))
@@ -88,6 +114,121 @@ def network_days(start: Column, end: Column) -> Column:
     return (until(F.date_add(end.cast("date"), 1).cast("date")) - until(start.cast("date"))).cast("long") + F.lit(0)
 
 
+def _working(weekend: int | str) -> list[int]:
+    """1 for each working day, Monday first. Codes 1-7 are two days off from Saturday-Sunday on, 11-17 one from Sunday on; a mask marks days off by 1."""
+    if isinstance(weekend, str):
+        if not re.fullmatch("[01]{7}", weekend):
+            raise ValueError(f"no weekend: {weekend!r}")
+        return [1 - int(x) for x in weekend]
+    if 1 <= weekend <= 7:
+        off = {(weekend + 4) % 7, (weekend + 5) % 7}
+    elif 11 <= weekend <= 17:
+        off = {(weekend - 5) % 7}
+    else:
+        raise ValueError(f"no weekend: {weekend!r}")
+    return [int(i not in off) for i in range(7)]
+
+
+#: Days are counted from this Monday.
+_MONDAY = dt.date(1900, 1, 1)
+
+
+def _worked(day: Column, working: Sequence[int]) -> Column:
+    """Working days from `_MONDAY` to the day before `day`, by arithmetic on weeks."""
+    days = F.datediff(day.cast("date"), F.lit(_MONDAY))
+    before = F.array(*(F.lit(x) for x in accumulate(working[:6], initial=0)))
+    return F.floor(days / 7) * sum(working) + F.get(before, F.pmod(days, F.lit(7)))
+
+
+def _days_off(holidays: Sequence[dt.date | str], working: Sequence[int]) -> list[dt.date]:
+    """The holidays that fall on working days, in order, once each."""
+    days = {x if isinstance(x, dt.date) else dt.date.fromisoformat(x) for x in holidays}
+    return sorted(x for x in days if working[x.weekday()])
+
+
+def network_days_intl(start: Column, end: Column, weekend: int | str = 1, holidays: Sequence[dt.date | str] = ()) -> Column:
+    """NETWORKDAYS.INTL: working days from start to end, both included; negative if the end comes first. Null dates give null."""
+    working = _working(weekend)
+    first, last = F.least(start.cast("date"), end.cast("date")), F.greatest(start.cast("date"), end.cast("date"))
+    n = _worked(F.date_add(last, 1), working) - _worked(first, working)
+    off = _days_off(holidays, working)
+    if off:
+        n = n - F.size(F.filter(F.array(*map(F.lit, off)), lambda x: x.between(first, last)))
+    known = start.isNotNull() & end.isNotNull()
+    return F.when(known, F.when(end.cast("date") < start.cast("date"), -n).otherwise(n)).cast("long")
+
+
+def workday_intl(day: Column, n: Column | int, weekend: int | str = 1, holidays: Sequence[dt.date | str] = ()) -> Column:
+    """WORKDAY.INTL: the nth working day after a day, before it if n is negative, the day itself if n is 0. Null gives null.
+
+    Working days are numbered, holidays left out; the number looked for is moved on by each holiday that it reaches.
+    """
+    working = _working(weekend)
+    week = sum(working)
+    if not week:
+        raise ValueError("every day is off")
+    day, n = day.cast("date"), F.lit(n) if isinstance(n, int) else n
+    weekdays = [i for i, x in enumerate(working) if x]
+    places = [(x - _MONDAY).days // 7 * week + weekdays.index(x.weekday()) + 1 for x in _days_off(holidays, working)]
+    held = F.array(*(F.lit(x).cast("long") for x in places)) if places else F.array().cast("array<bigint>")
+    done = F.when(n > 0, _worked(F.date_add(day, 1), working)).otherwise(_worked(day, working) + 1).cast("long")
+    # backwards, `done` is the number of the next working day from `day` on: with n = -1 it's the one before
+    real = done - F.size(F.filter(held, lambda x: x <= F.when(n > 0, done).otherwise(done - 1)))
+    at = F.aggregate(held, (real + n).cast("long"), lambda acc, x: acc + F.when(x <= acc, 1).otherwise(0).cast("long"))
+    on = F.get(F.array(*map(F.lit, weekdays)), F.pmod(at - 1, F.lit(week)).cast("int"))
+    days = F.floor((at - 1) / week) * 7 + on
+    return F.when(n == 0, day).otherwise(F.date_add(F.lit(_MONDAY), days.cast("int")))
+
+
+def text_split(c: Column, separators: Sequence[str], ignore_empty: bool = False) -> Column:
+    """TEXTSPLIT along one line: the parts between any of the separators, empty ones left out on demand."""
+    if not separators or "" in separators:
+        raise ValueError("separators must not be empty")
+    literal = "|".join(re.sub(r"([^A-Za-z0-9 ])", r"\\\1", x) for x in sorted(separators, key=len, reverse=True))
+    parts = F.split(c, literal, -1)
+    return F.filter(parts, lambda x: x != "") if ignore_empty else parts
+
+
+def number_value(text: Column, decimal: str = ".", group: str = ",") -> Column:
+    """NUMBERVALUE: white space goes, group signs before the decimal sign go, each final % divides by 100; empty text is 0, no number is null."""
+    t = F.regexp_replace(text, r"\s+", "")
+    body = F.regexp_replace(t, "%+$", "")
+    at = F.instr(body, decimal)
+    whole = F.replace(F.when(at > 0, F.substr(body, F.lit(1), at - 1)).otherwise(body), F.lit(group), F.lit(""))
+    rest = F.when(at > 0, F.concat(F.lit("."), F.substr(body, at + 1))).otherwise("")
+    value = F.when(whole.rlike(r"^[+-]?\d*([eE][+-]?\d+)?$"), to_number(F.concat(whole, rest)))
+    return F.when(t == "", 0.0).otherwise(value / F.pow(F.lit(100.0), F.length(t) - F.length(body)))
+
+
+def _from_end(indices: Sequence[int], n: int) -> list[int]:
+    """Places from 1 on; negative ones count from the end."""
+    out = [i if i > 0 else n + 1 + i for i in indices]
+    if not all(i and 1 <= o <= n for i, o in zip(indices, out, strict=True)):
+        raise ValueError(f"places {list(indices)} leave 1 to {n}")
+    return out
+
+
+def choose_columns(df: DataFrame, indices: Sequence[int]) -> DataFrame:
+    """CHOOSECOLS: columns by place, negative from the end; a column taken again gets its turn after its name."""
+    taken: dict[str, int] = {}
+    out = []
+    for i in _from_end(indices, len(df.columns)):
+        name = df.columns[i - 1]
+        taken[name] = taken.get(name, 0) + 1
+        out.append(df[name].alias(name if taken[name] == 1 else f"{name}_{taken[name]}"))
+    return df.select(*out)
+
+
+def choose_rows(df: DataFrame, order: Sequence[Column | str], indices: Sequence[int]) -> DataFrame:
+    """CHOOSEROWS: rows by their place in `order`, negative from the end, with `place` in the result. A row may be taken again."""
+    from ..operators.records import numbered
+
+    at = _from_end(indices, df.count())
+    wanted = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(k).alias("place")) for k, i in enumerate(at, 1)))
+    rows = numbered(df, order, "_at_row").where(F.col("_at_row").isin(at))
+    return rows.withColumn("_w", F.explode(F.filter(wanted, lambda x: x["at"] == F.col("_at_row")))).select(F.col("_w.place").alias("place"), *df.columns)
+
+
 def text_before(c: Column, sep: str) -> Column:
     return F.when(F.instr(c, sep) > 0, F.substring_index(c, sep, 1))
 

@@ -145,25 +145,24 @@ def _(s, d):
     return co.backups_kept(o, "o_orderdate", F.lit("1998-08-02").cast("timestamp"), "v", "o_custkey", tie="o_orderkey").select("o_orderkey", "kept")
 
 
-@query("c23_redact", "SELECT doc_id, regexp_replace(text, '\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b', '[EMAIL]', 'gi') AS text FROM documents WHERE NOT regexp_matches(text, '[0-9][0-9 ()-]{7,}[0-9]')")
-def _(s, d):
-    return load(s, d, "documents").where(~F.col("text").rlike(r"[0-9][0-9 ()-]{7,}[0-9]")).select("doc_id", filters.redact(F.col("text")).alias("text"))
-
-
-@query("c23_redact_all", "SELECT doc_id, regexp_replace(regexp_replace(text, '\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b', '[EMAIL]', 'gi'), '(^|[^0-9])\\+?[0-9][0-9 ()-]{7,}[0-9]', '\\1[PHONE]', 'g') AS text FROM documents")
+@query("c23_redact", "SELECT doc_id, regexp_replace(regexp_replace(text, '\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b', '[EMAIL]', 'gi'), '(^|[^0-9])\\+?[0-9][0-9 ()-]{7,}[0-9]', '\\1[PHONE]', 'g') AS text FROM documents")
 def _(s, d):
     return load(s, d, "documents").select("doc_id", filters.redact(F.col("text")).alias("text"))
 
 
-@query("c24_placeholders", "SELECT c_custkey, ['name', 'city'] AS labels FROM customer")
+@query("c24_placeholders", "SELECT c_custkey, list_transform([c_name, c_mktsegment || ' no. (' || c_nationkey || ')'], lambda x: regexp_replace(trim(x), '[^\\p{L}\\p{N} _-]', '', 'g')) AS labels FROM customer")
 def _(s, d):
-    t = F.concat(F.lit("Dear {{ name }}, "), "c_name", F.lit(" in {{city}}"))
+    t = F.concat(F.lit("Dear {{ "), "c_name", F.lit(" }}, {not one} {{"), "c_mktsegment", F.lit(" no. ("), "c_nationkey", F.lit(")}}"))
     return load(s, d, "customer").select("c_custkey", co.placeholders(t).alias("labels"))
 
 
-@query("c25_redact_spans", "SELECT c_custkey, '[WITHHELD]' || substr(c_name, 6) AS name FROM customer")
+@query("c25_redact_spans", """SELECT c_custkey, CASE WHEN c_nationkey % 4 < 2 THEN '[WITHHELD]' || substr(c_name, 6 + c_nationkey % 4)
+    ELSE '[WITHHELD]' || substr(c_name, 4, c_nationkey % 4 - 1) || '[WITHHELD]' || substr(c_name, 8) END AS name FROM customer""")
 def _(s, d):
-    spans = F.array(F.struct(F.lit(0).alias("s"), F.lit(3).alias("e")), F.struct(F.lit(2).alias("s"), F.lit(5).alias("e")))
+    """Two spans: in half of the rows they overlap, in the others one or two characters lie between."""
+    k = (F.col("c_nationkey") % 4).cast("int")
+    two = F.when(k < 2, F.struct(F.lit(2).alias("s"), (5 + k).alias("e"))).otherwise(F.struct((2 + k).alias("s"), F.lit(7).alias("e")))
+    spans = F.array(F.struct(F.lit(0).alias("s"), F.lit(3).alias("e")), two)
     return load(s, d, "customer").select("c_custkey", co.redact_spans(F.col("c_name"), spans).alias("name"))
 
 
@@ -245,14 +244,7 @@ def _(s, d):
     return load(s, d, "documents").select("doc_id", F.size(records.normal_lines(F.col("text"))).cast("long").alias("n"))
 
 
-@query("m15_page_compare", "SELECT doc_id AS page, CASE WHEN strpos(text, chr(10)) > 0 THEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) - 1 ELSE 0 END::BIGINT AS removed_count FROM documents WHERE len(list_distinct(string_split(text, chr(10)))) = len(string_split(text, chr(10)))")
-def _(s, d):
-    docs = load(s, d, "documents").where(F.size(F.array_distinct(F.split("text", "\n"))) == F.size(F.split("text", "\n")))
-    new = docs.withColumn("text", F.substring_index("text", "\n", 1))
-    return records.compare(docs, new, "doc_id", "text").select("page", "removed_count")
-
-
-@query("m15_page_compare_all", "SELECT doc_id AS page, coalesce(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) - (trim(string_split(text, chr(10))[1]) <> '')::INT, 0)::BIGINT AS removed_count FROM documents")
+@query("m15_page_compare", "SELECT doc_id AS page, coalesce(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) - (trim(string_split(text, chr(10))[1]) <> '')::INT, 0)::BIGINT AS removed_count FROM documents")
 def _(s, d):
     docs = load(s, d, "documents")
     return records.compare(docs, docs.withColumn("text", F.substring_index("text", "\n", 1)), "doc_id", "text").select("page", "removed_count")
@@ -285,6 +277,21 @@ def _(s, d):
     return load(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.covar_samp(q, p), 2).alias("cs"), F.round(F.covar_pop(q, p), 2).alias("cp"), F.round(F.corr(q, p), 8).alias("c"))
 
 
+@query("f05_skew", "SELECT l_returnflag, round((avg(q * q * q) - 3 * avg(q) * avg(q * q) + 2 * avg(q) ** 3) / stddev_pop(q) ** 3, 6) AS skew FROM (SELECT l_returnflag, l_quantity::DOUBLE AS q FROM lineitem) GROUP BY 1")
+def _(s, d):
+    return load(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(sheet.skew_p(F.col("l_quantity")), 6).alias("skew"))
+
+
+@query("f05_mode_single", "SELECT c_mktsegment, min_by(c_nationkey, {'a': -n, 'b': c_nationkey}) AS mode FROM (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY 1, 2) WHERE n > 1 GROUP BY 1")
+def _(s, d):
+    return sheet.modes(load(s, d, "customer"), "c_nationkey", ["c_mktsegment"])
+
+
+@query("f05_mode_multiple", "WITH c AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_brand, p_size AS mode FROM c WHERE n > 1 QUALIFY n = max(n) OVER (PARTITION BY p_brand)")
+def _(s, d):
+    return sheet.modes(load(s, d, "part"), "p_size", ["p_brand"], multiple=True)
+
+
 @query("f06_math", "SELECT p_partkey, ceil(p_retailprice / 5) * 5 AS up, floor(p_retailprice / 5) * 5 AS down, round(1 / cos(p_size), 6) AS sec, lower(to_base(p_partkey, 16)) AS hex FROM part")
 def _(s, d):
     return load(s, d, "part").select("p_partkey", sheet.ceiling_math(F.col("p_retailprice"), 5.0).alias("up"), sheet.floor_math(F.col("p_retailprice"), 5.0).alias("down"), F.round(F.sec("p_size"), 6).alias("sec"), F.lower(sheet.base(F.col("p_partkey"), 16)).alias("hex"))
@@ -302,6 +309,25 @@ def _(s, d):
     return load(s, d, "orders").select("o_orderkey", sheet.network_days(day, F.date_add(day, 13)).alias("workdays"), F.weekofyear("o_orderdate").alias("iso_week"))
 
 
+_OFF = ("1994-07-04", "1995-12-25", "1996-01-01", "1996-01-02", "1997-05-01", "1997-05-04")
+_OFF_SQL = "(" + ", ".join(f"DATE '{x}'" for x in _OFF) + ")"
+
+
+@query("f08_network_days_intl", f"SELECT o_orderkey, len(list_filter(generate_series(o_orderdate::DATE, o_orderdate::DATE + 45, INTERVAL 1 DAY), lambda x: isodow(x) NOT IN (5, 6) AND x::DATE NOT IN {_OFF_SQL}))::BIGINT AS workdays FROM orders")
+def _(s, d):
+    """Fridays and Saturdays off (code 7), and holidays."""
+    day = F.col("o_orderdate").cast("date")
+    return load(s, d, "orders").select("o_orderkey", sheet.network_days_intl(day, F.date_add(day, 45), 7, _OFF).alias("workdays"))
+
+
+@query("f08_workday_intl", f"""SELECT o_orderkey, (list_filter(generate_series(o_orderdate::DATE + 1, o_orderdate::DATE + 60, INTERVAL 1 DAY), lambda x: isodow(x) NOT IN (3, 7) AND x::DATE NOT IN {_OFF_SQL}))[20]::DATE AS later,
+    (list_filter(generate_series(o_orderdate::DATE - 1, o_orderdate::DATE - 60, INTERVAL (-1) DAY), lambda x: isodow(x) NOT IN (3, 7) AND x::DATE NOT IN {_OFF_SQL}))[20]::DATE AS earlier FROM orders""")
+def _(s, d):
+    """Wednesdays and Sundays off by a mask, and holidays; forwards and backwards."""
+    day = F.col("o_orderdate").cast("date")
+    return load(s, d, "orders").select("o_orderkey", sheet.workday_intl(day, 20, "0010001", _OFF).alias("later"), sheet.workday_intl(day, -20, "0010001", _OFF).alias("earlier"))
+
+
 @query("f09_logic", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'A' WHEN o_totalprice > 100000 THEN 'B' ELSE 'C' END AS ifs, (o_orderstatus = 'F') <> (o_totalprice > 100000) AS x FROM orders")
 def _(s, d):
     t = F.col("o_totalprice")
@@ -314,6 +340,19 @@ def _(s, d):
     return load(s, d, "part").where(F.contains(n, F.lit(" "))).select("p_partkey", sheet.text_before(n, " ").alias("before"), sheet.text_after(n, " ").alias("after"), F.concat_ws("|", "p_brand", "p_type").alias("joined"))
 
 
+@query("f10_text_split", "SELECT p_partkey, list_filter(regexp_split_to_array(p_type || '#' || p_brand, '[ #]'), lambda x: x <> '') AS parts FROM part")
+def _(s, d):
+    return load(s, d, "part").select("p_partkey", sheet.text_split(F.concat("p_type", F.lit("#"), "p_brand"), [" ", "#"], ignore_empty=True).alias("parts"))
+
+
+@query("f10_number_value", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey * 1000 + 0.5 WHEN 1 THEN o_orderkey / 100.0 END::DOUBLE AS value FROM orders")
+def _(s, d):
+    """Points between thousands and a decimal comma, a per cent sign, and a point after the comma, which is no number."""
+    k, form = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 3
+    text = F.when(form == 0, F.concat(k, F.lit(".000 ,5"))).when(form == 1, F.concat(F.lit(" "), k, F.lit("%"))).otherwise(F.concat(k, F.lit(",5.0")))
+    return load(s, d, "orders").select("o_orderkey", sheet.number_value(text, ",", ".").alias("value"))
+
+
 @query("f12_dynamic_arrays", "SELECT *, row_number() OVER (ORDER BY p_brand NULLS FIRST, p_type NULLS FIRST) AS place FROM (SELECT DISTINCT p_brand, p_type FROM part)")
 def _(s, d):
     return records.numbered(load(s, d, "part").select("p_brand", "p_type").distinct(), ["p_brand", "p_type"], "place")
@@ -324,6 +363,13 @@ def _(s, d):
     return load(s, d, "embeddings").select("vec_id", F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x), 6).alias("ss"))
 
 
+@query("f14_choose", "WITH r AS (SELECT n_name, n_regionkey, row_number() OVER (ORDER BY n_name) AS nth, count(*) OVER () AS n FROM nation) SELECT 1 AS place, n_regionkey, n_name FROM r WHERE nth = 3 UNION ALL SELECT 2, n_regionkey, n_name FROM r WHERE nth = n UNION ALL SELECT 3, n_regionkey, n_name FROM r WHERE nth = 3")
+def _(s, d):
+    """The third row, the last one and the third again; the last column, then the first."""
+    rows = sheet.choose_rows(load(s, d, "nation").select("n_name", "n_nationkey", "n_regionkey"), ["n_name"], [3, -1, 3])
+    return rows.select("place", *sheet.choose_columns(rows.drop("place"), [-1, 1]).columns)
+
+
 @query("f15_forecast_linear", "SELECT n_regionkey, round(regr_intercept(n_nationkey, length(n_name)) + regr_slope(n_nationkey, length(n_name)) * 10, 6) AS v FROM nation GROUP BY 1")
 def _(s, d):
     x = F.length("n_name")

@@ -130,3 +130,67 @@ def test_sheet_functions(spark):
         sheet.safe_pattern(r"(a+)+$")
     r = spark.createDataFrame([(48.0, -200.0, 8000.0, 0.0)], "n double, p double, v double, f double").select(sheet.rate("n", "p", "v", "f")).first()[0]
     assert abs(r - 0.0077014725) < 1e-6
+
+
+@pytest.mark.parametrize(("weekend", "off"), [(1, {5, 6}), (2, {6, 0}), (7, {4, 5}), (11, {6}), (12, {0}), (17, {5}), ("1000001", {0, 6})])
+def test_working_days(spark, weekend, off):
+    """Against a walk over the calendar, with a holiday on a day off, one given twice and two in a row."""
+    holidays = ["1996-01-01", "1996-01-02", "1996-01-02", "1996-01-06", "1996-02-29"]
+    held = {dt.date.fromisoformat(x) for x in holidays}
+    works = lambda x: x.weekday() not in off and x not in held
+
+    def walk(day, n):
+        while n:
+            day += dt.timedelta(1 if n > 0 else -1)
+            n -= (1 if n > 0 else -1) * works(day)
+        return day
+
+    days = [dt.date(1995, 12, 20) + dt.timedelta(i) for i in range(80)]
+    ns = (-30, -7, -1, 0, 1, 2, 9, 31)
+    df = spark.createDataFrame([(x, n) for x in days for n in ns], "day date, n int")
+    end = F.date_add("day", F.col("n"))
+    got = df.select("day", "n", sheet.workday_intl(F.col("day"), F.col("n"), weekend, holidays), sheet.network_days_intl(F.col("day"), end, weekend, holidays)).collect()
+    for day, n, moved, count in got:
+        assert moved == walk(day, n), (day, n)
+        between = sum(works(min(day, day + dt.timedelta(n)) + dt.timedelta(i)) for i in range(abs(n) + 1))
+        assert count == (-between if n < 0 else between), (day, n)
+
+
+def test_working_days_edges(spark):
+    none = F.lit(None).cast("date")
+    old = F.lit("1899-12-29").cast("date")  # before the days are counted from
+    assert tuple(spark.range(1).select(sheet.network_days_intl(none, old), sheet.workday_intl(none, 3), sheet.network_days_intl(old, old, "1111111"), sheet.workday_intl(old, 1)).first()) == (None, None, 0, dt.date(1900, 1, 1))
+    for bad in (0, 8, 10, 18, "11111"):
+        with pytest.raises(ValueError):
+            sheet.network_days_intl(old, old, bad)
+    with pytest.raises(ValueError):
+        sheet.workday_intl(old, 1, "1111111")
+
+
+def test_number_value_and_split(spark):
+    texts = ["2.500,27", "3,5%", "", "  ", "1,2,3", "1,5.0", "9%%", "-1.000", "x", "1 2", None, "1e2"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = [r[0] for r in df.select(sheet.number_value(F.col("t"), ",", ".")).collect()]
+    assert [x if x is None else round(x, 9) for x in got] == [2500.27, 0.035, 0.0, 0.0, None, None, 0.0009, -1000.0, None, 12.0, None, 100.0]
+    row = spark.range(1).select(sheet.text_split(F.lit("a.b--c-."), [".", "--", "-"]), sheet.text_split(F.lit("a.b--c-."), [".", "-"], True), sheet.text_split(F.lit(""), ["."])).first()
+    assert tuple(row) == (["a", "b", "c", "", ""], ["a", "b", "c"], [""])
+
+
+def test_modes_and_choice(spark):
+    df = spark.createDataFrame([(None, 1), (None, 1), ("a", 2), ("a", 2), ("a", 1), ("a", 1), ("b", 1), ("b", None), ("b", None)], "g string, v int")
+    assert sorted(values(sheet.modes(df, "v", ["g"]), "g", "mode"), key=str) == [("a", 1), (None, 1)]
+    assert sorted(values(sheet.modes(df, "v", ["g"], multiple=True), "g", "mode"), key=str) == [("a", 1), ("a", 2), (None, 1)]
+    assert values(sheet.modes(df, "v"), "mode") == [(1,)]
+    assert sheet.modes(df.limit(0), "v", multiple=True).count() == 0
+    assert sheet.choose_columns(df, [-1, 1, 2]).columns == ["v", "g", "v_2"]
+    for bad in ([0], [3], [-3]):
+        with pytest.raises(ValueError):
+            sheet.choose_columns(df, bad)
+    three = spark.createDataFrame([(3,), (1,), (2,)], "k int")
+    assert sorted(values(sheet.choose_rows(three, ["k"], [-1, 1, -1]), "place", "k")) == [(1, 3), (2, 1), (3, 3)]
+
+
+def test_show_as_requirements(grid):
+    for mode, more in (("runTotal", {"row": None}), ("difference", {"row": "r"}), ("percentOfParent", {"row": "r", "row_parents": ["p"]}), ("percentOfParent", {"row": "r", "base_field": "x"})):
+        with pytest.raises(ValueError):
+            pivot.show_as(grid, mode, "v", **more)

@@ -28,13 +28,13 @@ def test_fold_all(spark, texts):
 
 def test_redact_all(spark, texts):
     email, phone = r"(?ai)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"(?a)(?<!\d)\+?\d[\d ()-]{7,}\d(?!\d)"
-    got = {r.doc_id: r.text for r in made(spark, "c23_redact_all")}
+    got = {r.doc_id: r.text for r in made(spark, "c23_redact")}
     assert got == {d: t if t is None else re.sub(phone, "[PHONE]", re.sub(email, "[EMAIL]", t)) for d, t in texts.items()}
     assert any("[PHONE]" in (t or "") for t in got.values())
 
 
 def test_compare_all(spark, texts):
-    got = {r.page: r.removed_count for r in made(spark, "m15_page_compare_all")}
+    got = {r.page: r.removed_count for r in made(spark, "m15_page_compare")}
     lines = {d: [x.strip() for x in (t or "").split("\n")] for d, t in texts.items()}
     assert got == {d: sum(map(bool, x)) - bool(x[0]) for d, x in lines.items()}
     assert any(len(set(x)) < len(x) for x in lines.values())
