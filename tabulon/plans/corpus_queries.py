@@ -118,6 +118,28 @@ def _(s, d):
     return load(s, d, "events").groupBy("event_type", c.alias("class")).agg(F.count("*").alias("n"))
 
 
+#: One error for each reason; the first is of none.
+_ERRORS = ("Odd", "Local embedding model unavailable", "File is Encrypted", "EBUSY: it is locked", "request timed out", "it exceeds 128 MB", "File changed while it was read",
+           "ENOENT: no such file", "Bad zip: end of central directory", "No readable text in this file", "OCR found nothing", "Unsupported or invalid")
+_REASONS = ("other", "model", "password", "permission", "timeout", "too-large", "changed", "unavailable", "corrupt", "empty", "no-text", "unsupported")
+
+
+@query("c16_issue_reasons", f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'waiting' WHEN o_orderstatus = 'F' AND o_orderkey % 13 IN (0, 11, 12) THEN 'no-text' ELSE coalesce({list(_REASONS)}[o_orderkey % 13 + 1], 'other') END AS reason FROM orders")
+def _(s, d):
+    """Orders as documents: pending, empty or failed, with an error of each kind or none."""
+    error = F.get(F.array(*map(F.lit, _ERRORS)), (F.col("o_orderkey") % 13).cast("int"))
+    status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "F", "empty").otherwise("failed")
+    return load(s, d, "orders").select("o_orderkey", co.issue_reason(error, status).alias("reason"))
+
+
+@query("c19_refused_paths", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'temporary-file' WHEN 1 THEN 'generated-build-directory' WHEN 2 THEN 'generated-build-directory'
+    WHEN 3 THEN 'generated-build-file' WHEN 4 THEN 'temporary-file' END AS reason FROM pages""")
+def _(s, d):
+    ends = ("/~$plan.docx", "/Win-Unpacked/a.txt", "\\dist_electron\\b.tmp", "/LICENSES.chromium.html", "/film.PART", "/LICENSE.txt/")
+    path = F.concat("url", F.get(F.array(*map(F.lit, ends)), (F.col("page_id") % 6).cast("int")))
+    return load(s, d, "pages").select("page_id", co.refusal(path).alias("reason"))
+
+
 @query("c17_sensitive_names", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '\\b(red|old)\\b')")
 def _(s, d):
     return load(s, d, "part").where(co.has_terms(tx.fold_ascii(F.col("p_name")), ["red", "old"])).select("p_partkey")
@@ -393,8 +415,7 @@ def _(s, d):
 
 @query("f20_rate")
 def _(s, d):
-    c = load(s, d, "customer").where("c_acctbal > 100")
-    return c.select("c_custkey", F.round(sheet.rate(F.lit(24.0), -(F.col("c_acctbal") / 20), F.col("c_acctbal"), F.lit(0.0)), 8).alias("rate"))
+    return load(s, d, "customer").select("c_custkey", F.round(sheet.rate(F.lit(24.0), -(F.col("c_acctbal") / 20), F.col("c_acctbal"), F.lit(0.0)), 8).alias("rate"))
 
 
 @query("f22_serial_dates", "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")

@@ -13,13 +13,7 @@ from ..registry import load, query
 _W = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+')"
 
 
-@query("b01_fold_text", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM documents WHERE NOT regexp_matches(lower(text), '[0-9]|ß|class|lop')")
-def _(s, d):
-    docs = load(s, d, "documents").where(~F.lower("text").rlike("[0-9]|ß|class|lop"))
-    return docs.select("doc_id", tx.fold_any("text").alias("folded"))
-
-
-@query("b01_fold_text_all")
+@query("b01_fold_text")
 def _(s, d):
     """Class codes and number pairs included; DuckDB has no Unicode normalization."""
     return load(s, d, "documents").select("doc_id", tx.fold_any("text").alias("folded"))
@@ -157,9 +151,9 @@ def _(s, d):
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
-@query("b27_snippet", f"SELECT doc_id, CASE WHEN strpos(lower(t), 'the') > 0 THEN strpos(lower(t), 'the') END::INT AS first FROM (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents WHERE lang = 'en') WHERE contains(lower(t), 'the')")
+@query("b27_snippet", f"SELECT doc_id, CASE WHEN strpos(lower(t), 'the') > 0 THEN strpos(lower(t), 'the') END::INT AS first FROM (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents) WHERE contains(lower(t), 'the')")
 def _(s, d):
-    docs = load(s, d, "documents").where("lang = 'en'").withColumn("s", tx.snippet(F.col("text"), "the")).where("s IS NOT NULL")
+    docs = load(s, d, "documents").withColumn("s", tx.snippet(F.col("text"), "the")).where("s IS NOT NULL")
     flat = F.regexp_replace("text", r"\s+", " ")
     lead = F.instr(F.col("s"), "[") - F.col("s").startswith("…").cast("int")
     start = F.greatest(F.lit(1), F.locate("the", F.lower(flat)) - 40)

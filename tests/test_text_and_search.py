@@ -135,3 +135,10 @@ def test_registry_names_match():
 
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len(q) > 150 and json.dumps(sorted(q))
+
+
+def test_paths_without_steps_are_admitted(spark):
+    df = spark.createDataFrame([("",), ("///",), (None,), ("a.bak/b.txt",), ("~$x",)], "p string")
+    assert [r[0] for r in df.select(corpus.refusal(F.col("p"))).collect()] == [None, None, None, None, "temporary-file"]
+    row = spark.range(1).select(corpus.issue_reason(F.lit(None).cast("string"), F.lit(None).cast("string")), corpus.issue_reason(F.lit(None).cast("string"), F.lit("empty"))).first()
+    assert tuple(row) == ("other", "no-text")

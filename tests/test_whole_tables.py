@@ -21,7 +21,7 @@ def made(spark, name):
 
 
 def test_fold_all(spark, texts):
-    got = {r.doc_id: r.folded for r in made(spark, "b01_fold_text_all")}
+    got = {r.doc_id: r.folded for r in made(spark, "b01_fold_text")}
     assert got == {d: t if t is None else tx.fold_text(t) for d, t in texts.items()}
     assert any(t and re.search("[0-9]", t) for t in got.values())
 
