@@ -36,14 +36,7 @@ def _(s, d):
     return se.postings(load(s, d, "documents"), "doc_id", "text")
 
 
-@query("b06_token_coverage", f"SELECT doc_id, i - 1 AS pos, (length(array_to_string(w[1:i], '')) - length(w[i]))::BIGINT AS before FROM (SELECT doc_id, {_W} AS w FROM documents) t, (SELECT unnest(range(1, 4)) AS i) WHERE i <= len(w)")
-def _(s, d):
-    w = load(s, d, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
-    each = w.select("doc_id", "w", F.posexplode(F.slice("w", 1, 3)).alias("pos", "t"))
-    return each.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length(F.array_join(F.slice("w", F.lit(1), F.col("pos")), "")).cast("long").alias("before"))
-
-
-@query("b06_token_coverage_all", f"SELECT doc_id, i - 1 AS pos, coalesce(sum(length(t)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT r, doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT row_number() OVER () AS r, doc_id, {_W} AS w FROM documents))")
+@query("b06_token_coverage", f"SELECT doc_id, i - 1 AS pos, coalesce(sum(length(t)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT r, doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT row_number() OVER () AS r, doc_id, {_W} AS w FROM documents))")
 def _(s, d):
     lens = load(s, d, "documents").select("doc_id", F.transform(tx.words(F.col("text")), lambda t: F.length(t).cast("long")).alias("n"))
     each = lens.select("doc_id", F.posexplode(tx.sums_before("n")).alias("pos", "before"))
