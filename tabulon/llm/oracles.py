@@ -44,4 +44,30 @@ b AS (SELECT *, ((n_words < 20)::BIGINT + 2 * (n_repeat_words * 100 > n_words *
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, (failures & 4039) = 0 AS kept, failures, 1::INT AS policy_version FROM b
 """
 
-ORACLES = {"op1_maxscore_top_k": OP1, "op2_mix_sources": OP2, "op8_quality_ledger": OP8}
+_ROUND = """
+a{r} AS MATERIALIZED (SELECT vec_id, part, entry, sum((x.val - c.val) * (x.val - c.val))::BIGINT AS dist FROM x JOIN c{r} c USING (part, pos) GROUP BY vec_id, part, entry
+       QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY dist, entry) = 1),
+c{n} AS MATERIALIZED (SELECT c.part, c.entry, c.pos, coalesce(m.val, c.val) AS val FROM c{r} c LEFT JOIN
+       (SELECT part, a.entry, pos, floor(sum(val) / count(*))::BIGINT AS val FROM x JOIN a{r} a USING (vec_id, part) GROUP BY part, a.entry, pos) m USING (part, entry, pos)),"""
+
+OP11 = """
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(4096 * x)::BIGINT) AS v FROM embeddings
+     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, i // (len(v) // 8) AS part, i % (len(v) // 8) AS pos, v[i + 1] AS val FROM k, unnest(range(len(v))) AS u(i)),
+c0 AS MATERIALIZED (SELECT part, entry, pos, val FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 16) USING (vec_id)),""" + "".join(
+    _ROUND.format(r=r, n=r + 1) for r in range(7)) + """
+f AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a6 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(val::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c6) AS codebooks_sha256
+FROM f JOIN k USING (vec_id)
+"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+      OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain' WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, substr(t, 1, least(a, b)) AS x, substr(t, least(a, b) + 1, abs(a - b)) AS y, substr(t, greatest(a, b) + 1) AS z FROM u)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
+"""
+
+ORACLES = {"op1_maxscore_top_k": OP1, "op2_mix_sources": OP2, "op8_quality_ledger": OP8, "op11_va_file_codes": OP11, "op13_fill_in_middle": OP13}

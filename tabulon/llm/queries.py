@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman, jaccard, langid, linededup, mixture, quality, secrets, sharding, topk
+from . import bpe, fim, huffman, jaccard, langid, linededup, mixture, quality, secrets, sharding, topk, vafile
 from .common import scratch, table
 
 
@@ -63,6 +63,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "text", "n_lines_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
+def op11_va_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.compress(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     every = (op1_maxscore_top_k, op2_mix_sources, op3_secret_scan, op4_ngram_jaccard, op5_slot_shards, op6_huffman_ids,
-             op7_ppm_language, op8_quality_ledger, op9_prefix_bpe, op10_line_dedup, pipeline)
+             op7_ppm_language, op8_quality_ledger, op9_prefix_bpe, op10_line_dedup, op11_va_file_codes, op13_fill_in_middle, pipeline)
     return {f.__name__: f for f in every}
 
 
