@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, huffman, jaccard, langid, linededup, mixture, quality, secrets, sharding, topk, vafile
+from . import bpe, fim, huffman, jaccard, langid, linededup, lmscore, mixture, quality, secrets, sharding, topk, vafile
 from .common import scratch, table
 
 
@@ -67,6 +67,10 @@ def op11_va_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.compress(table(spark, sf_dir, "embeddings")).drop("compared")
 
 
+def op12_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     every = (op1_maxscore_top_k, op2_mix_sources, op3_secret_scan, op4_ngram_jaccard, op5_slot_shards, op6_huffman_ids,
-             op7_ppm_language, op8_quality_ledger, op9_prefix_bpe, op10_line_dedup, op11_va_file_codes, op13_fill_in_middle, pipeline)
+             op7_ppm_language, op8_quality_ledger, op9_prefix_bpe, op10_line_dedup, op11_va_file_codes, op12_attention_scores, op13_fill_in_middle, pipeline)
     return {f.__name__: f for f in every}
 
 
