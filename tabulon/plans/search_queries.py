@@ -25,12 +25,6 @@ def _(s, d):
     return load(s, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(t, " ").alias("tokens"))
 
 
-@query("b04_boolean_match", f"SELECT doc_id AS id FROM documents WHERE list_contains({_W}, 'the') AND list_contains({_W}, 'and') AND NOT list_contains({_W}, 'his')")
-def _(s, d):
-    q = se.parse_query('the "and" -his')
-    return se.boolean(se.postings(load(s, d, "documents"), "doc_id", "text"), [t for x in q["include"] for t in x["tokens"]], [t for x in q["exclude"] for t in x["tokens"]])
-
-
 @query("b05_postings", f"SELECT term, doc_id AS id, count(*) AS tf, max(n)::INT AS len FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM (SELECT doc_id, {_W} AS w FROM documents)) GROUP BY 1, 2")
 def _(s, d):
     return se.postings(load(s, d, "documents"), "doc_id", "text")
@@ -54,25 +48,6 @@ def _(s, d):
     return load(s, d, "orders").select("o_orderkey", F.get(tx.amounts(shown), F.lit(0)).alias("amount"))
 
 
-_HAS = lambda q: f"list_contains(w, '{q}')"
-
-
-@query("b12_staged_plan", f"SELECT doc_id AS id, CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' was it ') THEN 0 WHEN {_HAS('was')} AND {_HAS('it')} THEN 1 ELSE 2 END::INT AS stage FROM (SELECT doc_id, {_W} AS w FROM documents) WHERE {_HAS('was')} OR {_HAS('it')}")
-def _(s, d):
-    return se.staged(load(s, d, "documents"), "doc_id", "text", "was it")
-
-
-def _bm(q):
-    return f"""SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = '{q[0]}')) AS t0, len(list_filter(w, lambda x: x = '{q[1]}')) AS t1 FROM (SELECT doc_id, {_W} AS w FROM documents)"""
-
-
-@query("b13_bm25", f"""WITH r AS ({_bm(('was', 'it'))}), s AS (SELECT count(*) AS n, avg(n) AS a, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM r)
-    SELECT doc_id AS id, round(CASE WHEN t0 > 0 THEN ln(1 + (s.n - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * r.n / a)) ELSE 0 END + CASE WHEN t1 > 0 THEN ln(1 + (s.n - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * r.n / a)) ELSE 0 END, 8) AS score,
-    ((t0 > 0)::INT + (t1 > 0)::INT) AS matched FROM r, s WHERE t0 > 0 OR t1 > 0""")
-def _(s, d):
-    return se.bm25(load(s, d, "documents"), "doc_id", "text", ["was", "it"]).withColumn("score", F.round("score", 8))
-
-
 def _vector(s, d, i):
     return [float(x) for x in load(s, d, "embeddings").where(F.col("vec_id") == i).first()["embedding"]]
 
