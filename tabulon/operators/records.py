@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Sequence
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import natural_key
 from ..lineage import settle
+from .diff import edits
 
 
 def named_fields(df: DataFrame) -> DataFrame:
@@ -93,36 +93,10 @@ def normal_lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
 
 
-def _lcs(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
-    """Places removed from a and added in b, by a longest common subsequence over what differs between the common ends."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    x, y = a[lo:len(a) - hi], b[lo:len(b) - hi]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    removed, added, i, j = [], [], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            removed.append(lo + i)
-            i += 1
-        else:
-            added.append(lo + j)
-            j += 1
-    return removed + [lo + k for k in range(i, len(x))], added + [lo + k for k in range(j, len(y))]
-
-
-def compare(left: DataFrame, right: DataFrame, page: str, text: str, most: int = 4000, words: bool = False) -> DataFrame:
+def compare(left: DataFrame, right: DataFrame, page: str, text: str, most: int | None = None, words: bool = False) -> DataFrame:
     """(page, added, removed, truncated): pages pair by number, extras are wholly added or removed.
 
-    Pages of over `most` lines only get counts. Each pair is compared by itself in an Arrow batch; a pair is one row.
+    With `most`, pages of over that many lines only get counts. Each pair is compared by itself in an Arrow batch; a pair is one row.
     """
     split = (lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")) if words else normal_lines
     a, b = (d.select(F.col(page).cast("long").alias("page"), split(F.col(text)).alias(n)) for d, n in ((left, "a"), (right, "b")))
@@ -135,10 +109,10 @@ def compare(left: DataFrame, right: DataFrame, page: str, text: str, most: int =
                 x, y = ([] if v is None else list(v) for v in (x, y))
                 if x == y:
                     rows.append((p, [], [], 0, 0, False))
-                elif max(len(x), len(y)) > most and x and y:
+                elif most is not None and max(len(x), len(y)) > most and x and y:
                     rows.append((p, [], [], len(x), len(y), True))
                 else:
-                    removed, added = _lcs(x, y)
+                    removed, added = edits(x, y)
                     rows.append((p, removed, added, len(removed), len(added), False))
             yield pd.DataFrame(rows, columns=["page", "removed", "added", "removed_count", "added_count", "truncated"])
 
@@ -173,7 +147,3 @@ def precedents(formula: str) -> list[tuple[int, int, int, int]]:
 def dependents(edges: DataFrame, row: int, column: int) -> DataFrame:
     """Cells whose formula reads a cell: edges are (cell, r1, c1, r2, c2)."""
     return edges.where((F.lit(row).between(F.col("r1"), F.col("r2"))) & (F.lit(column).between(F.col("c1"), F.col("c2")))).select("cell").distinct()
-
-
-def similarity(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio()

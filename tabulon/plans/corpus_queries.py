@@ -485,3 +485,42 @@ def _(s, d):
 def _(s, d):
     o = load(s, d, "orders").withColumn("t", F.unix_date(F.col("o_orderdate").cast("date")))
     return generate.sparklines(o, "o_orderpriority", "t", "o_totalprice", 24)
+
+
+def _revised(s, d):
+    """Documents whose second line is gone and which have a line more at the end."""
+    docs = load(s, d, "documents").select("doc_id", "text")
+    lines = F.split("text", "\n")
+    return docs, docs.select("doc_id", F.array_join(F.concat(F.slice(lines, 1, 1), F.slice(lines, 3, 1 << 30), F.array(F.lit("a line of the end"))), "\n").alias("text"))
+
+
+_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query("m14_line_diff", f"""WITH p AS (SELECT doc_id, {_LINES} AS a, {_LINES.replace('string_split(text, chr(10))', "(list_concat(string_split(text, chr(10))[1:1], string_split(text, chr(10))[3:]))")} AS b FROM documents)
+    SELECT doc_id AS "key", (len(a) - len(b))::INT AS removed, 1 AS added, ['a line of the end'] AS added_units FROM p""")
+def _(s, d):
+    """Every document against a revised form of it: one line was added at the end, and at most one removed."""
+    from ..operators import diff
+
+    got = diff.compare(*_revised(s, d), "doc_id", "text", "line")
+    return got.select("key", F.size("removed").alias("removed"), F.size("added").alias("added"), "added_units")
+
+
+@query("m16_word_compare", "SELECT p_partkey AS \"key\", CASE WHEN p_partkey % 3 = 0 THEN [] ELSE [string_split(p_name, ' ')[-1]] END AS removed_units, CASE WHEN p_partkey % 3 = 0 THEN [] ELSE ['Made', ' ', 'up'] END AS added_units FROM part")
+def _(s, d):
+    """Names of parts against a form with other case and spaces, in which two of three have another last word."""
+    from ..operators import diff
+
+    part = load(s, d, "part").select("p_partkey", "p_name")
+    other = F.when(F.col("p_partkey") % 3 == 0, F.replace(F.upper("p_name"), F.lit(" "), F.lit("\t "))).otherwise(F.regexp_replace(F.initcap("p_name"), r"\S+$", "Made up"))
+    return diff.compare(part, part.select("p_partkey", other.alias("p_name")), "p_partkey", "p_name", "word", case=False, space=False).select("key", "removed_units", "added_units")
+
+
+@query("f15_forecast_ets")
+def _(s, d):
+    """Six months ahead of the mean price by priority; the season is looked for."""
+    from ..functions import forecast
+
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    return forecast.forecast_ets(load(s, d, "orders"), "o_orderpriority", month, F.col("o_totalprice"), 6)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.coerce import csv_number
+from ..lineage import shared_dir
 from ..registry import load, query
 from ..sources import files
 
@@ -48,3 +51,13 @@ def _(s, d):
 @query("d19_clipboard_lines", "SELECT n_nationkey || chr(9) || n_name || chr(9) || CASE WHEN n_regionkey = 1 THEN 'TRUE' ELSE 'FALSE' END AS line FROM nation")
 def _(s, d):
     return files.tsv_line(load(s, d, "nation").select("n_nationkey", "n_name", (F.col("n_regionkey") == 1).alias("b")))
+
+
+@query("d01_csv_round_trip", "SELECT doc_id, source, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents")
+def _(s, d):
+    """All documents, with their line feeds and quotes, through one CSV file that is read in as many tasks as it has blocks."""
+    path = f"{shared_dir(s).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    docs = load(s, d, "documents").select("doc_id", "source", "text")
+    docs.coalesce(1).write.option("escape", '"').option("quoteAll", True).csv(path)
+    rows = files.read_split(s, path, ",")
+    return rows.select(F.col("cells")[0].cast("long").alias("doc_id"), F.col("cells")[1].alias("source"), F.col("cells")[2].alias("text"))

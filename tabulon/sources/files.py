@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Endings that text is extracted from.
@@ -76,11 +76,56 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, raw in zip(pdf.path, pdf.content, strict=True):
-                yield _table(bytes(raw)).assign(path=p)[["path", "row", "cells", "sep"]]
+                rows = _table(bytes(raw))
+                if len(rows):
+                    yield rows.assign(path=p)[["path", "row", "cells", "sep"]]
 
     return files.mapInPandas(run, "path string, row long, cells array<string>, sep string")
 
 
+def read_split(spark: SparkSession, path: str, sep: str | None = None, most_rows: int | None = None, most_columns: int | None = None) -> DataFrame:
+    """(path, row, cells, sep) of UTF-8 CSV files as `read_cells` gives them, a file in as many tasks as it has blocks.
+
+    Spark splits files at line feeds. A line begins a row if the quotes before it are even in number, so the quotes of each block are counted, a prefix sum over
+    blocks tells each block's start, and one within the block each line's. Rows are numbered by the same sums. What belongs to one row is put together
+    within its block; only the pieces at the ends of blocks, one or two each, meet across blocks. Quotes have to be those of RFC 4180: around
+    cells, doubled inside. Without `sep` the first lines are sniffed. CR and CRLF are line feeds, trailing empty rows go, a blank row has no cells. `most_rows` and
+    `most_columns` leave out what is beyond them.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    if sep is None:
+        sep, skip = sniff("\n".join(r.value for r in text.limit(200).collect()).removeprefix("\ufeff"))
+    else:
+        skip = 0
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.withColumn("value", F.when(F.col("block") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
+    lines = lines.select("path", "block", "at", F.posexplode(F.split(F.regexp_replace("value", "\r$", ""), "\r")).alias("pos", "value"))
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    in_block = Window.partitionBy("path", "block").orderBy("at", "pos")
+    lines = lines.withColumn("odd", (F.sum("quotes").over(in_block) - F.col("quotes")) % 2)
+    blocks = lines.groupBy("path", "block").agg(F.sum("quotes").alias("quotes"), F.count_if(F.col("odd") == 0).alias("even_starts"), F.count_if(F.col("odd") == 1).alias("odd_starts"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    blocks = blocks.withColumn("starts", F.when(F.col("inside") == 0, F.col("even_starts")).otherwise(F.col("odd_starts")))
+    blocks = blocks.select("path", "block", "inside", F.coalesce(F.sum("starts").over(before), F.lit(0)).alias("rows_before"), "starts")
+    placed = lines.join(blocks, ["path", "block"])
+    nth = F.sum((F.col("odd") == F.col("inside")).cast("long")).over(in_block)
+    pieces = placed.withColumn("nth", nth).groupBy("path", "block", "nth").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "pos", "value"))), lambda x: x["value"]), "\n").alias("text"), F.first("rows_before").alias("rows_before"), F.first("starts").alias("starts"))
+    pieces = pieces.select("path", "block", (F.col("rows_before") + F.col("nth")).alias("row"), "text", ((F.col("nth") == 0) | (F.col("nth") == F.col("starts"))).alias("edge"))
+    across = pieces.where("edge").groupBy("path", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    rows = pieces.where("NOT edge").select("path", "row", "text").unionByName(across)
+    s = re.escape(sep)
+    fields = F.regexp_extract_all(F.concat(F.lit(sep), "text"), F.lit(rf'{s}((?:"(?:[^"]|"")*+"?)?[^{s}]*+)'), F.lit(1))
+    bare = F.transform(fields, lambda f: F.when(f.startswith('"'), F.concat(F.replace(F.regexp_extract(f, r'^"((?:[^"]|"")*+)', 1), F.lit('""'), F.lit('"')), F.regexp_extract(f, r'^"(?:[^"]|"")*+"(.*)$', 1))).otherwise(f))
+    rows = rows.select("path", (F.col("row") - 1 - skip).alias("row"), F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(bare).alias("cells")).where("row >= 0")
+    last = rows.where(F.exists("cells", lambda c: c != "")).groupBy("path").agg(F.max("row").alias("last"))
+    rows = rows.join(last, "path").where("row <= last").select("path", "row", "cells", F.lit(sep).alias("sep"))
+    if most_rows is not None:
+        rows = rows.where(F.col("row") < most_rows)
+    return rows if most_columns is None else rows.withColumn("cells", F.slice("cells", 1, most_columns))
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", most_columns: int | None = None) -> DataFrame:
     """A CSV with a header as Spark reads it, splitting large files. Without `sep`, the head of the first file is sniffed."""
     if sep is None:
