@@ -23,6 +23,8 @@ _GROUP = 16
 PARTS = 64
 #: Ids of up to so many documents (4 MB) may be broadcast to pick texts; more are joined by a shuffle.
 FEW_IDS = 1 << 18
+#: Bytes up to which a word's hash is a sum of byte hashes times powers; sums of longer words can be made to agree, so these are hashed by blake2.
+PLAIN = 64
 _FIRST_ID = -(2**63)
 
 
@@ -47,7 +49,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     """The set of each text as sorted distinct 64-bit hashes of its `width`-word shingles, A-Z lower-cased.
 
     Works on the bytes of the whole batch: words end at ASCII white space, a word's hash comes from running sums
-    of byte hashes times powers of an odd number, and a shingle's from the hashes of its words. Texts with fewer words
+    of byte hashes times powers of an odd number (words over PLAIN bytes are hashed one by one), and a shingle's from the hashes of its words. Texts with fewer words
     give one shingle of all, texts without any an empty set.
     """
     column = column.cast(pa.large_binary())
@@ -74,6 +76,8 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     ends = ends_at[np.searchsorted(ends_at, starts, "right")]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_ODD, len(data)), dtype=np.uint64)])
     words = _mix((sums[ends] - sums[starts]) * _powers(_BACK, len(data))[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > PLAIN).tolist():
+        words[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
     bound = np.searchsorted(starts, offsets)
     key = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for i in range(width):

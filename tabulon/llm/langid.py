@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .texts import RowTable
 
-#: Bytes of context, the bounds of the training sample of each language, and the most languages (the frequent ones) to learn.
-ORDER, TRAIN_DOCS, TRAIN_BYTES, MOST_LANGS = 3, 1000, 1 << 20, 64
+#: Bytes of context, the bounds of the training sample of each language, and of the samples of all languages together.
+ORDER, TRAIN_DOCS, TRAIN_BYTES, ALL_BYTES = 3, 1000, 1 << 20, 64 << 20
+#: Values of lang from which on `fit` refuses the table; none is ever left out.
+MOST_LANGS = 4096
 #: A text of at least LEAST_BYTES is in no learned language if it needs FOREIGN times the bits a byte that its best language's texts need.
 LEAST_BYTES, FOREIGN = 200, 2.5
 #: Bytes scored at once; a bound of memory that changes no result.
@@ -146,17 +148,22 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, order: int = ORDER, most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> ContextTrees:
     """Fit on at most `most_docs` whole texts and `most_bytes` bytes of each lang, in hash order, from rows not held out.
 
-    The first pass counts the rows of each lang, of which the MOST_LANGS most frequent are learned; the second brings ids, sizes and hashes of about twice the wanted number
-    to the driver, which cuts them at the bounds; the third brings those texts. Texts of more than a quarter of the
-    byte bound are left to others. So the driver holds a bounded sample, whatever the input. Rows of null doc_id take no part.
+    The first pass counts the rows of each lang; if there are more than ALL_BYTES / `most_bytes`, each one's bounds shrink so that the sample of all stays
+    within ALL_BYTES, and every lang is learned from one text at least. The second brings ids, sizes and hashes of about twice the wanted number
+    to the driver, which cuts them at the bounds; the third brings those texts. Of texts of more than a quarter of the
+    byte bound the sample has the first part. So the driver holds a bounded sample, whatever the input. Rows of null doc_id take no part.
     """
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    size = F.octet_length("text")
-    rows = rows.where(~held_out(F.col("doc_id")) & (size > 0) & (size <= most_bytes // 4))
-    rows = rows.select("lang", "text", size.alias("size"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h"))
-    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    rows = rows.where(~held_out(F.col("doc_id")) & (F.octet_length("text") > 0)).withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(count) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of lang: this is no column of languages")
     if not count:
         return ContextTrees({}, order)
+    shrunk = min(1.0, ALL_BYTES / (most_bytes * len(count)))
+    most_bytes, most_docs = max(64, int(most_bytes * shrunk)), max(1, int(most_docs * shrunk))
+    part = F.when(F.octet_length("text") <= most_bytes // 4, F.col("text")).otherwise(F.substring("text", 1, most_bytes // 16))
+    rows = rows.select("lang", part.alias("text"), F.octet_length(part).alias("size"), "h")
     cut = {lang: min(1 << 40, int((1 << 40) * (2 * most_docs + 50) / n)) for lang, n in count.items()}
 
     def below(cut: dict[str, int]) -> Column:
