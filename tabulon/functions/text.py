@@ -185,19 +185,31 @@ def is_distinctive(c: Column) -> Column:
     return c.rlike(DISTINCTIVE)
 
 
-#: Bounds of a heading: characters, words, characters of a label, and the shares of capitals and of capitalised words (fixed values).
+#: What a heading may be: characters and words; and what its signs need: characters of a label, shares of capitals and of capitalised words (fixed values).
 HEADING_CHARS, HEADING_WORDS, LABEL_CHARS, CAPITALS, CAPITALISED = (3, 100), 14, 70, 0.8, 0.7
 #: Outlines such as "1.2)", "iv." or "b)", and labels before a colon (fixed patterns).
 OUTLINE, LABEL = r"(?i)^(?:\d+(?:\.\d+)*|[ivxlcdm]+|[a-z])[.)]\s+\S", r"^[^:.]{1,40}:\s*\p{Lu}"
 
 
-def is_heading(c: Column) -> Column:
-    """A short line without a stop at its end that has one sign of a title: an outline number, a label, a colon, or capitals."""
+def heading_signs(line: Column) -> dict[str, Column]:
+    """The signs of a title, each measured against what it needs: 1 is enough."""
+    n = {name: F.regexp_count(line, F.lit(p)) for name, p in {"words": r"\S+", "letters": r"\p{L}", "capitals": r"\p{Lu}", "capitalised": r"(?<!\S)\p{Lu}"}.items()}
+    whole = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    part = lambda name, of, least: F.coalesce(F.try_divide(n[name], n[of] * least), F.lit(0.0))
+    return {
+        "outline": whole(line.rlike(OUTLINE)), "colon": whole(line.endswith(":")),
+        "label": whole(line.rlike(LABEL)) * F.least(F.lit(1.0), F.floor(F.try_divide(F.lit(float(LABEL_CHARS)), F.length(line)))),
+        "capitals": part("capitals", "letters", CAPITALS) * whole(n["letters"] >= 3),
+        "capitalised": part("capitalised", "words", CAPITALISED) * whole((n["letters"] >= 3) & (n["words"] >= 2)),
+    }
+
+
+def heading_score(c: Column) -> Column:
+    """How much a line looks like a title: its strongest sign; 0 if it is too short or long, or stops like a sentence. Null line: null."""
     line = F.trim(c)
-    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
-    words_, letters = count(r"\S+"), count(r"\p{L}")
-    capitals = (letters >= 3) & (count(r"\p{Lu}") >= letters * CAPITALS)
-    capitalised = (letters >= 3) & (words_ >= 2) & (count(r"(?<!\S)\p{Lu}") >= words_ * CAPITALISED)
-    label = line.endswith(":") | (line.rlike(LABEL) & (F.length(line) <= LABEL_CHARS))
-    short = F.length(line).between(*HEADING_CHARS) & (words_ <= HEADING_WORDS)
-    return short & ~line.rlike("[.;,]$") & (line.rlike(OUTLINE) | label | capitals | capitalised)
+    fits = F.length(line).between(*HEADING_CHARS) & (F.regexp_count(line, F.lit(r"\S+")) <= HEADING_WORDS) & ~line.rlike("[.;,]$")
+    return F.when(c.isNotNull(), F.when(fits, F.greatest(*heading_signs(line).values())).otherwise(0.0))
+
+
+def is_heading(c: Column) -> Column:
+    return heading_score(c) >= 1

@@ -97,7 +97,7 @@ def skeleton(lines: DataFrame, id_col: str, cap: int = 4000, share: float = 0.2)
     return lines.groupBy(id_col).applyInPandas(walk, f"{id_col} long, kept long, kept_chars long")
 
 
-def classify(text: Column, rules: Sequence[tuple[str, str]], other: str) -> Column:
+def classify(text: Column, rules: Sequence[tuple[str, str]], other: str | None) -> Column:
     """The first rule whose pattern a text matches."""
     out: Column | None = None
     for pattern, name in rules:
@@ -127,18 +127,17 @@ def issue_reason(error: Column, status: Column) -> Column:
     return F.when(status == "pending", "waiting").otherwise(classify(signs, ISSUES, "other"))
 
 
-#: Folders and files that builds write, and endings of temporary files (fixed values).
-BUILD_FOLDERS = ("win-unpacked", "win-unpacked.tmp", "linux-unpacked", "linux-arm64-unpacked", "app.asar.unpacked", "dist_electron")
-BUILD_FILES = ("licenses.chromium.html", "license.electron.txt")
-TEMPORARY = r"(?i)\.(tmp|temp|crdownload|partial|part|lock|lck|swp|bak)$"
+#: Paths that aren't admitted to the index, as patterns of a path whose separators are all "/"; the first that fits names the reason. Names and endings are fixed values.
+REFUSALS = (
+    (r"(?i)(?:^|/)(?:win-unpacked|win-unpacked\.tmp|linux-unpacked|linux-arm64-unpacked|app\.asar\.unpacked|dist_electron)(?:/|$)", "generated-build-directory"),
+    (r"(?i)(?:^|/)(?:licenses\.chromium\.html|license\.electron\.txt)/*$", "generated-build-file"),
+    (r"(?i)(?:^|/)~\$[^/]*/*$|[^/]*\.(?:tmp|temp|crdownload|partial|part|lock|lck|swp|bak)/*$", "temporary-file"),
+)
 
 
 def refusal(path: Column) -> Column:
-    """Why a path isn't admitted to the index: generated-build-directory, generated-build-file or temporary-file; null if it is."""
-    steps = F.filter(F.split(path, r"[\\/]+"), lambda x: x != "")
-    name = F.get(steps, F.size(steps) - 1)
-    built, temporary = F.exists(steps, lambda x: F.lower(x).isin(*BUILD_FOLDERS)), name.startswith("~$") | name.rlike(TEMPORARY)
-    return F.when(built, "generated-build-directory").when(F.lower(name).isin(*BUILD_FILES), "generated-build-file").when(temporary, "temporary-file")
+    """Why a path isn't admitted to the index (see REFUSALS); null if it is, or if it is null."""
+    return classify(F.translate(path, "\\", "/"), REFUSALS, None)
 
 
 def effective_importance(override: Column, suggestion: Column) -> Column:

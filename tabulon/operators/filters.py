@@ -69,6 +69,15 @@ def filtered_copy(df: DataFrame, column: str, values: Sequence[str], columns: Se
     return df.where(F.lower(F.trim(F.col(column).cast("string"))).isin(*(v.strip().lower() for v in values))).select(*columns)
 
 
+def visible_copy(df: DataFrame, place: str, span: tuple[int, int], filtered: tuple[int, int] | None, hidden: Column, columns: Sequence[str]) -> DataFrame:
+    """Chosen columns of the rows from span[0] to span[1] without those that a filter over the rows `filtered` hides.
+
+    Rows hidden outside the filter's range are copied, as all are without a filter. An unknown `hidden` (null) hides nothing.
+    """
+    inside = F.lit(False) if filtered is None else F.col(place).between(*filtered)
+    return df.where(F.col(place).between(*span) & ~(inside & F.coalesce(hidden, F.lit(False)))).select(*columns)
+
+
 def label(column: str, op: str, value: str) -> Column:
     c, v = F.lower(F.col(column).cast("string")), value.lower()
     return {"equal": c == v, "contains": c.contains(v), "beginsWith": c.startswith(v)}[op]

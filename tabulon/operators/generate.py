@@ -33,17 +33,105 @@ def growth_series(spark: SparkSession, start: float, factor: float, n: int, stop
     return _places(spark, take).select("i", (F.lit(float(start)) * F.pow(F.lit(float(factor)), F.col("i"))).alias("value"))
 
 
+def _date_at(day: Column, unit: str, i: Column, step: int) -> Column:
+    """The date i steps after a day. Months count from the start, so a clamped month end doesn't shorten later ones."""
+    match unit:
+        case "day":
+            return F.date_add(day, i * step)
+        case "month":
+            return F.add_months(day, i * step)
+        case "year":
+            return F.add_months(day, i * step * 12)
+        case "weekday":
+            # the k-th weekday after a day: whole weeks of five, then over the weekend if the rest passes it
+            first = (F.dayofweek(day) + 5) % 7
+            k = F.least(first, F.lit(4)) + i * step
+            return F.when(i == 0, day).otherwise(F.date_add(day, (F.floor(k / 5) * 7 + k - F.floor(k / 5) * 5 - first).cast("int")))
+    raise ValueError(f"no unit {unit!r}")
+
+
+def _at(kind: str, start: Column, step: Column, i: Column) -> Column:
+    return start + i * step if kind == "linear" else start * F.pow(step, i)
+
+
+def row_series(df: DataFrame, start: Column, step: Column, n: int, kind: str = "linear", stop: Column | None = None) -> DataFrame:
+    """Each row with a series of its own, as rows (i, value): n values at most, linear or growth.
+
+    A stop cuts from the first value beyond it in the direction of movement, and so does a value that isn't finite. The start itself always stays;
+    a row whose start or step is null has no series.
+    """
+    if kind not in ("linear", "growth"):
+        raise ValueError(f"no series {kind!r}")
+    value = lambda i: _at(kind, start.cast("double"), step.cast("double"), i)
+
+    def beyond(i: Column) -> Column:
+        now, before = value(i), value(i - 1)
+        out = F.isnan(now) | (F.abs(now) == float("inf"))
+        return (i > 0) & (out if stop is None else out | F.when(now >= before, now > stop).otherwise(now < stop))
+
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    ends = F.array_position(F.transform(every, lambda i: F.coalesce(beyond(i), F.lit(False))), True)
+    taken = F.when(start.isNotNull() & step.isNotNull(), F.slice(every, F.lit(1), F.when(ends > 0, (ends - 1).cast("int")).otherwise(n)))
+    return df.withColumn("i", F.explode(taken)).withColumn("value", value(F.col("i")))
+
+
+def row_dates(df: DataFrame, start: Column, unit: str, step: int, n: int) -> DataFrame:
+    """Each row with n dates from its own start, as rows (i, value)."""
+    return df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("value", _date_at(start.cast("date"), unit, F.col("i"), step))
+
+
+def fill_lines(df: DataFrame, line: str, place: str, value: str, kind: str = "autofill", step: float = 1.0, stop: float | None = None, trend: bool = False) -> DataFrame:
+    """Fills each line of a grid from its numeric head: adds `filled` and `written`.
+
+    A row is a cell: its line, its place there (from 0 on, without gaps) and its number, null or not finite if the cell holds text or nothing. The seeds of a line are its
+    numbers before the first other cell; a line that starts with none is left as it is. `kind` is linear or growth (from the first seed by `step`, until `stop`), or
+    autofill (after the seeds by the difference of the first two, or 1). With `trend`, linear and growth are least squares through the seeds, which are
+    replaced too; a growth through a seed of 0 or less gives back the seeds. `written` marks cells that the plan sets; others have null in `filled`.
+
+    Lines are summed up by partial aggregates and joined back, so a line may be of any length.
+    """
+    if kind not in ("linear", "growth", "autofill") or (trend and kind == "autofill"):
+        raise ValueError(f"no fill {kind!r}" + (" with a trend" if trend else ""))
+    number = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value).cast("double"))
+    cells = df.withColumns({"_v": number, "_i": F.col(place).cast("long")})
+    heads = cells.groupBy(F.col(line).alias("_line")).agg(F.coalesce(F.min(F.when(F.col("_v").isNull(), F.col("_i"))), F.max("_i") + 1).alias("_k"))
+    here = F.col(line).eqNullSafe(F.col("_line"))
+    y = F.when(F.col("_v") > 0, F.log("_v")) if kind == "growth" else F.col("_v")
+    seeds = cells.join(heads, here).where("_i < _k").groupBy("_line").agg(
+        F.max("_k").alias("_k"), F.max(F.when(F.col("_i") == 0, F.col("_v"))).alias("_first"), F.max(F.when(F.col("_i") == 1, F.col("_v"))).alias("_second"),
+        F.max_by("_v", "_i").alias("_last"), F.min("_v").alias("_low"), F.regr_slope(y, F.col("_i")).alias("_slope"), F.avg(y).alias("_my"), F.avg("_i").alias("_mi"))
+    out, i, k = cells.join(seeds, here, "left"), F.col("_i"), F.col("_k")
+    if trend:
+        slope = F.coalesce("_slope", F.lit((math.log(step) if step > 0 else step) if kind == "growth" else float(step)))
+        fit = F.col("_my") + slope * (i - F.col("_mi"))
+        made = fit if kind == "linear" else F.when(F.col("_low") > 0, F.exp(fit)).when(i < k, F.col("_v"))
+        written = k.isNotNull() & made.isNotNull()
+    elif kind == "autofill":
+        made, written = F.col("_last") + (i - k + 1) * F.coalesce(F.col("_second") - F.col("_first"), F.lit(1.0)), k.isNotNull() & (i >= k)
+    else:
+        made, written = _at(kind, F.col("_first"), F.lit(float(step)), i), k.isNotNull() & (i > 0)
+        if stop is not None:
+            before = _at(kind, F.col("_first"), F.lit(float(step)), i - 1)
+            passed = (i > 0) & F.when(made >= before, made > stop).otherwise(made < stop)
+            ends = out.where(passed).groupBy(F.col("_line").alias("_cut")).agg(F.min("_i").alias("_end"))
+            out = out.join(ends, F.col(line).eqNullSafe(F.col("_cut")), "left")
+            written = written & (F.col("_end").isNull() | (i < F.col("_end")))
+    written = F.coalesce(written, F.lit(False))
+    return out.select(*(F.col(c) for c in df.columns), F.when(written, made).alias("filled"), written.alias("written"))
+
+
+def what_if(df: DataFrame, inputs: Mapping[str, Sequence[float]], expr: Callable[..., Column], name: str = "value") -> DataFrame:
+    """Each row with the grid of one or two inputs that are put into a formula in turn: a row for each combination of the listed values."""
+    if not 1 <= len(inputs) <= 2:
+        raise ValueError("one or two inputs")
+    for column, values in inputs.items():
+        df = df.withColumn(column, F.explode(F.array(*(F.lit(float(v)) for v in values))))
+    return df.withColumn(name, expr(*(F.col(c) for c in inputs)))
+
+
 def date_series(spark: SparkSession, start: str, unit: str, step: int, n: int) -> DataFrame:
     """Days, weekdays, months or years from a date; months count from the start, so a clamped month end doesn't shorten later ones."""
-    day = F.lit(start).cast("date")
-    i = F.col("i").cast("int")
-    if unit == "weekday":
-        # the k-th weekday after a day: whole weeks of five, then over the weekend if the rest passes it
-        first = (F.dayofweek(day) + 5) % 7
-        k = F.least(first, F.lit(4)) + i * step
-        return _places(spark, n).select("i", F.when(i == 0, day).otherwise(F.date_add(day, (F.floor(k / 5) * 7 + k - F.floor(k / 5) * 5 - first).cast("int"))).alias("value"))
-    value = {"day": lambda: F.date_add(day, i * step), "month": lambda: F.add_months(day, i * step), "year": lambda: F.add_months(day, i * step * 12)}[unit]()
-    return _places(spark, n).select("i", value.alias("value"))
+    return _places(spark, n).select("i", _date_at(F.lit(start).cast("date"), unit, F.col("i").cast("int"), step).alias("value"))
 
 
 def trend_series(spark: SparkSession, seeds: Sequence[float], n: int, growth: bool = False, step: float = 1.0) -> DataFrame:

@@ -117,6 +117,8 @@ def calculated(formula: str, fields: Mapping[str, Column]) -> Column:
 #: Modes that need a base field, and those that need a base item too.
 NEEDS_FIELD = ("percentOfParent", "difference", "percentDiff", "percentOf", "runTotal", "percentOfRunningTotal", "rankAscending", "rankDescending")
 NEEDS_ITEM = ("difference", "percentDiff", "percentOf")
+#: Base items that are relative to each row.
+PREVIOUS, NEXT = "(previous)", "(next)"
 
 
 def show_as(df: DataFrame, mode: str, value: str, row: str | None, column: str | None = None, base_item: object = None, order: str | None = None,
@@ -126,14 +128,13 @@ def show_as(df: DataFrame, mode: str, value: str, row: str | None, column: str |
     The base field is `row`; modes restart for each member of `column`. Differences are null on the base item. If rows or
     columns are nested, the parents name the levels above, outermost first: the base field's modes restart in each parent, and
     percentOfParentRow and percentOfParentCol divide by the next level up (without parents, by the whole axis). percentOfParent divides by the
-    member of `base_field`, a level of either axis, that holds the value; without parents it may be left out.
+    member of `base_field`, a level of either axis, that holds the value; without parents it may be left out. The base item may be PREVIOUS or NEXT:
+    the neighbouring row in `order` (the row's own order by default), null beyond the ends. Totals of the whole table are a scalar subquery, so they need no window over all rows.
     """
     if mode in NEEDS_FIELD and row is None:
         raise ValueError(f"{mode} needs a base field")
     if mode in NEEDS_ITEM and base_item is None:
         raise ValueError(f"{mode} needs a base item")
-    if base_item in ("(previous)", "(next)"):
-        raise ValueError("a relative base item isn't supported")
     rows, columns = [*row_parents, *([row] if row else [])], [*column_parents, *([column] if column else [])]
     if mode == "percentOfParent" and base_field is None and (row_parents or column_parents):
         raise ValueError("percentOfParent needs a base field among the levels")
@@ -143,40 +144,44 @@ def show_as(df: DataFrame, mode: str, value: str, row: str | None, column: str |
     def within(*fields: str) -> WindowSpec:
         return Window.partitionBy(*fields) if fields else Window.partitionBy(F.lit(1))
 
-    v, whole, by_row, by_column, by_others = F.col(value), within(), within(*rows), within(*columns), within(*row_parents, *columns)
+    v, by_others = F.col(value), within(*row_parents, *columns)
+    others = (*row_parents, *columns)
     walk = by_others.orderBy(order or row).rowsBetween(Window.unboundedPreceding, 0) if row else None
-    base = F.max(F.when(F.col(row) == F.lit(base_item), v)).over(by_others) if base_item is not None else None
-    total = lambda w: F.sum(v).over(w)
+    if base_item in (PREVIOUS, NEXT):
+        base, is_base = (F.lag if base_item == PREVIOUS else F.lead)(v).over(by_others.orderBy(order or row)), F.lit(False)
+    else:
+        base, is_base = F.max(F.when(F.col(row) == F.lit(base_item), v)).over(by_others) if base_item is not None else None, F.col(row) == F.lit(base_item) if row else None
+    total = lambda *fields: F.sum(v).over(within(*fields)) if fields else df.agg(F.sum(v)).scalar()
     match mode:
         case "percentOfTotal":
-            return F.try_divide(v, total(whole))
+            return F.try_divide(v, total())
         case "percentOfRow":
-            return F.try_divide(v, total(by_row))
+            return F.try_divide(v, total(*rows))
         case "percentOfCol":
-            return F.try_divide(v, total(by_column))
+            return F.try_divide(v, total(*columns))
         case "percentOfParentRow":
-            return F.try_divide(v, total(by_others))
+            return F.try_divide(v, total(*others))
         case "percentOfParentCol":
-            return F.try_divide(v, total(within(*rows, *column_parents)))
+            return F.try_divide(v, total(*rows, *column_parents))
         case "percentOfParent" if base_field in columns:
-            return F.try_divide(v, total(within(*rows, *columns[:columns.index(base_field) + 1])))
+            return F.try_divide(v, total(*rows, *columns[:columns.index(base_field) + 1]))
         case "percentOfParent":
             held = rows[:rows.index(base_field) + 1] if base_field else []
-            return F.try_divide(v, total(within(*held, *columns)))
+            return F.try_divide(v, total(*held, *columns))
         case "difference":
-            return F.when(F.col(row) != F.lit(base_item), v - base)
+            return F.when(~is_base, v - base)
         case "percentDiff":
-            return F.when(F.col(row) != F.lit(base_item), F.try_divide(v - base, base))
+            return F.when(~is_base, F.try_divide(v - base, base))
         case "percentOf":
             return F.try_divide(v, base)
         case "runTotal":
-            return total(walk)
+            return F.sum(v).over(walk)
         case "percentOfRunningTotal":
-            return F.try_divide(total(walk), total(by_others))
+            return F.try_divide(F.sum(v).over(walk), total(*others))
         case "rankAscending":
             return F.rank().over(by_others.orderBy(v))
         case "rankDescending":
             return F.rank().over(by_others.orderBy(v.desc()))
         case "index":
-            return F.try_divide(v * total(whole), total(by_row) * total(by_column))
+            return F.try_divide(v * total(), total(*rows) * total(*columns))
     raise ValueError(f"no mode {mode!r}")

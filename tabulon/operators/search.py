@@ -10,12 +10,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import AMOUNT, fold_text, identifier_variants, index_tokens, words
+from ..functions.text import AMOUNT, fold_ascii, fold_text, identifier_variants, index_tokens, words
 
 #: Words that say nothing about what is sought (fixed values).
 GENERIC = ("tim", "kiem", "tìm", "kiếm", "file", "files", "document", "documents", "doc", "in", "of", "the", "a", "an", "to", "for", "co", "có", "ve", "về",
            "trong", "la", "là", "noi", "dung", "nội", "giup", "giúp", "hay", "show")
 
+#: Words of a question that say nothing about a file's name: with their accents, without, and in pairs (fixed values).
+FILLER_ACCENTED = tuple((
+    "có cái nào là không cho của những một các tôi mình giúp hãy tìm kiếm này kia được đâu gì và "
+    "với trong trên về thì sao nhỉ nhé vậy nè rồi chưa hoặc từ đến ở mà để khi xem ông").split())
+FILLER_PLAIN = tuple((
+    "co cai nao la khong cho cua nhung mot cac nay kia duoc gi va voi trong tren thi sao nhi nhe "
+    "vay ne roi chua hoac xem tim kiem giup hay file files the of in is are any there find show "
+    "search please which what where a an to for with or and ong").split())
+FILLER_PAIRS = r"\b(?:tài liệu|tai lieu|văn bản|van ban|nội dung|noi dung)\b"
+
+
+def is_filler(word: Column) -> Column:
+    """Whether a lower-case word says nothing about a name. It is judged as typed: "mỹ" isn't taken for "my", which folding would make of it."""
+    return word.isin(*FILLER_ACCENTED) | (word.isin(*FILLER_PLAIN) & (fold_ascii(word) == word))
+
+
+def name_words(question: Column, fillers: bool = False) -> Column:
+    """The different folded words of a question that a file's name may have, without fillers unless asked for; null question: null.
+
+    For a question of fillers only the list is empty, and the one with fillers is what can be sought.
+    """
+    typed = F.filter(F.split(F.regexp_replace(F.lower(question), FILLER_PAIRS, " "), r"[^\p{L}\p{N}\p{M}]+"), lambda t: t != "")
+    kept = typed if fillers else F.filter(typed, lambda t: ~is_filler(t))
+    return F.array_distinct(F.filter(F.transform(kept, fold_ascii), lambda t: t != ""))
+
 
 def parse_query(text: str) -> dict[str, list[dict]]:
     """Terms of a query: blanks separate, quotes keep a phrase, a leading minus excludes; `prefix` is a word still being typed."""

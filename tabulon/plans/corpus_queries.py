@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -436,14 +437,48 @@ def _(s, d):
     return load(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("g01_fill_series", "SELECT range AS i, (3 + range * 2.5)::DOUBLE AS value FROM range(200)")
+@query("g01_fill_series", """SELECT c_custkey, i::INT AS i, round(c_acctbal + i * (c_nationkey - 12) * 100.0, 4) AS value FROM customer, range(12) AS t(i)
+    WHERE i = 0 OR CASE WHEN c_nationkey >= 12 THEN c_acctbal + i * (c_nationkey - 12) * 100.0 <= 5000 ELSE c_acctbal + i * (c_nationkey - 12) * 100.0 >= 5000 END""")
 def _(s, d):
-    return generate.linear_series(s, 3, 2.5, 200)
+    """Every balance goes on in its own steps, up or down, until it passes 5,000."""
+    c = generate.row_series(load(s, d, "customer"), F.col("c_acctbal"), (F.col("c_nationkey") - 12) * 100.0, 12, stop=F.lit(5000.0))
+    return c.select("c_custkey", "i", F.round("value", 4).alias("value"))
 
 
-@query("g01_date_series", "SELECT range AS i, (DATE '2024-01-31' + to_months(range::INT))::DATE AS value FROM range(24)")
+@query("g01_growth_series", """SELECT c_custkey, i::INT AS i, round(c_acctbal * power(1 + c_nationkey / 50.0, i), 4) AS value FROM customer, range(8) AS t(i)
+    WHERE i = 0 OR CASE WHEN c_nationkey = 0 OR c_acctbal >= 0 THEN c_acctbal * power(1 + c_nationkey / 50.0, i) <= 9000 ELSE c_acctbal * power(1 + c_nationkey / 50.0, i) >= 9000 END""")
 def _(s, d):
-    return generate.date_series(s, "2024-01-31", "month", 1, 24)
+    c = generate.row_series(load(s, d, "customer"), F.col("c_acctbal"), 1 + F.col("c_nationkey") / 50.0, 8, "growth", F.lit(9000.0))
+    return c.select("c_custkey", "i", F.round("value", 4).alias("value"))
+
+
+@query("g01_date_series", "SELECT o_orderkey, i::INT AS i, (o_orderdate::DATE + to_months(i::INT))::DATE AS value FROM orders, range(6) AS t(i)")
+def _(s, d):
+    """Half a year of dates from every order."""
+    return generate.row_dates(load(s, d, "orders"), F.col("o_orderdate"), "month", 1, 6).select("o_orderkey", "i", "value")
+
+
+#: A customer's orders as a line of cells; those whose status is P hold text.
+_CELLS = """SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS v FROM orders"""
+_HEADS = f"c AS ({_CELLS}), h AS (SELECT *, bool_and(v IS NOT NULL) OVER (PARTITION BY o_custkey ORDER BY place) AS head FROM c)"
+
+
+def _cell_lines(s, d):
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return load(s, d, "orders").select("o_orderkey", "o_custkey", place.alias("place"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("v"))
+
+
+@query("g02_fill_planner", f"""WITH {_HEADS}, s AS (SELECT o_custkey, count(*) AS k, arg_max(v, place) AS last, coalesce(max(v) FILTER (place = 1) - max(v) FILTER (place = 0), 1) AS gap FROM h WHERE head GROUP BY 1)
+    SELECT o_orderkey, CASE WHEN place >= k THEN round(last + (place - k + 1) * gap, 4) END AS filled, coalesce(place >= k, false) AS written FROM h LEFT JOIN s ON h.o_custkey = s.o_custkey""")
+def _(s, d):
+    """Each customer's orders as a line: the numbers it starts with are the seeds, and what follows is filled."""
+    return generate.fill_lines(_cell_lines(s, d), "o_custkey", "place", "v").select("o_orderkey", F.round("filled", 4).alias("filled"), "written")
+
+
+@query("g02_fill_trend", f"""WITH {_HEADS}, s AS (SELECT o_custkey, coalesce(regr_slope(v, place) FILTER (head), 250) AS slope, avg(v) FILTER (head) AS my, avg(place) FILTER (head) AS mi, max(place) FILTER (head) AS m FROM h GROUP BY 1)
+    SELECT o_orderkey, CASE WHEN m >= 0 THEN round(my + CASE WHEN m = 0 THEN 250 ELSE slope END * (place - mi), 6) END AS filled, m IS NOT NULL AS written FROM h JOIN s ON h.o_custkey = s.o_custkey""")
+def _(s, d):
+    return generate.fill_lines(_cell_lines(s, d), "o_custkey", "place", "v", "linear", step=250, trend=True).select("o_orderkey", F.round("filled", 6).alias("filled"), "written")
 
 
 @query("g03_tile", "SELECT r_name, range::INT AS tile FROM region, range(3)")
@@ -463,9 +498,12 @@ def _(s, d):
     return generate.seek_column(load(s, d, "customer").where("c_acctbal > 0"), lambda x: x * x, F.col("c_acctbal"), 0, 1000).select("c_custkey", F.round("input", 4).alias("input"))
 
 
-@query("g06_data_table", "SELECT r AS \"row\", c AS \"column\", round(r * power(1 + c, 5), 8) AS value FROM (SELECT unnest([100.0::DOUBLE, 200, 300]) AS r), (SELECT unnest([0.01::DOUBLE, 0.02]) AS c)")
+@query("g06_data_table", """SELECT p_partkey, rate, years, round(p_retailprice * power(1 + rate, years), 6) AS value
+    FROM part, (SELECT unnest([0.01::DOUBLE, 0.02, 0.05]) AS rate), (SELECT unnest([1.0::DOUBLE, 5, 10]) AS years)""")
 def _(s, d):
-    return generate.data_table(s, [100, 200, 300], [0.01, 0.02], lambda r, c: F.round(r * F.pow(1 + c, F.lit(5)), 8))
+    """Every part's price under each pair of a rate and a number of years."""
+    grid = generate.what_if(load(s, d, "part"), {"rate": [0.01, 0.02, 0.05], "years": [1, 5, 10]}, lambda r, y: F.round(F.col("p_retailprice") * F.pow(1 + r, y), 6))
+    return grid.select("p_partkey", "rate", "years", "value")
 
 
 @query("g07_chart_shape", "SELECT count(DISTINCT c_mktsegment) AS categories, 1 AS series, bool_or(c_acctbal < 0) AS negatives FROM customer")

@@ -12,17 +12,23 @@ from ..registry import load, query
 from ..sources import files
 
 
-@query("d06_numeric_cells", "SELECT o_orderkey, o_orderkey::DOUBLE AS plain, NULL::DOUBLE AS padded, NULL::DOUBLE AS signed FROM orders")
+#: Cells of each kind that a number is told from, # for the row's key, and the number meant (in SQL) or none.
+_NUMERIC = (("#", "k"), ("00#", None), ("+#", None), (".5#", "('.5' || o_orderkey)::DOUBLE"), ("#.", "k"), ("#e2", "k * 100"), ("#.25", "k + 0.25"), ("1,000", None), ("-#", "-k"), ("9999999999999999", None), (" #", None), ("0x#", None))
+
+
+@query("d06_numeric_cells", f"SELECT o_orderkey, CASE o_orderkey % {len(_NUMERIC)} " + " ".join(f"WHEN {i} THEN {n or 'NULL'}" for i, (_, n) in enumerate(_NUMERIC)) + " END AS number FROM (SELECT o_orderkey, o_orderkey::DOUBLE AS k FROM orders)")
 def _(s, d):
-    k = F.col("o_orderkey").cast("string")
-    return load(s, d, "orders").select("o_orderkey", csv_number(k).alias("plain"), csv_number(F.concat(F.lit("00"), k)).alias("padded"), csv_number(F.concat(F.lit("+"), k)).alias("signed"))
+    """Cells made of every order's key: plain, padded, signed, grouped, with a point or an exponent, too long."""
+    form = F.get(F.array(*(F.lit(f) for f, _ in _NUMERIC)), (F.col("o_orderkey") % len(_NUMERIC)).cast("int"))
+    return load(s, d, "orders").select("o_orderkey", csv_number(F.replace(form, F.lit("#"), F.col("o_orderkey").cast("string"))).alias("number"))
 
 
-@query("d08_csv_shape", "SELECT count(*) AS rows, 6::BIGINT AS columns FROM part")
+@query("d08_csv_shape", """SELECT p_brand AS path, count(*) AS rows, max(len(string_split(p_name, ' ')) + p_size % 4)::BIGINT AS columns, max(len(string_split(p_name, ' ')))::BIGINT AS used_columns, ',' AS sep
+    FROM part GROUP BY 1""")
 def _(s, d):
-    cells = F.from_csv(F.to_csv(F.struct("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")), "a string, b string, c string, d string, e string, f string")
-    line = load(s, d, "part").select(F.array(*(cells[c] for c in "abcdef")).alias("cells"))
-    return line.agg(F.count("*").alias("rows"), F.max(F.size("cells")).cast("long").alias("columns"))
+    """Brands as files: a part's words are the cells of a row, with up to three empty ones behind them."""
+    cells = F.concat(F.split("p_name", " "), F.array_repeat(F.lit(""), F.col("p_size") % 4))
+    return files.shape(load(s, d, "part").select(F.col("p_brand").alias("path"), cells.alias("cells"), F.lit(",").alias("sep")))
 
 
 @query("d11_html_text", "SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')) > 0 AS has_text FROM pages")
@@ -30,9 +36,14 @@ def _(s, d):
     return load(s, d, "pages").select("page_id", (F.length(files.html_text_column(F.col("html"))) > 0).alias("has_text"))
 
 
-@query("d13_magic_bytes", "SELECT page_id, 'unknown' AS kind FROM pages")
+@query("d13_magic_bytes", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'zip' WHEN 1 THEN 'ole2' WHEN 2 THEN CASE WHEN page_id * 13 % 1500 <= 1020 THEN 'pdf' ELSE 'unknown' END ELSE 'unknown' END AS kind FROM pages""")
 def _(s, d):
-    return load(s, d, "pages").select("page_id", files.magic(F.encode("html", "UTF-8")).alias("kind"))
+    """Pages behind the marks of a format; a PDF's mark counts within the first 1,024 bytes, and only as whole bytes."""
+    html = F.encode("html", "UTF-8")
+    made = F.get(F.array(
+        F.concat(F.unhex(F.lit("504B0304")), html), F.concat(F.unhex(F.lit("D0CF11E0A1B11AE1")), html), F.concat(F.encode(F.repeat(F.lit(" "), (F.col("page_id") * 13 % 1500).cast("int")), "UTF-8"), F.encode(F.lit("%PDF-1.7"), "UTF-8"), html),
+        F.concat(F.unhex(F.lit("1255044461")), html), html), (F.col("page_id") % 5).cast("int"))
+    return load(s, d, "pages").select("page_id", files.magic(made).alias("kind"))
 
 
 @query("d16_range_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey BETWEEN 100 AND 500")

@@ -37,6 +37,15 @@ def _(s, d):
     return each.select("doc_id", F.col("pos").cast("long").alias("pos"), "before")
 
 
+@query("b09_name_words", """SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(string_split(p_name, ' '), ['brand', string_split(p_brand, '#')[2], 'la', 'me', 'ha', 'noi']))), ' ') AS words,
+    len(list_distinct(list_concat(string_split(p_name, ' '), ['brand', string_split(p_brand, '#')[2], 'la', 'me', 'ha', 'noi', 'tim', 'files', 'cua', 'the'])))::INT AS with_fillers FROM part""")
+def _(s, d):
+    """Questions for every part: fillers go as they are typed ("là", "la"), words that only fold to one stay ("lá", "mẹ"), and so do name words behind accents."""
+    question = F.concat(F.lit("Tìm files "), F.col("p_name"), F.lit(" của la là THE lá, MẸ; tài liệu "), F.col("p_brand"), F.lit(" Hà Nội"))
+    found, every = se.name_words(question), se.name_words(question, fillers=True)
+    return load(s, d, "part").select("p_partkey", F.array_join(F.array_sort(found), " ").alias("words"), F.size(every).alias("with_fillers"))
+
+
 @query("b10_identifiers", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '([a-z]+[0-9]+)', 1)), '^([a-z]+)0+([0-9])', '\\1\\2') AS code FROM pages")
 def _(s, d):
     return load(s, d, "pages").select("page_id", tx.canonical_identifier(F.lower(F.regexp_extract("url", "([a-z]+[0-9]+)", 1))).alias("code"))

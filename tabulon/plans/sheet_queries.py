@@ -45,6 +45,13 @@ def _(s, d):
     return filters.filtered_copy(load(s, d, "customer"), "c_mktsegment", [" BUILDING ", "machinery"], ["c_custkey", "c_mktsegment"])
 
 
+@query("m20_visible_copy", "SELECT c_custkey, c_name FROM customer WHERE NOT (c_custkey BETWEEN 100 AND 900 AND c_acctbal < 0)")
+def _(s, d):
+    """All rows are copied but those that the filter over rows 100 to 900 hides."""
+    c = load(s, d, "customer")
+    return filters.visible_copy(c, "c_custkey", (0, 1 << 62), (100, 900), F.col("c_acctbal") < 0, ["c_custkey", "c_name"])
+
+
 @query("a09_label_filter", "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) LIKE 'nation_1%' OR contains(lower(n_name), '2')")
 def _(s, d):
     return load(s, d, "nation").where(filters.label("n_name", "beginsWith", "Nation_1") | filters.label("n_name", "contains", "2")).select("n_nationkey", "n_name")
@@ -337,15 +344,16 @@ def _cells(s, d):
 def _mode(name, mode, sql, row="n_name", column="yr", digits=8, **more):
     @query(name, f"SELECT n_name, yr, {sql} AS v FROM ({_CELLS})")
     def _(s, d):
-        v = pivot.show_as(_cells(s, d), mode, "rev", row, column, **more)
-        return _cells(s, d).select("n_name", "yr", (v.cast("long") if mode.startswith("rank") else F.round(v, digits)).alias("v"))
+        cells = _cells(s, d)
+        v = pivot.show_as(cells, mode, "rev", row, column, **more)
+        return cells.select("n_name", "yr", (v.cast("long") if mode.startswith("rank") else F.round(v, digits)).alias("v"))
 
 
 _mode("w01_percent_of_total", "percentOfTotal", "round(rev / sum(rev) OVER (), 8)")
 _mode("w01_percent_of_row", "percentOfRow", "round(rev / sum(rev) OVER (PARTITION BY n_name), 8)")
 _mode("w01_percent_of_col", "percentOfCol", "round(rev / sum(rev) OVER (PARTITION BY yr), 8)")
 _mode("w02_percent_of_parent", "percentOfParent", "round(rev / sum(rev) OVER (PARTITION BY yr), 8)")
-_mode("w03_difference", "difference", "CASE WHEN yr <> 1995 THEN round(rev - max(CASE WHEN yr = 1995 THEN rev END) OVER (PARTITION BY n_name), 2) END", row="yr", column="n_name", digits=2, base_item=1995)
+_mode("w03_difference", "difference", "CASE WHEN yr <> 1995 THEN round(rev - max(CASE WHEN yr = 1995 THEN rev END) OVER (PARTITION BY n_name), 4) END", row="yr", column="n_name", digits=4, base_item=1995)
 _mode("w03_percent_diff", "percentDiff", "CASE WHEN yr <> 1995 THEN round((rev - max(CASE WHEN yr = 1995 THEN rev END) OVER (PARTITION BY n_name)) / max(CASE WHEN yr = 1995 THEN rev END) OVER (PARTITION BY n_name), 6) END", row="yr", column="n_name", digits=6, base_item=1995)
 _mode("w03_percent_of", "percentOf", "round(rev / max(CASE WHEN yr = 1995 THEN rev END) OVER (PARTITION BY n_name), 6)", row="yr", column="n_name", digits=6, base_item=1995)
 _mode("w04_run_total", "runTotal", "round(sum(rev) OVER (PARTITION BY n_name ORDER BY yr ROWS UNBOUNDED PRECEDING), 0)", row="yr", column="n_name", digits=0)
@@ -372,9 +380,17 @@ _parents("w02_parent_row_field", "percentOfParent", "r_name, yr, qtr", base_fiel
 _parents("w02_parent_column_field", "percentOfParent", "r_name, n_name, yr", base_field="yr")
 
 
-@query("w08_previous_item", f"SELECT n_name, yr, round(rev - lag(rev) OVER (PARTITION BY n_name ORDER BY yr), 2) AS v FROM ({_CELLS})")
-def _(s, d):
-    return _cells(s, d).select("n_name", "yr", F.round(F.col("rev") - F.lag("rev").over(Window.partitionBy("n_name").orderBy("yr")), 2).alias("v"))
+def _relative(name: str, mode: str, item: str, sql: str, digits: int):
+    @query(name, f"SELECT n_name, yr, round({sql}, {digits}) AS v FROM (SELECT *, {'lag' if item == pivot.PREVIOUS else 'lead'}(rev) OVER (PARTITION BY n_name ORDER BY yr) AS near FROM ({_CELLS}))")
+    def _(s, d):
+        cells = _cells(s, d)
+        return cells.select("n_name", "yr", F.round(pivot.show_as(cells, mode, "rev", "yr", "n_name", base_item=item), digits).alias("v"))
+
+
+# sums are multiples of 0.0001: with four digits the order of summing makes no difference
+_relative("w08_previous_item", "difference", pivot.PREVIOUS, "rev - near", 4)
+_relative("w08_next_percent", "percentDiff", pivot.NEXT, "(rev - near) / near", 6)
+_relative("w08_previous_share", "percentOf", pivot.PREVIOUS, "rev / near", 6)
 
 
 @query("w09_linear_fit", f"SELECT n_name, round(regr_slope(rev, yr), 2) AS slope, round(regr_intercept(rev, yr) / 1000, 0) AS intercept FROM ({_CELLS}) GROUP BY 1")

@@ -145,8 +145,9 @@ def shape(cells: DataFrame) -> DataFrame:
 
 def magic(content: Column, length: int = 1024) -> Column:
     """zip, pdf (within the first 1024 bytes), ole2 or unknown."""
-    head = F.hex(F.substring(content, 1, length))
-    return F.when(head.startswith("504B0304"), "zip").when(head.startswith("D0CF11E0A1B11AE1"), "ole2").when(head.contains("25504446"), "pdf").otherwise("unknown")
+    head = F.substring(content, 1, length)
+    starts = F.hex(F.substring(content, 1, 8))
+    return F.when(starts.startswith("504B0304"), "zip").when(starts == "D0CF11E0A1B11AE1", "ole2").when(F.contains(head, F.lit(bytearray(b"%PDF"))), "pdf").otherwise("unknown")
 
 
 def text_of(name: str, raw: bytes, most: int | None = None) -> tuple[str | None, str | None]:
