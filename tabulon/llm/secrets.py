@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -84,32 +85,43 @@ def _united(spans: str) -> Column:
 def random_parts(token: Column, bits: float, window: int = WINDOW) -> Column:
     """Array of (s, e) within `token`: unions of the windows whose entropy is at least `bits`.
 
-    With counts c of the characters in a window of w, entropy is log2(w) - sum(c * log2 c) / w. The counts are kept in a
-    map as the window slides, and so is the sum: the character that leaves changes one count and one term, the
-    one that enters another. A step costs no more than the alphabet, whatever the length of window and token.
+    With counts c of the characters in a window of w, entropy is log2(w) - sum(c * log2 c) / w. The counts are kept as the window slides, and so is the
+    sum: the character that leaves changes one count and one term, the one that enters another. Counts are the characters of a string
+    as long as the alphabet, where a count is changed in place; terms are whole numbers (2^-30), so that the sum never drifts. The token
+    is split once, and a window is judged when the next character enters: a step costs no more than the alphabet, whatever the token's length.
     """
-    term = lambda n: F.when(n > 0, n * F.log2(F.greatest(n, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
-    most = window * (F.log2(F.lit(float(window))) - bits) + 1e-9
-    alphabet = F.array_distinct(F.split(token, ""))
-    state = F.struct(F.map_from_arrays(alphabet, F.transform(alphabet, lambda c: F.lit(0))).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        full = acc["i"] >= window
-        first = F.when(full, F.substr(token, acc["i"] - window + 1, F.lit(1)))
-        n_out = F.coalesce(F.element_at(acc["counts"], first), F.lit(0))
-        n_in = F.element_at(acc["counts"], c) - F.when(first == c, 1).otherwise(0)
-        less = F.when(full, term(n_out - 1) - term(n_out)).otherwise(F.lit(0.0))
-        total = acc["sum"] + less + term(n_in + 1) - term(n_in)
-        counts = F.transform_values(acc["counts"], lambda k, n: n + F.when(k == c, 1).otherwise(0) - F.when(k == first, 1).otherwise(0))
-        end = acc["i"] + 1
-        last = F.get(acc["out"], F.size(acc["out"]) - 1)
-        joined = F.when(last.isNotNull() & (last["e"] >= end - window),
-                        F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(last["s"].alias("s"), end.alias("e")))))
-        hit = (end >= window) & (total <= most)
-        out = F.when(hit, F.coalesce(joined, F.concat(acc["out"], F.array(F.struct((end - window).alias("s"), end.alias("e")))))).otherwise(acc["out"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), end.alias("i"), out.alias("out"))
-
-    return F.aggregate(F.split(token, ""), state, step, lambda acc: acc["out"])
+    if not 2 <= window <= 200:
+        raise ValueError("a window of 2 to 200 characters")
+    scale, zero = 1 << 30, 32
+    terms = F.array(*(F.lit(round(n * math.log2(n) * scale) if n else 0).cast("long") for n in range(window + 1)))
+    most = round(window * (math.log2(window) - bits) * scale) + window
+    chars = F.split(token, "")
+    pairs = F.zip_with(chars, F.slice(F.concat(F.array_repeat(F.lit(None).cast("string"), window), chars), F.lit(1), F.size(chars)), lambda c, f: F.struct(c.alias("c"), f.alias("f")))
+    alphabet = F.array_join(F.array_distinct(chars), "")
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    state = F.struct(alphabet.alias("alphabet"), F.repeat(F.lit(chr(zero)), F.length(alphabet)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(0).alias("e"), none.alias("out"))
+
+    def closed(acc: Column, more: Column) -> Column:
+        return F.when(more & (acc["e"] > 0), F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        hit = (acc["i"] >= window) & (acc["sum"] <= most)
+        fresh = hit & ((acc["e"] == 0) | (acc["e"] < acc["i"] - window))
+        enters, leaves = F.position(x["c"], acc["alphabet"]), F.position(x["f"], acc["alphabet"])
+        count = lambda at: F.ascii(F.substr(acc["counts"], at, F.lit(1))) - zero
+        put = lambda counts, at, n: F.overlay(counts, F.char(n + zero), at)
+        more = F.get(terms, count(enters) + 1) - F.get(terms, count(enters))
+        less = F.get(terms, count(leaves)) - F.get(terms, count(leaves) - 1)
+        grown = put(acc["counts"], enters, count(enters) + 1)
+        return F.struct(
+            acc["alphabet"].alias("alphabet"),
+            F.when(x["f"].isNull(), grown).when(x["f"] == x["c"], acc["counts"]).otherwise(put(grown, leaves, count(leaves) - 1)).alias("counts"),
+            F.when(x["f"].isNull(), acc["sum"] + more).when(x["f"] == x["c"], acc["sum"]).otherwise(acc["sum"] + more - less).alias("sum"),
+            (acc["i"] + 1).alias("i"), F.when(fresh, acc["i"] - window).otherwise(acc["s"]).alias("s"), F.when(hit, acc["i"]).otherwise(acc["e"]).alias("e"), closed(acc, fresh).alias("out"))
+
+    # one more step judges the last window
+    last = F.array(F.struct(F.lit(" ").alias("c"), F.lit(None).cast("string").alias("f")))
+    return F.aggregate(F.concat(pairs, last), state, step, lambda acc: closed(acc, F.lit(True)))
 
 
 def scan(docs: DataFrame, window: int = WINDOW, classes: Sequence[CharClass] = CLASSES, allowed: Sequence[str] = ALLOWED) -> DataFrame:
