@@ -66,6 +66,16 @@ def is_short(text: str) -> bool:
     return len(query_tokens(text)) <= 4 or any(c.isdigit() for c in text)
 
 
+def one_edit(word: Column, term: str, least: int = 4) -> Column:
+    """Whether a word is the term, or differs by one letter put in, left out or changed; words and terms under `least` letters must be equal."""
+    return (word == term) | (F.lit(len(term) >= least) & (F.length(word) >= least) & (F.levenshtein(word, F.lit(term), 1) >= 0))
+
+
+def freshest(df: DataFrame, names: Sequence[str], fresh: Column, id_col: str) -> DataFrame:
+    """(names, id): of rows with equal names the freshest, and of equally fresh ones the smallest id. A row without a date is the oldest."""
+    return df.groupBy(*names).agg(F.max_by(id_col, F.struct(fresh.isNotNull(), fresh, -F.col(id_col))).alias(id_col))
+
+
 def postings(df: DataFrame, id_col: str, text: str, tokens=words) -> DataFrame:
     """(term, id, tf, len): one row for each term and document; counted map-side before the shuffle.
 

@@ -151,9 +151,12 @@ def _(s, d):
     return load(s, d, "pages").select("page_id", co.is_junk(F.col("url")).alias("junk"))
 
 
-@query("c20_media_admission", "SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax * 1000) >= 20 AS ok FROM lineitem")
+@query("c20_media_admission", "SELECT l_orderkey, l_linenumber, least(l_quantity * 8, l_linenumber * 40) >= 64 AND l_partkey % 5 IN (0, 3, 4) AS ok FROM lineitem")
 def _(s, d):
-    return load(s, d, "lineitem").select("l_orderkey", "l_linenumber", co.media_admitted(F.col("l_quantity"), F.col("l_tax") * 1000, F.lit("a/b.png"), 20).alias("ok"))
+    """Lines as pictures of their own sizes, some of them in folders or files that nobody made."""
+    paths = ("a/b.png", "C:\\Windows\\b.png", "x/node_modules/y/b.png", "cached/windows.png", "dist-1/b.png")
+    path = F.get(F.array(*map(F.lit, paths)), (F.col("l_partkey") % 5).cast("int"))
+    return load(s, d, "lineitem").select("l_orderkey", "l_linenumber", co.media_admitted(F.col("l_quantity") * 8, F.col("l_linenumber") * 40, path).alias("ok"))
 
 
 @query("c21_retention", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'keep-running' WHEN o_totalprice <= 50000 THEN 'keep-unverified' WHEN date_diff('day', o_orderdate::DATE, DATE '1998-08-02') < 30 THEN 'keep-recent' ELSE 'delete' END AS decision FROM orders")

@@ -115,9 +115,12 @@ def _(s, d):
     return load(s, d, "part").select("p_partkey", se.name_score(tx.fold_ascii(F.col("p_name")), F.lit(""), ["red", "ring"]).alias("score"))
 
 
-@query("b24_one_edit", "SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: levenshtein(x, 'widgot') <= 1)) > 0")
+@query("b24_one_edit", """SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: len(x) >= 4 AND levenshtein(x, 'widgot') <= 1)) > 0 AS misspelled, len(list_filter(string_split(p_name, ' '), lambda x: x = 'red')) > 0 AS short,
+    len(list_filter(string_split(p_name, ' '), lambda x: len(x) >= 4 AND levenshtein(x, 'rings') <= 1)) > 0 AS shortened FROM part""")
 def _(s, d):
-    return load(s, d, "part").where(F.exists(F.split("p_name", " "), lambda t: F.levenshtein(t, F.lit("widgot"), 1) >= 0)).select("p_partkey")
+    """One edit is forgiven in words of four letters or more ("widgot", "rings"), shorter ones are exact ("red", not "bed")."""
+    has = lambda term: F.exists(F.split("p_name", " "), lambda w: se.one_edit(w, term))
+    return load(s, d, "part").select("p_partkey", has("widgot").alias("misspelled"), has("red").alias("short"), has("rings").alias("shortened"))
 
 
 @query("b25_matched_words", "SELECT p_partkey, (contains(replace(p_name, ' ', ''), 'red'))::INT + (contains(replace(p_name, ' ', ''), 'bolt'))::INT AS n FROM part")
@@ -163,9 +166,10 @@ def _(s, d):
     return records.numbered(load(s, d, "events").select("event_id", "value"), se.rerank_keys("value", "event_id"), "place").drop("value")
 
 
-@query("b35_recency_tie_break", "SELECT event_type, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1")
+@query("b35_recency_tie_break", "SELECT event_type, user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY date_trunc('day', ts) DESC, event_id) AS nth FROM events) WHERE nth = 1")
 def _(s, d):
-    return load(s, d, "events").groupBy("event_type").agg(F.max_by("event_id", "ts").alias("event_id"))
+    """The freshest event of each kind and user by day; of one day the smallest id."""
+    return se.freshest(load(s, d, "events"), ["event_type", "user_id"], F.date_trunc("day", "ts"), "event_id")
 
 
 @query("b36_truncate_vectors", "WITH u AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 7) AS first, round(v[16] / sqrt(list_dot_product(v, v)), 7) AS last FROM u")

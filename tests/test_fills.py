@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tabulon.functions import coerce
 from tabulon.functions import text as tx
 from tabulon.operators import corpus, filters, generate, pivot, search
 from tabulon.sources import files
@@ -162,3 +163,19 @@ def test_magic_counts_whole_bytes(spark):
     made = [(bytes.fromhex("1255044461"), "unknown"), (b"%PDF", "pdf"), (b" " * 1020 + b"%PDF", "pdf"), (b" " * 1021 + b"%PDF", "unknown"), (b"PK\3\4", "zip"), (bytes.fromhex("D0CF11E0A1B11AE1"), "ole2"), (b"", "unknown"), (None, "unknown")]
     df = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, (b, _) in enumerate(made)], "i int, b binary").orderBy("i")
     assert [r[0] for r in df.select(files.magic(F.col("b"))).collect()] == [k for _, k in made]
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["file" + "9" * 21, "file1" + "0" * 21, "file2", "file10", "FILE3", "file" + "0" * 30 + "4", "file1" + "0" * 20 + "1", "file", "12", "a1b2", "a1b10"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(coerce.natural_key(F.col("n"))).collect()]
+    assert got == ["12", "a1b2", "a1b10", "file", "file2", "FILE3", "file" + "0" * 30 + "4", "file10", "file" + "9" * 21, "file1" + "0" * 21, "file1" + "0" * 20 + "1"]
+
+
+def test_one_edit_and_freshest(spark):
+    words = [("widget", True), ("widgot", True), ("widgots", True), ("idget", False), ("wid", False), ("widgt", False), (None, None)]
+    df = spark.createDataFrame([(i, w) for i, (w, _) in enumerate(words)], "i int, w string").orderBy("i")
+    assert [r[0] for r in df.select(search.one_edit(F.col("w"), "widgot")).collect()] == [True, True, True, False, False, True, None]
+    assert spark.range(1).select(search.one_edit(F.lit("bed"), "red"), search.one_edit(F.lit("red"), "red"), search.one_edit(F.lit("reds"), "red")).first()[:] == (False, True, False)
+    rows = spark.createDataFrame([("a", 3, 5), ("a", 2, 5), ("a", 1, 4), ("b", 9, None), ("b", 4, None), ("c", 1, None), ("c", 2, 0)], "n string, id long, t int")
+    assert sorted(map(tuple, search.freshest(rows, ["n"], F.col("t"), "id").collect())) == [("a", 2), ("b", 4), ("c", 2)]
