@@ -221,7 +221,7 @@ def goal_seek(f: Callable[[float], float], goal: float, start: float, rounds: in
 
 
 def seek_column(df: DataFrame, expr: Callable[[Column], Column], goal: Column, low: float, high: float, rounds: int = 60) -> DataFrame:
-    """The input of a growing expression that meets each row's goal, by bisection inside the row."""
+    """The input of a growing expression that meets each row's goal, by bisection inside the row; null if no input from low to high does."""
     start = F.struct(F.lit(float(low)).alias("a"), F.lit(float(high)).alias("b"))
 
     def step(acc: Column, _: Column) -> Column:
@@ -229,7 +229,8 @@ def seek_column(df: DataFrame, expr: Callable[[Column], Column], goal: Column, l
         up = expr(mid) < goal
         return F.struct(F.when(up, mid).otherwise(acc["a"]).alias("a"), F.when(up, acc["b"]).otherwise(mid).alias("b"))
 
-    return df.withColumn("input", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda acc: (acc["a"] + acc["b"]) / 2))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda acc: (acc["a"] + acc["b"]) / 2)
+    return df.withColumn("input", F.when(goal.between(expr(F.lit(float(low))), expr(F.lit(float(high)))), found))
 
 
 def data_table(spark: SparkSession, rows: Sequence[float], columns: Sequence[float], expr: Callable[[Column, Column], Column]) -> DataFrame:

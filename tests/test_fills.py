@@ -179,3 +179,9 @@ def test_one_edit_and_freshest(spark):
     assert spark.range(1).select(search.one_edit(F.lit("bed"), "red"), search.one_edit(F.lit("red"), "red"), search.one_edit(F.lit("reds"), "red")).first()[:] == (False, True, False)
     rows = spark.createDataFrame([("a", 3, 5), ("a", 2, 5), ("a", 1, 4), ("b", 9, None), ("b", 4, None), ("c", 1, None), ("c", 2, 0)], "n string, id long, t int")
     assert sorted(map(tuple, search.freshest(rows, ["n"], F.col("t"), "id").collect())) == [("a", 2), ("b", 4), ("c", 2)]
+
+
+def test_goals_out_of_reach(spark):
+    df = spark.createDataFrame([(-1.0,), (4.0,), (101.0,), (None,)], "g double")
+    got = [r.input for r in generate.seek_column(df, lambda x: x * x, F.col("g"), 0, 10).collect()]
+    assert got[0] is None and abs(got[1] - 2) < 1e-9 and got[2:] == [None, None]
