@@ -241,6 +241,25 @@ def test_line_dedup_of_parts_that_stand_earlier(spark):
     assert places_removed(spark, rows, 40) == brute_lines(rows, 40)
 
 
+def test_line_dedup_extends_and_falls_back(spark):
+    """The least hash of a passage stands in other company too, and blank lines at the ends of runs differ from place to place."""
+    rng = np.random.default_rng(5)
+    units = ["k1 k2. ", "z. ", "y y y.\n", "\n", "\n\n\n", "v w.\n", "u u u u u. "]
+    rows = [(d, "".join(rng.choice(units, 30, p=[.2, .15, .15, .2, .1, .1, .1]))) for d in range(24)]
+    assert places_removed(spark, rows, 5) == brute_lines(rows, 5)
+    run = " ".join(f"w{i}" for i in range(45))
+    rows = [(d, "\n" * a + run + "\n" * b + f"end {d}.") for d, (a, b) in enumerate([(1, 2), (3, 1), (2, 5), (5, 4), (0, 9), (9, 0)])]
+    assert places_removed(spark, rows, 40) == brute_lines(rows, 40)
+
+
+def test_line_dedup_of_many_blank_lines(spark):
+    """Time is linear in blank lines, before, between and behind the lines of a run."""
+    run = [" ".join(f"{c}{i}" for i in range(45)) for c in "ab"]
+    text = "\n" * 50_000 + run[0] + "\n" * 50_000 + run[1] + "\n" * 50_000
+    got = places_removed(spark, [(1, text), (2, text), (3, "\n" + text[40_000:-30_000] + "x")], 40)
+    assert got[1] == [] and len(got[2]) == 150_001 and len(got[3]) == 80_000 + 1
+
+
 def brute_links(rows, width, percent):
     sets = []
     for d, t in rows:
