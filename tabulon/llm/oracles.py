@@ -70,4 +70,15 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x)::B
        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
 """
 
-ORACLES = {"op1_maxscore_top_k": OP1, "op2_mix_sources": OP2, "op8_quality_ledger": OP8, "op11_va_file_codes": OP11, "op13_fill_in_middle": OP13}
+#: The rules of both policies as bits, and the policies as sums of them, over the rows of OP8.
+ABLATIONS = f"""WITH judged AS ({OP8}),
+rules(rule, bit, v1, v2) AS (VALUES ('few_words', 1, true, true), ('repeated_windows', 2, true, true), ('many_symbols', 4, true, true), ('dup_lines', 8, false, true),
+  ('long_words', 16, false, true), ('short_words', 32, false, true), ('few_letters', 64, true, true), ('shouting', 128, true, false),
+  ('symbol_words', 256, true, false), ('exclaimed', 512, true, false), ('piped', 1024, true, false), ('stutter', 2048, true, false)),
+used AS (SELECT 1 AS policy_version, rule, bit FROM rules WHERE v1 UNION ALL SELECT 2, rule, bit FROM rules WHERE v2),
+masks AS (SELECT policy_version, sum(bit)::BIGINT AS mask FROM used GROUP BY policy_version)
+SELECT policy_version, rule, count(*) FILTER (failures & bit <> 0) AS failing, count(*) FILTER (failures & mask = bit) AS failing_alone,
+  count(*) FILTER (failures & (mask - bit) = 0) AS kept_without
+FROM used JOIN masks USING (policy_version), judged GROUP BY policy_version, rule"""
+
+ORACLES = {"op1_maxscore_top_k": OP1, "op2_mix_sources": OP2, "op8_quality_ledger": OP8, "quality_ablations": ABLATIONS, "op11_va_file_codes": OP11, "op13_fill_in_middle": OP13}

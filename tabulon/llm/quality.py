@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spaced
+from .common import discard, settle, spaced, written
 
 #: Bit of each rule in the ledger; a bit is never given to another rule.
 RULES = {
@@ -32,6 +33,9 @@ class Policy:
 BASE = ("few_words", "repeated_windows")
 #: Version 1 rejects by the base rules and by signs of machine junk; dup_lines and word lengths are recorded only.
 POLICY = Policy(1, (*BASE, "many_symbols", "few_letters", "shouting", "symbol_words", "exclaimed", "piped", "stutter"))
+#: Version 2 takes no words for junk, but measures only: repeated lines and the lengths of words reject too.
+STRICT = Policy(2, (*BASE, "many_symbols", "dup_lines", "long_words", "short_words", "few_letters"))
+POLICIES = (POLICY, STRICT)
 
 
 def found(column: str, *needles: str) -> Column:
@@ -110,7 +114,11 @@ def ablations(rows: DataFrame, policy: Policy = POLICY) -> DataFrame:
 
     One aggregation over the distinct bitmasks, of which there are at most 2 ** len(RULES).
     """
-    masks = rows.groupBy("failures").agg(F.count(F.lit(1)).alias("n"))
+    return tallied(rows.groupBy("failures").agg(F.count(F.lit(1)).alias("n")), policy)
+
+
+def tallied(masks: DataFrame, policy: Policy) -> DataFrame:
+    """`ablations` of (failures, n): bitmasks with their numbers of documents."""
     each = masks.select("n", F.col("failures").bitwiseAND(F.lit(policy.mask)).alias("hit"), F.explode(F.create_map(*(x for r in policy.rejects for x in (F.lit(r), F.lit(1 << RULES[r]))))).alias("rule", "bit"))
     on = F.col("hit").bitwiseAND(F.col("bit")) != 0
     return each.groupBy("rule").agg(
@@ -120,6 +128,19 @@ def ablations(rows: DataFrame, policy: Policy = POLICY) -> DataFrame:
     )
 
 
+def ablated(docs: DataFrame, policies: Sequence[Policy] = POLICIES) -> DataFrame:
+    """(policy_version, rule, failing, failing_alone, kept_without) of every policy, from one ledger that is stored.
+
+    Texts are read once, whatever the number of policies; what follows reads counts of the stored bits. Rules that nothing fails
+    have zeros. An empty table gives no rows.
+    """
+    kept = written(ledger(measured(docs.select("doc_id", F.col("text").alias("q_text")), "q_text")).select("doc_id", "failures"), "ledger")
+    masks = settle(kept.groupBy("failures").count())
+    discard(kept)
+    each = [tallied(masks.withColumnRenamed("count", "n"), p).select(F.lit(p.version).alias("policy_version"), "*") for p in policies]
+    return reduce(DataFrame.unionByName, each)
+
+
 def quality(docs: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """doc_id, the measurements, failures, base_failed, kept, policy_version of every document.
 

@@ -52,6 +52,10 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures", "policy_version")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablated(table(spark, sf_dir, "documents"))
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     every = (op1_maxscore_top_k, op2_mix_sources, op3_secret_scan, op4_ngram_jaccard, op5_slot_shards, op6_huffman_ids,
-             op7_ppm_language, op8_quality_ledger, op9_prefix_bpe, op10_line_dedup, op11_va_file_codes, op12_attention_scores, op13_fill_in_middle, pipeline)
+             op7_ppm_language, op8_quality_ledger, quality_ablations, op9_prefix_bpe, op10_line_dedup, op11_va_file_codes, op12_attention_scores, op13_fill_in_middle, pipeline)
     return {f.__name__: f for f in every}
 
 
