@@ -45,6 +45,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """`df` with a column that is computed once for each row, however often and inside of what it is used later."""
     return df.select("*", F.explode(F.array(value)).alias(name))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import exists, settle
 
 SLOTS = 4096
 
@@ -117,9 +117,23 @@ class SlotMap:
         return SlotMap(row.version, row.shards, tuple(json.loads(row.owner)))
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The fixed virtual slot of a record; null keys share a slot."""
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def slot_of(*key: Column, slots: int = SLOTS) -> Column:
+    """The fixed virtual slot of a record, by a hash of its key; nulls in it are like any value."""
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, text_crc32, copy): a row for each of `docs`; rows that agree in the first three are numbered from 0.
+
+    They are counted, which is combined before the shuffle, and dealt out again by runs of 65,536 numbers, so that no task makes all
+    rows of a frequent one.
+    """
+    text = F.col("text")
+    d = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    d = d.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    d = d.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) DIV 65536"))).alias("run")).repartition("doc_id", "text_crc32", "run")
+    first = F.col("run") * 65536
+    return d.select("doc_id", "size", "text_crc32", F.explode(F.sequence(first, F.least(F.col("n"), first + 65536) - 1)).alias("copy"))
 
 
 def slot_weights(rows: DataFrame, size: str = "size", slot: str = "vslot", slots: int = SLOTS) -> list[int]:
@@ -131,33 +145,24 @@ def slot_weights(rows: DataFrame, size: str = "size", slot: str = "vslot", slots
 def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """Deal rows into shards of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, version.
 
-    The law is `bytes`. A record's virtual slot is a hash of its doc_id and never changes; the map from
-    slots to shards starts even (version 0) and is edited by the measured bytes of slots (version 1). With
+    The law is `bytes`. A record's virtual slot is a hash of doc_id, crc and its number among equal rows, and never changes; the
+    map from slots to shards starts even (version 0) and is edited by the measured bytes of slots (version 1). With
     `path`, versions are stored there and the newest stored one is what gets edited.
     `slot` is a row's place in its shard, without gaps from 0, by (vslot, doc_id, crc); `vslot` the virtual slot.
     Places come from counts of each virtual slot, so no task holds a shard.
 
-    Null text counts no bytes and has a null crc. Null doc_ids share a virtual slot. Repeated rows are
-    dealt like others. An empty table gives no rows.
+    Null text counts no bytes and has a null crc. Repeated and null doc_ids and repeated rows are spread over the slots like
+    others. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    text = F.col("text")
-    rows = settle(docs.select(
-        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("vslot"),
-    ))
+    rows = settle(numbered(docs).select("doc_id", "size", "text_crc32", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("copy"), slots=slots).alias("vslot")))
     held = rows.groupBy("vslot").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     weight, count = [0] * slots, [0] * slots
     for r in held:
         weight[r.vslot], count[r.vslot] = int(r["size"]), r.n
-    old = SlotMap.even(shards, slots)
-    if path:
-        try:
-            old = SlotMap.load(spark, path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old.save(spark, path)
+    old = SlotMap.load(spark, path) if path and exists(spark, path) else SlotMap.even(shards, slots)
+    if path and not old.version:
+        old.save(spark, path)
     new = old.rebalanced(weight)
     if path:
         new.save(spark, path)

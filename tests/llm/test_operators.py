@@ -80,6 +80,21 @@ def test_shards(docs, empty, spark, tmp_path):
     assert all(a == b or b == 4 for a, b in zip(even.owner, more.owner)) and more.version == 3
 
 
+def test_shards_of_equal_ids(spark, tmp_path):
+    """Null ids, one id for many texts, and one row many times: bytes stay near equal; a stored map is edited from version to version."""
+    rows = [(None, f"text {i}") for i in range(400)] + [(7, f"other {i}") for i in range(400)] + [(8, "the same row")] * 400
+    df, path = spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/map"
+    for version in (1, 2):
+        got = sharding.shard_documents(df, 10, path=path).collect()
+        load = collections.Counter()
+        for r in got:
+            load[r.shard] += r["size"]
+        assert len(got) == 1200 and len(load) == 10 and max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 10
+        assert collections.Counter((r.doc_id, r.text_crc32) for r in got) == collections.Counter((d, zlib.crc32(t.encode())) for d, t in rows)
+        assert {r.map_version for r in got} == {version} and sharding.SlotMap.load(spark, path).version == version
+        assert all(sorted(r.slot for r in got if r.shard == k) == [*range(sum(r.shard == k for r in got))] for k in load)
+
+
 def test_quality(docs, empty):
     rep = "one two three four five six seven eight nine ten\n" * 3
     df = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(50, rep), (51, "#*$ a|b <c>")], "doc_id long, text string"))
@@ -95,6 +110,13 @@ def test_quality(docs, empty):
     assert quality.quality(empty).count() == 0
     ab = {r.rule: r for r in quality.ablations(quality.quality(df)).collect()}
     assert ab["few_words"].failing >= ab["few_words"].failing_alone > 0
+    both = quality.ablated(df).collect()
+    assert {(r.rule, r.failing, r.failing_alone, r.kept_without) for r in both if r.policy_version == 1} == {tuple(r) for r in ab.values()}
+    for policy in quality.POLICIES:
+        bits = [r.failures & policy.mask for r in quality.quality(df).collect()]
+        want = {(rule, sum(b & 1 << quality.RULES[rule] > 0 for b in bits), sum(b == 1 << quality.RULES[rule] for b in bits), sum(b & ~(1 << quality.RULES[rule]) == 0 for b in bits)) for rule in policy.rejects}
+        assert {(r.rule, r.failing, r.failing_alone, r.kept_without) for r in both if r.policy_version == policy.version} == want
+    assert quality.ablated(empty).count() == 0
 
 
 def test_secrets(spark, docs, empty):
