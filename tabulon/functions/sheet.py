@@ -105,6 +105,64 @@ def combina(n: int, k: int) -> int:
     return comb(n + k - 1, k) if n + k else 1
 
 
+def combinations_again(n: Column, k: Column) -> Column:
+    """COMBINA of columns: ways to take k of n with repeats, exact below 2^53; null for negative numbers, and 0 of nothing but for k = 0."""
+    fold = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(1.0), lambda acc, i: acc * (n - 1 + i) / i)
+    return F.when((n >= 0) & (k >= 0), F.when(k == 0, 1.0).otherwise(fold))
+
+
+def acot(c: Column) -> Column:
+    """ACOT, between 0 and pi."""
+    return F.pi() / 2 - F.atan(c)
+
+
+def acoth(c: Column) -> Column:
+    """ACOTH; null within -1 to 1."""
+    return F.when(F.abs(c) > 1, F.ln((c + 1) / (c - 1)) / 2)
+
+
+def decimal(text: Column, radix: int) -> Column:
+    """DECIMAL: the number that digits of a base (2 to 36, in either case) stand for; null where a character isn't one, or beyond 2^53 - 1."""
+    digits, most = "0123456789abcdefghijklmnopqrstuvwxyz"[:radix], 2**53 - 1
+    width = next(k for k in range(1, 54) if radix**k > most)
+    t = F.lower(F.trim(text))
+    fits = t.rlike(f"^0*[{digits}]{{1,{width}}}$")
+    value = F.conv(F.when(fits, t), radix, 10).cast("long")
+    return F.when(value <= most, value)
+
+
+#: Bit functions take whole numbers from 0 to this one.
+MOST_BITS = 2**48 - 1
+
+
+def _bits(*columns: Column) -> Column:
+    fits = F.lit(True)
+    for c in columns:
+        fits = fits & c.between(0, MOST_BITS) & (c == F.floor(c))
+    return fits
+
+
+def bit_and(a: Column, b: Column) -> Column:
+    return F.when(_bits(a, b), a.cast("long").bitwiseAND(b.cast("long")))
+
+
+def bit_or(a: Column, b: Column) -> Column:
+    return F.when(_bits(a, b), a.cast("long").bitwiseOR(b.cast("long")))
+
+
+def bit_xor(a: Column, b: Column) -> Column:
+    return F.when(_bits(a, b), a.cast("long").bitwiseXOR(b.cast("long")))
+
+
+def bit_shift(c: Column, by: int) -> Column:
+    """BITLSHIFT, or BITRSHIFT for a negative `by`; null where a number, the shift (over 53) or the result leaves the bounds."""
+    if abs(by) > 53:
+        return F.lit(None).cast("long")
+    if by < 0:
+        return F.when(_bits(c), F.shiftright(c.cast("long"), -by))
+    return F.when(_bits(c) & (c <= MOST_BITS >> by), F.shiftleft(c.cast("long"), by))
+
+
 def network_days(start: Column, end: Column) -> Column:
     """Weekdays from start to end, both included, by arithmetic on weeks and not by a calendar."""
     def until(c: Column) -> Column:
@@ -223,9 +281,12 @@ def choose_rows(df: DataFrame, order: Sequence[Column | str], indices: Sequence[
     """CHOOSEROWS: rows by their place in `order`, negative from the end, with `place` in the result. A row may be taken again."""
     from ..operators.records import numbered
 
-    at = _from_end(indices, df.count())
+    if all(i > 0 for i in indices):
+        at, some = _from_end(indices, df.limit(max(indices)).count()), df.orderBy(*order).limit(max(indices))
+    else:
+        at, some = _from_end(indices, df.count()), df
     wanted = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(k).alias("place")) for k, i in enumerate(at, 1)))
-    rows = numbered(df, order, "_at_row").where(F.col("_at_row").isin(at))
+    rows = numbered(some, order, "_at_row").where(F.col("_at_row").isin(at))
     return rows.withColumn("_w", F.explode(F.filter(wanted, lambda x: x["at"] == F.col("_at_row")))).select(F.col("_w.place").alias("place"), *df.columns)
 
 

@@ -26,7 +26,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _all() -> None:
-    from .plans import corpus_queries, extension_queries, index_queries, ingest_queries, relation_queries, search_queries, sheet_queries, stream_queries  # noqa: F401
+    from .plans import array_queries, corpus_queries, extension_queries, index_queries, ingest_queries, relation_queries, search_queries, sheet_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict:
