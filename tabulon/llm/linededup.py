@@ -39,6 +39,21 @@ def hashed(docs: DataFrame) -> DataFrame:
     return d.select("id", "x", "n", F.col("told.i").alias("place"), F.col("told.h").alias("hw"), F.col("told.w").alias("w0"))
 
 
+def sums(rows: DataFrame, least_words: int) -> DataFrame:
+    """`rows` with `sums`: (gap, w) for gaps that are powers of two, from the largest; w has the words of each `gap` lines together.
+
+    Sums only grow with the gap. Once all of a text's have `least_words`, no such gap can be stepped over, so it and larger ones are left out.
+    """
+    d = rows
+    gaps = [1 << k for k in range((least_words - 1).bit_length())]
+    for k, gap in enumerate(gaps[:-1]):
+        n = F.size(f"w{k}") - gap
+        two = F.zip_with(F.slice(f"w{k}", F.lit(1), n), F.slice(f"w{k}", F.lit(gap + 1), n), lambda a, b: a + b)
+        d = d.withColumn(f"w{k + 1}", F.when((n > 0) & (F.array_min(f"w{k}") < least_words), two).otherwise(F.array().cast("array<int>")))
+    every = F.array(*(F.struct(F.lit(gap).alias("gap"), F.col(f"w{k}").alias("w")) for k, gap in reversed([*enumerate(gaps)])))
+    return d.select("id", "x", "n", "place", "hw", "w0", F.filter(every, lambda s: F.array_min(s["w"]) < least_words).alias("sums"))
+
+
 def fingerprints(rows: DataFrame, least_words: int) -> DataFrame:
     """(id, x, m, q, u, hw, pl, runs): the winnowed fingerprints of `hashed` rows, and the windows that each was selected in.
 
@@ -53,15 +68,8 @@ def fingerprints(rows: DataFrame, least_words: int) -> DataFrame:
     `runs` has (r, s, lead, trail) of the windows, `hw` the hashes of their lines, from line u on, and `pl` the places of those lines
     with that of one line more at either end (-1 and n beyond the text).
     """
-    d = rows
-    gaps = [1 << k for k in range((least_words - 1).bit_length())]
-    for k, gap in enumerate(gaps[:-1]):
-        n = F.size(f"w{k}") - gap
-        two = F.zip_with(F.slice(f"w{k}", F.lit(1), n), F.slice(f"w{k}", F.lit(gap + 1), n), lambda a, b: a + b)
-        d = d.withColumn(f"w{k + 1}", F.when(n > 0, two).otherwise(F.array().cast("array<int>")))
     # The most lines that have fewer than `least_words` together are stepped over, by powers of two; the next one is the end.
-    sums = [F.struct(F.lit(gap).alias("gap"), F.col(f"w{k}").alias("w")) for k, gap in reversed([*enumerate(gaps)])]
-    d = d.select("id", "x", "n", "place", "hw", "w0", F.array(*sums).alias("sums"))
+    d = sums(rows, least_words)
 
     def over(acc: Column, s: Column) -> Column:
         words = acc["words"] + F.get(s["w"], acc["at"])
@@ -69,7 +77,7 @@ def fingerprints(rows: DataFrame, least_words: int) -> DataFrame:
 
     # Arrays that a lambda takes from outside are named twice on purpose: Catalyst then computes them once and doesn't put them into it.
     start = lambda r: F.struct(r.alias("at"), F.lit(0).alias("words"))
-    d = d.withColumn("last", F.when(F.size("sums") > 0, F.transform("w0", lambda w, r: F.aggregate("sums", start(r), over, lambda acc: acc["at"]))))
+    d = d.withColumn("last", F.when(F.size("sums") >= 0, F.transform("w0", lambda w, r: F.aggregate("sums", start(r), over, lambda acc: acc["at"]))))
     edged = F.concat(F.array(F.lit(-1)), "place", F.array("n"))
     d = d.select("id", "x", "hw", edged.alias("pl"), F.filter("last", lambda s: s < F.size("hw")).alias("ends"))
 

@@ -252,6 +252,17 @@ def test_line_dedup_of_short_lines(spark):
     assert places_removed(spark, rows, 6) == brute_lines(rows, 6)
 
 
+def test_line_dedup_leaves_out_steps_of_long_lines(spark):
+    """Gaps that no window of a text steps over are left out, and runs of long and short lines are found as by brute force."""
+    texts = [("\n".join(["a " * 50] * 40)), "\n".join(["a " * 15] * 40), "\n".join(["a"] * 50), "", "a " * 50]
+    d = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, x long, text string")
+    got = {r.id: [s.gap for s in r.sums] for r in linededup.sums(linededup.hashed(d), 40).collect()}
+    assert got == {0: [], 1: [2, 1], 2: [32, 16, 8, 4, 2, 1], 3: [], 4: []}
+    rng = np.random.default_rng(13)
+    rows = [(d, "".join(rng.choice(["a b c d e f g. ", "b c d e f g h\n", "\n", "c d. "], 20, p=[.4, .4, .1, .1] if d % 2 else [.5, .5, 0, 0]))) for d in range(8)]
+    assert places_removed(spark, rows, 6) == brute_lines(rows, 6) and places_removed(spark, rows, 9) == brute_lines(rows, 9)
+
+
 def test_line_dedup_of_parts_that_stand_earlier(spark):
     """A run goes although each of its lines stands alone, or beside others, in an earlier document."""
     s1, s2 = (" ".join(f"{c}{i}" for i in range(25)) + ". " for c in "pq")
