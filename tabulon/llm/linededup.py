@@ -26,13 +26,27 @@ def lines(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(_MARK)), F.split(text, r"(?<=\n|\. |\? )")).otherwise(F.split(marked, _MARK))
 
 
+def stripped(text: Column) -> Column:
+    """The `lines` of a text without the white space at their ends.
+
+    Texts without tabs and the like are cut at line feeds and the spaces behind sentences, so that only spaces are left to take off:
+    `btrim` with a set of characters makes a list of all places of a line.
+    """
+    marked, odd = F.replace(text, F.lit("\n"), F.lit(_MARK)), F.contains(text, F.lit(_MARK))
+    for end in ".?":
+        marked = F.replace(marked, F.lit(f"{end} "), F.lit(end + _MARK))
+    for space in "\t\x0b\x0c\r":
+        odd |= F.contains(text, F.lit(space))
+    whole = F.transform(lines(text), lambda p: F.btrim(p, F.lit(" \t\n\x0b\x0c\r")))
+    return F.when(odd, whole).otherwise(F.transform(F.split(marked, _MARK), lambda p: F.trim(p)))
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """(id, x, n: number of lines, place and hw: places and hashes of the lines with words, w0: their words).
 
     White space at the ends of a line doesn't count. Blank lines are all alike, so their numbers, which the places tell, are enough.
     """
-    d = docs.select("id", "x", lines(F.col("text")).alias("parts"))
-    d = d.select("id", "x", F.transform("parts", lambda p: F.btrim(p, F.lit(" \t\n\x0b\x0c\r"))).alias("parts"))
+    d = docs.select("id", "x", stripped(F.col("text")).alias("parts"))
     told = F.transform("parts", lambda p, i: F.when(p != "", F.struct(
         i.alias("i"), F.xxhash64(p).alias("h"), (F.octet_length(p) - F.octet_length(F.replace(p, F.lit(" "), F.lit(""))) + 1).alias("w"))))
     d = d.select("id", "x", F.size("parts").alias("n"), F.filter(told, lambda t: t.isNotNull()).alias("told"))
@@ -84,12 +98,13 @@ def fingerprints(rows: DataFrame, least_words: int) -> DataFrame:
     def windows(s: Column, r: Column) -> Column:
         after = F.coalesce(F.get("ends", r + 1), F.size("hw"))
         return F.transform(F.sequence(s, F.greatest(s, after - 1)), lambda t: F.struct(
-            F.array_min(F.slice("hw", r + 1, t - r + 1)).alias("m"), r.alias("r"), t.alias("s"),
+            r.alias("r"), t.alias("s"),
             F.when(t == s, F.get("pl", r + 1) - F.get("pl", r) - 1).otherwise(0).alias("lead"),
             F.when(t < after, F.get("pl", t + 2) - F.get("pl", t + 1) - 1).otherwise(0).alias("trail")))
 
     d = d.select("id", "x", "hw", "pl", F.flatten(F.transform("ends", windows)).alias("b"))
-    line = lambda y: (F.array_position(F.slice("hw", y["r"] + 1, y["s"] - y["r"] + 1), y["m"]) + y["r"] - 1).cast("int")
+    least = lambda q, k: F.when(F.get("hw", k) < F.get("hw", q), k).otherwise(q)
+    line = lambda y: F.aggregate(F.sequence(y["r"], y["s"]), y["r"], least)
     d = d.select("id", "x", "hw", "pl", "b", F.when(F.size("hw") >= 0, F.transform("b", line)).alias("q"))
     # Starts and ends of the windows only grow, and so does the line of their first minimum: its windows stand together.
     new = F.filter(F.transform("q", lambda q, i: F.when((i == 0) | (F.get("q", i - 1) != q), i)), lambda i: i.isNotNull())
@@ -97,10 +112,10 @@ def fingerprints(rows: DataFrame, least_words: int) -> DataFrame:
 
     def mark(k: Column, i: Column) -> Column:
         end = F.coalesce(F.get("new", i + 1), F.size("b"))
-        u, count = F.get("b", k)["r"], F.get("b", end - 1)["s"] - F.get("b", k)["r"] + 1
-        own = F.transform(F.slice("b", k + 1, end - k), lambda y: F.struct(*(y[c].alias(c) for c in ("r", "s", "lead", "trail"))))
-        return F.struct(F.get("b", k)["m"].alias("m"), F.get("q", k).alias("q"), u.alias("u"),
-                        F.slice("hw", u + 1, count).alias("hw"), F.slice("pl", u + 1, count + 2).alias("pl"), own.alias("runs"))
+        u, last = F.get("b", k)["r"], F.get("b", end - 1)["s"]
+        part = lambda c, first, to: F.transform(F.sequence(first, to), lambda j: F.get(c, j))
+        return F.struct(F.get("hw", F.get("q", k)).alias("m"), F.get("q", k).alias("q"), u.alias("u"),
+                        part("hw", u, last).alias("hw"), part("pl", u, last + 2).alias("pl"), part("b", k, end - 1).alias("runs"))
 
     d = d.select("id", "x", F.explode(F.transform("new", mark)).alias("f"))
     return d.select("id", "x", "f.*")

@@ -263,6 +263,14 @@ def test_line_dedup_leaves_out_steps_of_long_lines(spark):
     assert places_removed(spark, rows, 6) == brute_lines(rows, 6) and places_removed(spark, rows, 9) == brute_lines(rows, 9)
 
 
+def test_lines_without_white_space_at_their_ends(spark):
+    """Both ways of cutting give the lines as a regular expression does, whatever white space and marks a text has."""
+    rng = np.random.default_rng(19)
+    texts = ["", " ", "\n", ". ", "a. ? b", "\r\n"] + ["".join(rng.choice(list("ab.? \n  ") + (["\t", "\r", "\x01", "\x0b"] if k % 2 else []), 30)) for k in range(60)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", linededup.stripped(F.col("t")).alias("p")).collect()
+    assert all(r.p == [x.strip(" \t\n\x0b\x0c\r") for x in re.split(r"(?<=\n)|(?<=\. )|(?<=\? )", r.t)] for r in got)
+
+
 def test_line_dedup_of_parts_that_stand_earlier(spark):
     """A run goes although each of its lines stands alone, or beside others, in an earlier document."""
     s1, s2 = (" ".join(f"{c}{i}" for i in range(25)) + ". " for c in "pq")
