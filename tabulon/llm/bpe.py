@@ -21,6 +21,8 @@ WORDS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 #: Checked pairs of tokens that a `PrefixBPE` remembers, strings whose tables are filled at once, and the longest of them in
 #: bytes (longer ones are filled one by one): bounds of memory, which change no result.
 PAIRS, BLOCK, LONGEST = 1 << 16, 1 << 15, 64
+#: Bytes of text encoded at once: work arrays take some 25 bytes for each of them. A bound of memory that changes no result.
+STRETCH = 2 << 20
 
 
 @lru_cache(2)
@@ -360,6 +362,24 @@ def encoded(column: pa.Array, vocabulary: PrefixTables, pattern: str) -> tuple[n
     return out, np.concatenate([[0], done])[first[1:]]
 
 
+def digests(part: pa.RecordBatch, v: PrefixTables, pattern: str, with_ids: bool) -> pa.RecordBatch:
+    """What `encode_texts` gives of one stretch of doc_id and text. Its work arrays go when it ends."""
+    sha = hashlib.sha256
+    ids, ends = encoded(part.column(1), v, pattern)
+    back, token_ends = v.decode(ids)
+    n, raw, text = len(part), memoryview(ids.astype("<u4")).cast("B"), memoryview(back)
+    bounds = np.concatenate([[0], ends])
+    told = np.concatenate([[0], token_ends])[bounds].tolist()
+    a = bounds.tolist()
+    columns = [
+        part.column(0), pa.array(np.diff(bounds)), pa.array([sha(raw[4 * a[i]:4 * a[i + 1]]).hexdigest() for i in range(n)], pa.string()),
+        pa.array([sha(text[told[i]:told[i + 1]]).hexdigest() for i in range(n)], pa.string()),
+    ]
+    if with_ids:
+        columns.append(strings(np.frombuffer(raw, np.uint8), 4 * bounds, pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids: little-endian 32-bit, as binary) of every text.
 
@@ -369,23 +389,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fals
     shared = docs.sparkSession.sparkContext.broadcast(tables(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, sha = shared.value, hashlib.sha256
         for batch in batches:
-            for part in slices(batch):
-                ids, ends = encoded(part.column(1), v, pattern)
-                back, token_ends = v.decode(ids)
-                n, raw, text = len(part), memoryview(ids.astype("<u4")).cast("B"), memoryview(back)
-                bounds = np.concatenate([[0], ends])
-                told = np.concatenate([[0], token_ends])[bounds].tolist()
-                a = bounds.tolist()
-                columns = [
-                    part.column(0), pa.array(np.diff(bounds)), pa.array([sha(raw[4 * a[i]:4 * a[i + 1]]).hexdigest() for i in range(n)], pa.string()),
-                    pa.array([sha(text[told[i]:told[i + 1]]).hexdigest() for i in range(n)], pa.string()),
-                ]
-                if with_ids:
-                    columns.append(strings(np.frombuffer(raw, np.uint8), 4 * bounds, pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
-        pa.default_memory_pool().release_unused()
+            for part in slices(batch, most=STRETCH):
+                yield digests(part, shared.value, pattern, with_ids)
+            batch = part = None  # the next batch comes in the place of this one
+            pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
