@@ -157,3 +157,26 @@ def test_recall_of_the_registered_query(spark):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     exact = {(r.query_id, r.id) for r in ann.exact_neighbours(vectors.where("vec_id % 50 = 0"), vectors, "vec_id", "embedding").collect()}
     assert len({(r.query_id, r.vec_id) for r in rows} & exact) >= 0.9 * len(exact) and len(rows) == len(exact)
+
+
+def shuffled(spark):
+    """Bytes that all shuffles of the session have written."""
+    every = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+
+def test_full_text_is_built_without_a_shuffle_of_words(spark, tmp_path):
+    """Blocks are bounded by documents and by words; a text of more words is a block by itself. Answers don't depend on the blocks."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.when(F.col("id") == 70, 900).otherwise(40)), lambda k: F.concat(F.lit("word"), F.pmod(F.xxhash64("id", k), F.lit(300)).cast("string"))))
+    rows = spark.range(0, 4000, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"))
+    before = shuffled(spark)
+    index = fulltext.FullText(spark, str(tmp_path / "a")).build(rows, "doc_id", "text", 512)
+    assert shuffled(spark) - before < 20_000  # the texts have over a million bytes
+    small = fulltext.FullText(spark, str(tmp_path / "b")).build(rows, "doc_id", "text", 64, 800)
+    blocks = small.hits([f"word{i}" for i in range(300)]).select("block", "id", "len").distinct().groupBy("block").agg(F.sum("len").alias("words"), F.count("*").alias("n"), F.max("id").alias("id")).collect()
+    assert all(b.words <= 800 and b.n <= 20 or (b.n, b.id, b.words) == (1, 70, 900) for b in blocks) and sum(b.n for b in blocks) == 4000
+    every = lambda i, t: sorted((r.id, r.tf, r.len, tuple(r.places)) for r in i.hits([t], ("id", "tf", "len", "places")).collect())
+    words_of = {r.doc_id: r.text.split() for r in rows.collect()}
+    for t in ("word1", "word299"):
+        assert every(index, t) == every(small, t) == sorted((d, w.count(t), len(w), tuple(k for k, x in enumerate(w) if x == t)) for d, w in words_of.items() if t in w)
+        assert small.rows([t]).agg(F.sum("n")).first()[0] == len(every(small, t))
