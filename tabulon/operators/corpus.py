@@ -64,13 +64,17 @@ def copy_penalty(name: Column) -> Column:
 
 
 def line_priorities(df: DataFrame, id_col: str, text: str, family: str, boiler: DataFrame) -> DataFrame:
-    """(id, order, line, chars, boiler, priority): 0 title, 1 marker, 2 distinctive, 3 unique, 4 heading, 9 to drop."""
-    each = df.select(F.col(id_col), F.col(family).alias("family"), F.posexplode(split_lines(F.col(text))).alias("order", "line")).withColumn("key", line_key(F.col("line"), True))
-    b = boiler.select("family", "key", F.lit(True).alias("_b"))
-    rows = each.join(b, ["family", "key"], "left").withColumn("boiler", F.coalesce("_b", F.lit(False)))
+    """(id, order, line, same, chars, boiler, priority): 0 title, 1 marker, 2 distinctive, 3 unique, 4 heading, 9 to drop; `same` is a hash of the line.
+
+    Both priorities of a line, as boilerplate and not, are told before the join, so whoever doesn't read lines doesn't shuffle them.
+    """
     line = F.col("line")
-    return rows.select(id_col, "order", "line", F.length("line").alias("chars"), "boiler",
-                       F.when(F.col("order") < TITLE_LINES, 0).when(is_marker(line), 1).when(is_distinctive(line) & ~F.col("boiler"), 2).when(~F.col("boiler"), 3).when(is_heading(line), 4).otherwise(DROPPABLE).alias("priority"))
+    each = df.select(F.col(id_col), F.col(family).alias("family"), F.posexplode(split_lines(F.col(text))).alias("order", "line"))
+    first = F.when(F.col("order") < TITLE_LINES, 0).when(is_marker(line), 1)
+    told = each.select(id_col, "family", "order", "line", F.xxhash64("line").alias("same"), F.length("line").alias("chars"), line_key(line, True).alias("key"), first.alias("_first"),
+                       F.when(is_distinctive(line), 2).otherwise(3).alias("_own"), F.when(is_heading(line), 4).otherwise(DROPPABLE).alias("_common"))
+    rows = told.join(boiler.select("family", "key", F.lit(True).alias("_b")), ["family", "key"], "left").withColumn("boiler", F.coalesce("_b", F.lit(False)))
+    return rows.select(id_col, "order", "line", "same", "chars", "boiler", F.coalesce("_first", F.when(F.col("boiler"), F.col("_common")).otherwise(F.col("_own"))).alias("priority"))
 
 
 def boilerplate_ratio(lines: DataFrame, id_col: str) -> DataFrame:
@@ -80,21 +84,23 @@ def boilerplate_ratio(lines: DataFrame, id_col: str) -> DataFrame:
 def skeleton(lines: DataFrame, id_col: str, cap: int = 4000, share: float = 0.2) -> DataFrame:
     """(id, kept, kept_chars): lines by priority and order while they fit; a line that is too long is passed over, later ones may fit.
 
-    Greedy passing-over is no prefix sum, so each document is walked once in Arrow; a document is one group, and its lines are its own.
+    Greedy passing-over is no prefix sum, so the ordered lines of a document are folded into one state. Of equal lines only the first can be kept, titles apart:
+    if it didn't fit, later ones don't, as room only shrinks. Lines are dealt by document once; both groupings are within that.
     """
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        room, used, seen, kept = max(cap, -(-int(pdf.chars.sum()) // int(1 / share))), 0, set(), []
-        for r in pdf.sort_values(["priority", "order"]).itertuples():
-            if r.priority == DROPPABLE:
-                break
-            if r.priority > 0 and (r.line in seen or used + r.chars + 1 > room):
-                continue
-            seen.add(r.line)
-            kept.append(r.order)
-            used += r.chars + 1
-        return pd.DataFrame({id_col: [pdf[id_col].iloc[0]], "kept": [len(kept)], "kept_chars": [used]})
-
-    return lines.groupBy(id_col).applyInPandas(walk, f"{id_col} long, kept long, kept_chars long")
+    title = F.col("priority") == 0
+    equal = lines.repartition(id_col).groupBy(id_col, "same", "chars").agg(F.count_if(title).alias("titles"), F.count(F.lit(1)).alias("n"), F.min(F.struct("priority", "order")).alias("first"))
+    walked = F.struct("first.priority", "first.order", F.col("chars").cast("long").alias("chars"), "titles")
+    docs = equal.groupBy(id_col).agg(F.sum(F.col("chars") * F.col("n")).alias("_all"), F.sort_array(F.collect_list(F.when(F.col("first.priority") < DROPPABLE, walked))).alias("_lines"))
+    parts = int(1 / share)
+    room = F.greatest(F.lit(cap).cast("long"), F.expr(f"(_all + {parts - 1}) div {parts}"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = F.when(x["titles"] > 0, x["titles"]).when(acc["used"] + x["chars"] + 1 <= F.col("_room"), 1).otherwise(0).cast("long")
+        return F.struct((acc["kept"] + n).alias("kept"), (acc["used"] + n * (x["chars"] + 1)).alias("used"))
+
+    zero = F.lit(0).cast("long")
+    done = docs.withColumn("_room", room).select(id_col, F.aggregate("_lines", F.struct(zero.alias("kept"), zero.alias("used")), step).alias("_done"))
+    return done.select(F.col(id_col).cast("long").alias(id_col), F.col("_done.kept").alias("kept"), F.col("_done.used").alias("kept_chars"))
 
 
 def classify(text: Column, rules: Sequence[tuple[str, str]], other: str | None) -> Column:

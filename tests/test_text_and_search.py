@@ -142,3 +142,30 @@ def test_paths_without_steps_are_admitted(spark):
     assert [r[0] for r in df.select(corpus.refusal(F.col("p"))).collect()] == [None, None, None, None, "temporary-file"]
     row = spark.range(1).select(corpus.issue_reason(F.lit(None).cast("string"), F.lit(None).cast("string")), corpus.issue_reason(F.lit(None).cast("string"), F.lit("empty"))).first()
     assert tuple(row) == ("other", "no-text")
+
+
+def test_skeleton_is_the_greedy_walk_in_one_plan(spark):
+    """Against a walk in plain Python over equal lines, lines that don't fit, repeated titles and droppable ones; no group is handed to Python, and text isn't shuffled."""
+    import random
+
+    rng, docs = random.Random(5), []
+    for i in range(60):
+        some = [f"{rng.choice('abcdefg')}{k} " + rng.choice(["word ", "été "]) * rng.randint(1, 40) for k in range(12)] + ["Part 3: one", "call 555-1234 now", "SHARED HEADING", "shared line that is common to all."]
+        docs.append((i, "\n".join(rng.choice(some) for _ in range(rng.randint(0, 60))), f"f{i % 2}"))
+    df = spark.createDataFrame(docs, "id long, t string, f string")
+    lines = corpus.line_priorities(df, "id", "t", "f", corpus.family_lines(df, "id", "t", "f"))
+    want = {}
+    by = {}
+    for r in lines.collect():
+        by.setdefault(r.id, []).append(r)
+    for i, rows in by.items():
+        room, used, seen, kept = max(300, -(-sum(r.chars for r in rows) // 5)), 0, set(), 0
+        for r in sorted(rows, key=lambda r: (r.priority, r.order)):
+            if r.priority < corpus.DROPPABLE and (r.priority == 0 or not (r.line in seen or used + r.chars + 1 > room)):
+                seen.add(r.line)
+                kept, used = kept + 1, used + r.chars + 1
+        want[i] = (kept, used)
+    got = corpus.skeleton(lines, "id", 300)
+    assert {r.id: (r.kept, r.kept_chars) for r in got.collect()} == want and {x.priority for r in by.values() for x in r} >= {0, 1, 3, 4, 9}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and not any("line#" in x for x in plan.split("\n") if "Exchange hashpartitioning(id" in x or "Exchange hashpartitioning(family" in x)
