@@ -23,10 +23,16 @@ def counted(df: DataFrame, other: DataFrame, on: str, name: str = "n") -> DataFr
 
 
 def in_ranges(df: DataFrame, at: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:
-    """Rows with low <= at < high: ranges are cut into cells of `width`, so that the join has an equality to shuffle on."""
+    """Rows with low <= at < high: ranges are cut into cells of `width`, so that the join has an equality to shuffle on.
+
+    Rows meet the different ranges first, and then all that have those by equality. So a range that many have is compared once, rows without a
+    range aren't shuffled with them, and the result comes out range by range, which a file stores in little room.
+    """
     cell = lambda c: F.floor(c.cast("double") / width).cast("long")
-    cut = ranges.withColumn("_cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
-    return df.withColumn("_cell", cell(F.col(at))).join(cut, "_cell").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_cell")
+    keys = ranges.select(F.col(low).alias("_low"), F.col(high).alias("_high")).distinct().withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high")))))
+    met = df.withColumn("_cell", cell(F.col(at))).join(keys, "_cell").where((F.col(at) >= F.col("_low")) & (F.col(at) < F.col("_high"))).drop("_cell")
+    each = ranges.select(F.struct(*ranges.columns).alias("_range"), F.col(low).alias("_low"), F.col(high).alias("_high"))
+    return met.hint("shuffle_merge").join(each, ["_low", "_high"]).select(*df.columns, "_range.*")
 
 
 def merge_ranked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -58,3 +58,17 @@ def test_split_all(spark, texts):
     assert any(len(x) > 200 for t in texts.values() for x in (t or "").split("\n"))
     long = spark.createDataFrame([(f"{'a' * 150}. {'b' * 950}! c\n d ",)], "t string").select(tx.split_lines(F.col("t"))).first()[0]
     assert [len(x) for x in long] == [151, 400, 400, 151, 1, 1]
+
+
+def test_rows_in_ranges_meet_each_different_range_once(spark):
+    """Repeated, empty, wide and null ranges, and rows without a range, against all pairs; what all have that share a range is joined by the range last."""
+    from tabulon.operators import relations
+
+    points = [(i, float(x)) for i, x in enumerate([0, 1, 9.99, 10, 10, 25, 49.5, 50, 51, 99, 100, -3, 1000])] + [(90, None)]
+    ranges = [(i, lo, hi) for i, (lo, hi) in enumerate([(0.0, 10.0), (0.0, 10.0), (10.0, 60.0), (49.5, 50.0), (-5.0, 0.0), (20.0, 20.0), (30.0, 5.0), (None, 9.0), (10.0, 60.0)])]
+    df, cut = spark.createDataFrame(points, "p long, x double"), spark.createDataFrame(ranges, "r long, low double, high double")
+    got = relations.in_ranges(df, "x", cut, "low", "high", 7.0)
+    assert got.columns == ["p", "x", "r", "low", "high"]
+    assert sorted((r.p, r.r) for r in got.collect()) == sorted((p, r) for p, x in points for r, lo, hi in ranges if None not in (x, lo, hi) and lo <= x < hi)
+    plan = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x or "Aggregate" in x]
+    assert len(plan) == 3 and "_low" in plan[0] and "_cell" in plan[1] and "Aggregate [_low" in plan[2]
